@@ -12,6 +12,8 @@ Nothing but DataFrame operations and the streaming engine runs on the executors.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,27 @@ from threadloom.llm.common import Scratch
 #: Up to this many hit digests (8 bytes each) are broadcast to prefilter the byte comparison.
 BROADCAST_HITS = 1_000_000
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stores don't allocate disk ahead: with many partitions that would be more than the state itself.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """The session's settings with these, restored at the end."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def arrivals(docs: DataFrame, id_col: str, text_col: str, digest=None) -> DataFrame:
@@ -48,20 +70,12 @@ def fold(log: DataFrame) -> DataFrame:
 
 def run_stream(spark: SparkSession, log_path: str, schema, checkpoint: str, max_files: int | None = None) -> None:
     """Consumes all of the log that has arrived, then stops; a later call goes on from its offsets."""
-    key, before = "spark.sql.streaming.stateStore.providerClass", None
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
-    try:
+    with settings(spark, STATE_CONF):
         reader = spark.readStream.schema(schema)
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
         query = fold(reader.parquet(log_path)).writeStream.format("noop").outputMode("update")
         query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
 
 
 def state_table(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -86,7 +100,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     log, _ = located(docs, id_col, text_col, scratch, digest)
     log = scratch.table(log, "log")
     run_stream(spark, scratch.at("log"), log.schema, scratch.at("stream"))
-    state = scratch.table(state_table(spark, scratch.at("stream")), "state")
+    with settings(spark, STATE_CONF):
+        state = scratch.table(state_table(spark, scratch.at("stream")), "state")
     return decide(docs, id_col, text_col, log, state, scratch, digest)
 
 
@@ -112,7 +127,6 @@ def decide(docs, id_col, text_col, log, state, scratch, digest=None) -> DataFram
         members = with_digest.join(hits, "digest", "left_semi")
     bad = members.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("digest")
     bad = scratch.table(bad, "collisions")
-    sha = "digest" if digest is None else "sha"
     joined = log.join(state, "digest")
     if digest is None and bad.isEmpty():
         return final(joined.select("id", "file", "row", F.col("digest").alias("text_sha256"), F.col("n").alias("group_size"), "top"), id_col)

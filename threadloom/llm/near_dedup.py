@@ -33,7 +33,7 @@ BUCKET = 512
 SLACK, SMALL = 0.20, 4 * BINS
 
 _BIN = np.arange(BINS, dtype=U)
-_TRIES = np.array([mix(_BIN * U(0x9E3779B97F4A7C15) + U(t) * U(0xC2B2AE3D27D4EB4F)) % U(BINS) for t in range(1, 65)]).astype(np.int64)
+_TRIES = np.array([mix(_BIN * U(0x9E3779B97F4A7C15) + U(t * 0xC2B2AE3D27D4EB4F % 2**64)) % U(BINS) for t in range(1, 65)]).astype(np.int64)
 _BAND_SALT = mix(_BIN[:ROWS] + U(17))
 
 
