@@ -10,11 +10,9 @@ with them, by the same rule, and last of all once more.
 from __future__ import annotations
 
 import itertools
-import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +72,7 @@ class ByteBpe:
     Strings of special tokens in a text are ordinary text.
     """
 
-    CACHE = 200_000
+    CACHE = 400_000
 
     def __init__(self, path: str):
         import os
@@ -85,22 +83,22 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of words with a space before them
         self.odd = re.compile(r" (?=\s|\Z)")
         self.cut = re.compile(r" (?=\S)")
 
+    def ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for t in texts:
-            own = t.split(" ") if self.odd.search(t) is None else self.cut.split(t)
-            parts.append([own[0], *[" " + w for w in own[1:]]])
+        words = [t.split(" ") if self.odd.search(t) is None else self.cut.split(t) for t in texts]
+        first = self.ids([w.pop(0) for w in words])
         known = self.known
         if len(known) > self.CACHE:
             known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        new = list(set(itertools.chain.from_iterable(words)).difference(known))
+        known.update(zip(new, self.ids([" " + w for w in new])))
+        return [head + b"".join(map(known.__getitem__, w)) for head, w in zip(first, words)]
 
 
 def encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
