@@ -8,7 +8,9 @@ members, not their square. Candidates are confirmed on full shingle sets.
 
 Links that no star holds (both ends differ from the hub) are found in a second round: a bucket whose
 members are by then in more than one component is searched within, sketch against sketch, and too
-large a bucket is first divided by each of its members' other bands.
+large a bucket is first divided by each of its members' other bands. The search gives pairs of
+documents without links, and else (document, component): these are confirmed on full sets in blocks of
+a component's members against blocks of documents, so that no pairs are written out.
 """
 
 from __future__ import annotations
@@ -26,11 +28,20 @@ from threadloom.llm.vectext import Block, U, mix, ngrams
 BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
 #: A bucket with more members is divided by a further band before its members are compared.
-BUCKET = 512
-#: Sketches of 8 bits a bin agree about as often as the sets are similar. A pair whose sketches agree
-#: less by this much (over six standard deviations) than the threshold isn't confirmed; small sets,
-#: whose borrowed bins repeat one another, are always confirmed.
-SLACK, SMALL = 0.20, 4 * BINS
+BUCKET = 4096
+#: Members of a component, and documents held against them, in one block of the exact search.
+BLOCK = 256
+#: Sketches of 8 bits a bin agree about as often as the sets are similar. A pair is left out only if they
+#: agree less than the threshold by so many standard deviations. Small sets fill fewer bins by themselves,
+#: and so their sketches count as that much shorter.
+DEVIATIONS = 4.5
+
+
+def least_share(n: np.ndarray, percent: int) -> np.ndarray:
+    """How much of the sketches must agree for a pair whose smaller set has n shingles."""
+    t = percent / 100
+    return t - DEVIATIONS * np.sqrt(t * (1 - t) / np.clip(n / 2, 1, BINS))
+
 
 _BIN = np.arange(BINS, dtype=U)
 _TRIES = np.array([mix(_BIN * U(0x9E3779B97F4A7C15) + U(t * 0xC2B2AE3D27D4EB4F % 2**64)) % U(BINS) for t in range(1, 65)]).astype(np.int64)
@@ -141,8 +152,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def score(batch):
         x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb")]
         share = (x[0] == x[1]).mean(axis=1)
-        small = np.minimum(*(batch.column(c).to_numpy() for c in ("na", "nb"))) < SMALL
-        keep = pa.array(small | (share >= percent / 100 - SLACK))
+        n = np.minimum(*(batch.column(c).to_numpy() for c in ("na", "nb")))
+        keep = pa.array(share >= least_share(n, percent))
         return [batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share).filter(keep)]
 
     return map_columns(joined.select("a", "b", "na", "nb", "sa", "sb"), score, schema)
@@ -186,35 +197,83 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def within(members: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components inside buckets of bounded size, sketch against sketch."""
-    schema = T.StructType([*PAIR.fields, T.StructField("share", T.DoubleType())])
+    """What may link different components inside buckets of bounded size, sketch against sketch.
+
+    Rows (a, b, whole): two documents without links, or (whole) a document and a component. Of two
+    components, the members of the one with the larger id are held against the other.
+    """
+    schema = T.StructType([*PAIR.fields, T.StructField("whole", T.BooleanType())])
 
     def search(table: pa.Table) -> pa.Table:
         rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+        linked = table.column("linked").to_numpy(zero_copy_only=False)
         x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        ids, sizes = np.unique(comp, return_counts=True)
         out = []
-        for i in range(len(rep) - 1):
-            share = (x[i] == x[i + 1 :]).mean(axis=1)
-            m = n[i + 1 :]
-            ok = (comp[i + 1 :] != comp[i]) & (rep[i + 1 :] != rep[i]) & (100 * m >= percent * n[i]) & (100 * n[i] >= percent * m)
-            ok &= (np.minimum(m, n[i]) < SMALL) | (share >= percent / 100 - SLACK)
-            j = np.flatnonzero(ok) + i + 1
-            out.append((np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), share[j - i - 1]))
-        if not out:
-            return schema_empty
-        return pa.table([np.concatenate(c) for c in zip(*out)], names=schema.names)
-
-    schema_empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "share": pa.array([], pa.float64())})
+        for i in np.flatnonzero(comp != ids[sizes.argmax()]):  # each pair has an end outside the largest component
+            low = np.minimum(n, n[i])
+            ok = (comp != comp[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+            ok[ok] = (x[i] == x[ok]).mean(axis=1) >= least_share(low[ok], percent)
+            for j in np.flatnonzero(ok):
+                if not linked[i] and not linked[j]:
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j]), False))
+                elif not linked[j] or (linked[i] and comp[j] > comp[i]):
+                    out.append((rep[j], comp[i], True))
+                else:
+                    out.append((rep[i], comp[j], True))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*set(out)) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()))], names=schema.names)
+
     return members.groupBy("key").applyInArrow(search, schema)
 
 
 def open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Bucket rows (key, rep, component) of the buckets that hold more than one component."""
-    rows = buckets.join(comps, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    """Bucket rows (key, rep, component, linked) of the buckets that hold more than one component."""
+    rows = buckets.join(comps, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))
     several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
     return rows.join(several, "key")
 
 
+def all_members(comps: DataFrame) -> DataFrame:
+    """(rep, component) with the components' own nodes."""
+    return comps.union(comps.select("component", "component").distinct())
+
+
+def blocks(against: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of documents with members of components: one for each (a, component) and block of the latter."""
+    x = against.select(F.col("a").alias("x"), F.col("b").alias("c"))
+    y = comps.select(F.col("component").alias("c"), F.col("rep").alias("y")).join(x.select("c").distinct(), "c", "left_semi")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = y.groupBy("c").agg(F.count(F.lit(1)).alias("ny")).join(x.groupBy("c").agg(F.count(F.lit(1)).alias("nx")), "c").select("c", parts("ny").alias("ky"), parts("nx").alias("kx"))
+    deal = lambda rep, k: F.pmod(F.xxhash64(rep), F.col(k)).cast("int")
+    copies = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = x.join(sizes, "c").select("c", copies("ky").alias("i"), deal("x", "kx").alias("j"), F.col("x").alias("rep"), F.lit(True).alias("asks"))
+    right = y.join(sizes, "c").select("c", deal("y", "ky").alias("i"), copies("kx").alias("j"), F.col("y").alias("rep"), F.lit(False).alias("asks"))
+    rows = left.union(right).join(sets.toDF("rep", "set"), "rep")
+
+    def exact(table: pa.Table) -> pa.Table:
+        rep, asks = table.column("rep").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+        own = [np.frombuffer(t, U) for t in table.column("set").to_pylist()]
+        size = np.array([len(t) for t in own])
+        held = np.flatnonzero(~asks)
+        out = []
+        if len(held):
+            values = np.concatenate([own[k] for k in held])
+            owner = np.repeat(np.arange(len(held)), size[held])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for k in np.flatnonzero(asks):
+                lo, hi = np.searchsorted(values, own[k], "left"), np.searchsorted(values, own[k], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(held))
+                good = np.flatnonzero(100 * both >= percent * (size[k] + size[held] - both))
+                if len(good):
+                    out.append((min(rep[k], rep[held[good[0]]]), max(rep[k], rep[held[good[0]]])))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], names=PAIR.names)
+
+    return rows.groupBy("c", "i", "j").applyInArrow(exact, PAIR)
+
+
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -250,17 +309,21 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     best = stars.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = scratch.table(confirm(best, sets, percent), "links-0")
     comps = components(links, scratch, "cc0")
-    for turn in (1, 2):
-        if turn == 1:
-            rest = apart(stars.select("a", "b"), comps)
-        else:
-            rest = residual(buckets, comps, nodes, scratch, percent)
-            more = rest.select(F.col("a").alias("id__")).union(rest.select("b")).distinct().join(sets.select("id__"), "id__", "left_anti")
-            sets = sets.union(scratch.table(sets_for(base, more, linked, width), "sets-more"))
-        found = scratch.table(confirm(rest, sets, percent), f"links-{turn}")
+    found = scratch.table(confirm(apart(stars.select("a", "b"), comps), sets, percent), "links-1")
+    if not found.isEmpty():
+        links = links.union(found)
+        comps = components(links, scratch, "cc1")
+    rest = residual(buckets, comps, nodes, scratch, percent)
+    if not rest.isEmpty():
+        members = all_members(comps)
+        against = rest.where("whole")
+        need = rest.select(F.col("a").alias("id__")).union(rest.where("not whole").select("b")).union(members.join(against.select(F.col("b").alias("component")), "component", "left_semi").select("rep"))
+        more = need.distinct().join(sets.select("id__"), "id__", "left_anti")
+        sets = sets.union(scratch.table(sets_for(base, more, linked, width), "sets-more"))
+        pairs = confirm(rest.where("not whole").select("a", "b"), sets, percent)
+        found = scratch.table(pairs.union(blocks(against, members, sets, percent)), "links-2")
         if not found.isEmpty():
-            links = links.union(found)
-            comps = components(links, scratch, f"cc{turn}")
+            comps = components(links.union(found), scratch, "cc2")
 
     whole = groups.join(comps, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     on = (feat.set_a == whole.set_a) & (feat.set_b == whole.set_b) & (feat.n_shingles == whole.n)
@@ -287,7 +350,7 @@ def residual(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Sc
     rows = scratch.table(open_buckets(buckets.select("key", "rep"), comps), "open-0")
     parts = []
     for level in range(1, 4):
-        parts.append(rows.where(F.col("size") <= BUCKET).select("key", "rep", "component"))
+        parts.append(rows.where(F.col("size") <= BUCKET).select("key", "rep", "component", "linked"))
         large = rows.where(F.col("size") > BUCKET)
         if large.isEmpty():
             break
@@ -295,15 +358,15 @@ def residual(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Sc
         finer = large.select("key", "rep").join(other, "rep").where("key <> by").select(F.xxhash64(F.least("key", "by"), F.greatest("key", "by")).alias("key"), "rep").distinct()
         rows = scratch.table(open_buckets(finer, comps), f"open-{level}")
     else:  # members that agree in many bands: blocks of one bucket against one another
-        blocks = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (BUCKET // 2)))).withColumn("n_blocks", F.ceil(F.col("size") / (BUCKET // 2)))
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (BUCKET // 2)))).withColumn("n_blocks", F.ceil(F.col("size") / (BUCKET // 2)))
         other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-        paired = blocks.select("key", "rep", "component", "block", other)
-        parts.append(paired.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "component"))
+        paired = dealt.select("key", "rep", "component", "linked", "block", other)
+        parts.append(paired.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "component", "linked"))
     members = parts[0]
     for p in parts[1:]:
         members = members.union(p)
     members = members.join(nodes.select("rep", "n_shingles", "sketch"), "rep")
-    return scratch.table(within(members, percent).select("a", "b").distinct(), "residual")
+    return scratch.table(within(members, percent).distinct(), "residual")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
