@@ -83,7 +83,7 @@ def test_recall_and_graph(spark):
     data = [(i, 1, i, "user", f"note {i} about the café", 100) for i in range(1, 13)]
     m = rows(spark, data)
     g = compaction.sweep(m, SMALL)
-    assert g.summaries.where("kind = 'leaf'").count() == 4 and g.summaries.where("depth = 1").count() == 1
+    assert g.summaries.where("kind = 'leaf'").count() == 3 and g.summaries.where("depth = 1").count() == 1
     assert all(r.passed for r in integrity.checks(m, g).collect())
     hits = recall.grep(m, g.summaries, "CAFE note", limit=3, scope="messages").collect()
     assert [h.id for h in hits] == ["1", "10", "11"]
