@@ -29,6 +29,8 @@ BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
 #: A bucket with more members is divided by a further band before its members are compared.
 BUCKET = 4096
+#: Up to this many ids (8 bytes each) are broadcast to pick out candidates' texts; beyond, texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Members of a component, and documents held against them, in one block of the exact search.
 BLOCK = 256
 #: Sketches of 8 bits a bin agree about as often as the sets are similar. A pair is left out only if they
@@ -200,7 +202,8 @@ def within(members: DataFrame, percent: int) -> DataFrame:
     """What may link different components inside buckets of bounded size, sketch against sketch.
 
     Rows (a, b, whole): two documents without links, or (whole) a document and a component. Of two
-    components, the members of the one with the larger id are held against the other.
+    components, the members of the one with the larger id are held against the other. Documents that
+    share several buckets are compared in the first of them (and in all divided ones).
     """
     schema = T.StructType([*PAIR.fields, T.StructField("whole", T.BooleanType())])
 
@@ -208,12 +211,17 @@ def within(members: DataFrame, percent: int) -> DataFrame:
         rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         linked = table.column("linked").to_numpy(zero_copy_only=False)
         x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        key = table.column("key")[0].as_py()
+        band = int((bands[0] == key).argmax()) if (bands[0] == key).any() else -1
         ids, sizes = np.unique(comp, return_counts=True)
         out = []
         for i in np.flatnonzero(comp != ids[sizes.argmax()]):  # each pair has an end outside the largest component
             low = np.minimum(n, n[i])
             ok = (comp != comp[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
             ok[ok] = (x[i] == x[ok]).mean(axis=1) >= least_share(low[ok], percent)
+            if band >= 0:
+                ok[ok] = (bands[ok] == bands[i]).argmax(axis=1) == band
             for j in np.flatnonzero(ok):
                 if not linked[i] and not linked[j]:
                     out.append((min(rep[i], rep[j]), max(rep[i], rep[j]), False))
@@ -301,9 +309,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     buckets = scratch.table(keys.join(hubs, "key").select("key", "band", "rep", F.col("x").bitwiseXOR(F.xxhash64("band")).alias("hub")), "buckets")
     stars = buckets.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     stars = scratch.table(plausible(stars, nodes, percent), "stars")
-    ends = stars.select(F.col("a").alias("id__")).union(stars.select("b")).distinct()
-    linked = nodes.select(F.col("rep").alias("id__"))  # one text for each node
-    sets = scratch.table(sets_for(base, ends, linked, width), "sets")
+    ends = scratch.table(stars.select(F.col("a").alias("id__")).union(stars.select("b")).distinct(), "ends")
+    sets = scratch.table(sets_for(base, ends, width), "sets")
 
     # first each document's most similar hub; then what that leaves in different components
     best = stars.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
@@ -318,8 +325,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         members = all_members(comps)
         against = rest.where("whole")
         need = rest.select(F.col("a").alias("id__")).union(rest.where("not whole").select("b")).union(members.join(against.select(F.col("b").alias("component")), "component", "left_semi").select("rep"))
-        more = need.distinct().join(sets.select("id__"), "id__", "left_anti")
-        sets = sets.union(scratch.table(sets_for(base, more, linked, width), "sets-more"))
+        more = scratch.table(need.distinct().join(sets.select("id__"), "id__", "left_anti"), "more")
+        sets = sets.union(scratch.table(sets_for(base, more, width), "sets-more"))
         pairs = confirm(rest.where("not whole").select("a", "b"), sets, percent)
         found = scratch.table(pairs.union(blocks(against, members, sets, percent)), "links-2")
         if not found.isEmpty():
@@ -331,8 +338,10 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def sets_for(base: DataFrame, ids: DataFrame, linked: DataFrame, width: int) -> DataFrame:
+def sets_for(base: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """The full sets (sorted 64-bit hashes) of the given node ids, each once."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = base.join(ids, "id__", "left_semi")
     out = map_text(rows, "text__", lambda t: sets_of(t, width), [T.StructField("set", T.BinaryType())]).drop("text__")
     return out.where(F.length("set") > 0)
@@ -365,7 +374,7 @@ def residual(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Sc
     members = parts[0]
     for p in parts[1:]:
         members = members.union(p)
-    members = members.join(nodes.select("rep", "n_shingles", "sketch"), "rep")
+    members = members.join(nodes.select("rep", "n_shingles", "sketch", "bands"), "rep")
     return scratch.table(within(members, percent).distinct(), "residual")
 
 
