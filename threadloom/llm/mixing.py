@@ -82,10 +82,13 @@ def mix_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
         # the bucket in which the running sum passes what is needed, and what is needed inside it
         over = F.when(F.col("upto") > F.col("need"), F.struct("bucket", "upto", "size"))
         found = steps.groupBy("source").agg(F.min(over).alias("x"), F.first("need").alias("need"), F.max("bucket").alias("last"))
-        bucket = F.coalesce(F.col("x.bucket"), F.col("last") + 1)
+        # a source with nothing inside its boundary bucket keeps the threshold it has
+        held = edge.select(F.col("source").alias("__source"), F.col("prefix").alias("old"))
+        found = held.join(found, found["source"].eqNullSafe(held["__source"]), "left")
+        bucket = F.coalesce(F.col("x.bucket"), F.col("last") + 1, F.shiftleft("old", LEVEL_BITS))
         need = F.when(F.col("x").isNull(), F.lit(0.0)).otherwise(F.col("need") - (F.col("x.upto") - F.col("x.size")))
         size = F.coalesce(F.col("x.size"), F.lit(0))
-        edge = scratch.table(found.select("source", need.alias("need"), bucket.alias("prefix"), size.alias("size")), f"edge-{level}")
+        edge = scratch.table(found.select(F.col("__source").alias("source"), need.alias("need"), bucket.alias("prefix"), size.alias("size")), f"edge-{level}")
     # the boundary document itself is taken if that comes nearer to the target
     limit = F.col("prefix") + F.when((F.col("size") > 0) & (F.col("need") * 2 >= F.col("size")), F.lit(1)).otherwise(F.lit(0))
     cut = edge.select("source", limit.alias("below"))
