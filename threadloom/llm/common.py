@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A pass over texts handles this many characters at once, so that numpy's temporaries stay bounded.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 
 
 class Scratch:

@@ -72,7 +72,7 @@ class ByteBpe:
     Strings of special tokens in a text are ordinary text.
     """
 
-    CACHE = 400_000
+    CACHE = 200_000
 
     def __init__(self, path: str):
         import os
@@ -101,8 +101,14 @@ class ByteBpe:
         return [head + b"".join(map(known.__getitem__, w)) for head, w in zip(first, words)]
 
 
+_encoders: dict[str, ByteBpe] = {}
+
+
 def encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
-    return ByteBpe(tokenizer).encode
+    """One encoder for each worker process and file: its vocabulary and known words serve all tasks."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = ByteBpe(tokenizer)
+    return _encoders[tokenizer].encode
 
 
 #: A piece: ids are little-endian unsigned 32-bit. closed: its sequence is complete.
