@@ -154,6 +154,7 @@ def test_words_encode_as_whole_texts(bpe):
     t.encode_special_tokens = True
     rng = random.Random(4)
     texts = ["", " ", "a  b", "a \n b\n", " x", "x ", "it's  'll 12 3 é ", "<|endoftext|> a", "\x1c \x1d a"] + ["".join(rng.choice(" \n\tab'1é.　\x85s") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice("  \nabZéÿ×ɐ1290.,'!_-#$~|^`[]\\½²’") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     own = packing.ByteBpe(bpe).encode(texts)
     assert [list(np.frombuffer(x, "<u4")) for x in own] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 

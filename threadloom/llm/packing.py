@@ -72,16 +72,22 @@ class ByteBpe:
     Strings of special tokens in a text are ordinary text.
 
     New words of Latin letters or digits with ASCII marks after these, or two such with a line feed
-    between, are encoded many in one string: the pre-tokenizer's pattern cuts them before spaces and
-    marks and around the line feed, as ``plain`` does without it. Their first tokens, and no others,
-    begin with a space and so tell them apart.
+    between, are encoded many in one string, by ``plain``, which has no pattern: the pattern would cut
+    before spaces and marks and around the line feed, but no token reaches over such a place, so its
+    cuts change nothing. (A vocabulary with such a token gets the pattern for all words.) The words'
+    first tokens, and no others, begin with a space and so tell the words apart.
     """
 
     CACHE = 400_000
     #: Words in one string.
-    JOINED = 500
+    JOINED = 100
     #: Up to U+024F all are letters from U+00C0 on, but for two signs. An apostrophe is no mark here.
-    PLAIN = r"(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+)[!-&(-/:-@\[-`{-~]*"
+    LETTERS, MARKS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-&(-/:-@\[-`{-~"
+    PLAIN = rf"(?:[{LETTERS}]+|[0-9]+)[{MARKS}]*"
+    #: In the vocabulary's spelling of bytes, U+0120 is the space and U+010A the line feed; OF are digits and the bytes of LETTERS.
+    OF = r"A-Za-z0-9\u00C3-\u00C9\u00A1-\u00BF\u0122-\u0143"
+    #: Tokens over a place where the pattern cuts plain words.
+    OVER = rf"(?=[{OF}{MARKS}\u0120\u010A]+\Z).*(?:[^\u0120]\u0120|[{OF}][{MARKS}\u010A]|[{MARKS}]\u010A|\u010A[{OF}])"
 
     def __init__(self, path: str):
         import os
@@ -95,14 +101,15 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.plain = Tokenizer.from_file(path)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.Punctuation("contiguous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        #: by id: whether a token begins with a space, which byte-level tokenizers write as U+0120
-        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.encode_special_tokens = True
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)  # by id: whether a token begins with a space
         self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        over = any(map(re.compile(self.OVER).match, self.tokenizer.get_vocab(with_added_tokens=False)))
         self.known: dict[str, bytes] = {}  # of words with a space before them
         self.odd = re.compile(r" (?=\s|\Z)")
         self.cut = re.compile(r" (?=\S)")
-        self.is_plain = re.compile(rf"{self.PLAIN}(?:\n{self.PLAIN})?").fullmatch
+        self.is_plain = re.compile(rf"{self.PLAIN}(?:\n{self.PLAIN})?" if not over else r"(?!)").fullmatch
 
     def ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
