@@ -1,13 +1,16 @@
 """Operators on small tables written here."""
 
 import random
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.config import SMALL, Settings, from_env
 from threadloom.functions import text as X
 from threadloom.operators import assemble, compaction, dag, expansion, folds, integrity, recall, store
+from threadloom.plans.queries import ORACLES, QUERIES
 
 MESSAGE = "id long, conversation_id long, seq long, role string, content string, token_count long, tool_call_id string, tool_name string, created_at timestamp"
 
@@ -126,6 +129,35 @@ def test_media(spark):
     assert [r[0] for r in df.select(X.annotate_media(F.col("t"))).collect()] == ["see [with media attachment]", "[Media attachment]", "plain"]
 
 
+def annotated(text):
+    """annotate_media by Python's own patterns."""
+    patterns = (r"data:[a-zA-Z0-9]+/[a-zA-Z0-9.+\-]+;base64,[A-Za-z0-9+/=\n]{20,}", r"MEDIA:/[^\s]+", r"(?:[0-9a-fA-F]{2}\s*){32,}", r"[\x80-\xff]{16,}")
+    if text is None or not any(re.search(p, text) for p in patterns):
+        return text
+    for p in patterns:
+        text = re.sub(p, "", text)
+    text = re.sub(r"\n{3,}", "\n\n", text).strip()
+    return text + " [with media attachment]" if text else "[Media attachment]"
+
+
+def test_media_of_all_documents(spark, tmp_path):
+    url, dump, latin = "data:image/png;base64," + "aGk+" * 9, "0a 1B\n" * 16, "é" * 16
+    texts = [None, "", " ", "plain", url, f"a {url}\nb", "MEDIA:/x/y.png", "see MEDIA:/x\xa0and\x1cMEDIA:/y on", dump, f"q\n{dump}\n\n\nz", dump[:-3], "0a\u2003" * 32, "ab" * 20000 + "z", latin, latin[1:], f"\x1c{latin}\u3000", f"x {latin} MEDIA:/z {url} {dump}", f"a\n\n{latin}\n\n\nb"]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice([url, "MEDIA:/", "0a", "fF " * 31, latin, "é" * 15, "g", " ", "\n", "\xa0", "\x1f"]) for _ in range(rng.randint(0, 9))) for _ in range(500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.annotated for r in QUERIES["media_annotate"](spark, str(tmp_path)).collect()}
+    assert found == {i: annotated(t) for i, t in enumerate(texts)}
+    assert sum(found[i] != t for i, t in enumerate(texts)) > 200
+
+
+def test_media_has_what_the_sql_has(spark):
+    sf = "/root/testdata/sf0.001"
+    sql = duckdb.sql(ORACLES["media_annotate"].replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall()
+    found = {r.doc_id: r.annotated for r in QUERIES["media_annotate"](spark, sf).collect()}
+    assert sql and all(found[i] == t for i, t in sql) and len(found) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_policy_grants_breaker():
     assert expansion.decide("x", 1, 5000) == "shallow" and expansion.decide("history", 4, 5000) == "delegate" and expansion.decide("x", 0, 1) == "direct"
     g = expansion.Grant("me", [1], token_cap=10)
