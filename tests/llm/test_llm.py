@@ -110,6 +110,20 @@ def test_near_dedup_odd_rows(spark):
     assert set(near_dedup.representatives(odd(spark)).columns) == set(odd(spark).columns)
 
 
+def test_near_dedup_null_id_shares_a_set(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near, own, alone = text + " tail", "solo text here now", "no id at all in any of these rows"
+    docs = [(None, text), (7, text), (5, text), (None, text.upper()), (9, near), (None, own), (None, alone), (None, alone), (None, ""), (None, None), (3, own)]
+    rows = table(spark, [(i, t, "s") for i, t in docs])
+    out = near_dedup.near_dups(rows).collect()
+    expected = [(None, 5, False)] * 2 + [(7, 5, False), (5, 5, True), (9, 5, False), (None, 3, False), (3, 3, True)] + [(None, None, True)] * 4
+    order = lambda x: [(v is None, v or 0) for v in x]
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in out), key=order) == sorted(expected, key=order)
+    left = near_dedup.representatives(rows)
+    assert left.columns == rows.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(5, text), (3, own), (0, alone), (0, alone), (0, ""), (0, "")])
+
+
 def test_mixing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mixed(docs).collect()}

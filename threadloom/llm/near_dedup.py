@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -290,17 +290,30 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     texts without a word (empty, null) have none and are linked with nothing. Texts are linked when
     100 * |intersection| >= ``percent`` * |union|; a component's id is its smallest document id.
     Repeated rows belong together; rows that share an id count as one document; a row with a null id
-    and a set of its own is its own component, with a null id. An empty table gives an empty result.
+    belongs to the documents with the same set, and if all rows of that set have null ids, it is its
+    own component, with a null id. An empty table gives an empty result.
     """
+    rows = judged(docs, id_col, text_col, width, percent)
+    return rows.select(F.col("id__").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart that may be dropped: the id, or without one the text's digest."""
+    return F.coalesce(F.col(id_col).cast("long").cast("string"), F.sha2(F.col(text_col).cast("binary"), 256))
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Rows (id__, key__, n_shingles, component_id, kept); key__ is the row_key."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     # names of our own, so that no id column clashes with a field
     base = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).alias("text__"))
-    feat = map_text(base, "text__", lambda t: features(t, width), FIELDS).drop("text__")
+    keyed = base.withColumn("key__", F.when(F.col("id__").isNull(), row_key("id__", "text__")))  # the others' key is their id
+    feat = map_text(keyed, "text__", lambda t: features(t, width), FIELDS).drop("text__")
     feat = scratch.table(feat, "features")
 
-    # equal sets are one node, named by its smallest id
-    groups = scratch.table(feat.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id__", "bands", "sketch")).alias("x")).select("set_a", "set_b", "n_shingles", F.col("x.id__").alias("rep"), "x.bands", "x.sketch"), "nodes")
+    # equal sets are one node, named by its smallest id; rows without an id don't name it
+    groups = scratch.table(feat.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.when(F.col("id__").isNotNull(), F.struct("id__", "bands", "sketch"))).alias("x")).select("set_a", "set_b", "n_shingles", F.col("x.id__").alias("rep"), "x.bands", "x.sketch"), "nodes")
     nodes = groups.where("rep is not null")
     keys = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
     # a star's hub: the least id under a permutation of its band
@@ -334,8 +347,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     whole = groups.join(comps, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     on = (feat.set_a == whole.set_a) & (feat.set_b == whole.set_b) & (feat.n_shingles == whole.n)
-    out = feat.join(whole, on, "left").select(feat.id__.alias(id_col), feat.n_shingles, F.coalesce(F.col("component"), feat.id__).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = feat.join(whole, on, "left").select(feat.id__, F.coalesce(feat.id__.cast("string"), feat.key__).alias("key__"), feat.n_shingles, F.coalesce(F.col("component"), feat.id__).alias("component_id"))
+    return out.withColumn("kept", F.col("id__").eqNullSafe(F.col("component_id")))
 
 
 def sets_for(base: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -378,10 +391,10 @@ def residual(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Sc
     return scratch.table(within(members, percent).distinct(), "residual")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component those with the least id."""
-    dropped = near_dups(docs, id_col, text_col, **options).where("not kept").select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    dropped = judged(docs, id_col, text_col, width, percent).where("not kept").select("key__").distinct()
+    return docs.join(dropped, row_key(id_col, text_col) == dropped.key__, "left_anti").select(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
