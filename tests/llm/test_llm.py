@@ -103,6 +103,21 @@ def test_near_dedup_divides_large_buckets(spark, monkeypatch):
     test_near_dedup(spark, 3, 85)
 
 
+def test_near_dedup_finds_single_band_pairs_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    rng = np.random.default_rng(3)
+    sketches = rng.integers(0, 256, (40, near_dedup.BINS), dtype=np.uint8)
+    pairs = {(3, 9), (4, 30), (11, 38), (0, 39)}
+    for a, b in pairs:
+        sketches[b] = sketches[a]
+    bands = [[7] + [1000 * (k + 1) + i for k in range(near_dedup.BANDS - 1)] for i in range(40)]  # all share the first band only
+    nodes = spark.createDataFrame([(i, 500, bytearray(x.tobytes()), k) for i, (x, k) in enumerate(zip(sketches, bands))], "rep long, n_shingles long, sketch binary, bands array<long>")
+    buckets = spark.createDataFrame([(7, i) for i in range(40)], "key long, rep long")
+    none = spark.createDataFrame([], "rep long, component long")
+    found = near_dedup.residual(buckets, none, nodes, near_dedup.Scratch(spark, "test"), 85).collect()
+    assert sorted(tuple(r) for r in found) == sorted((a, b, False) for a, b in pairs)
+
+
 def test_near_dedup_odd_rows(spark):
     out = near_dedup.near_dups(odd(spark))
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in out.collect()) == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (8, 8)]

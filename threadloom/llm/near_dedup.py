@@ -7,8 +7,8 @@ keys. In a bucket one hub is linked with every other member (a star), so that pa
 members, not their square. Candidates are confirmed on full shingle sets.
 
 Links that no star holds (both ends differ from the hub) are found in a second round: a bucket whose
-members are by then in more than one component is searched within, sketch against sketch, and too
-large a bucket is first divided by each of its members' other bands. The search gives pairs of
+members are by then in more than one component is searched within, sketch against sketch; too large
+a bucket is dealt in blocks, each held against each other. The search gives pairs of
 documents without links, and else (document, component): these are confirmed on full sets in blocks of
 a component's members against blocks of documents, so that no pairs are written out.
 """
@@ -27,7 +27,7 @@ from threadloom.llm.vectext import Block, U, mix, ngrams
 #: A pair of similarity 0.8 shares no band with a probability of 2e-5, one of 0.85 with 1e-7.
 BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
-#: A bucket with more members is divided by a further band before its members are compared.
+#: A bucket with more members is dealt in blocks of half as many, of which two at a time are compared.
 BUCKET = 4096
 #: Up to this many ids (8 bytes each) are broadcast to pick out candidates' texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -199,11 +199,11 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def within(members: DataFrame, percent: int) -> DataFrame:
-    """What may link different components inside buckets of bounded size, sketch against sketch.
+    """What may link different components inside buckets, or two blocks (lo, hi) of one, sketch against sketch.
 
     Rows (a, b, whole): two documents without links, or (whole) a document and a component. Of two
     components, the members of the one with the larger id are held against the other. Documents that
-    share several buckets are compared in the first of them (and in all divided ones).
+    share several buckets are compared in the first of them.
     """
     schema = T.StructType([*PAIR.fields, T.StructField("whole", T.BooleanType())])
 
@@ -212,16 +212,17 @@ def within(members: DataFrame, percent: int) -> DataFrame:
         linked = table.column("linked").to_numpy(zero_copy_only=False)
         x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        key = table.column("key")[0].as_py()
-        band = int((bands[0] == key).argmax()) if (bands[0] == key).any() else -1
+        band = int((bands[0] == table.column("key")[0].as_py()).argmax())
+        block, two = table.column("block").to_numpy(), table.column("lo")[0] != table.column("hi")[0]
         ids, sizes = np.unique(comp, return_counts=True)
         out = []
         for i in np.flatnonzero(comp != ids[sizes.argmax()]):  # each pair has an end outside the largest component
             low = np.minimum(n, n[i])
             ok = (comp != comp[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+            if two:  # each block within itself is another task
+                ok &= block != block[i]
             ok[ok] = (x[i] == x[ok]).mean(axis=1) >= least_share(low[ok], percent)
-            if band >= 0:
-                ok[ok] = (bands[ok] == bands[i]).argmax(axis=1) == band
+            ok[ok] = (bands[ok] == bands[i]).argmax(axis=1) == band
             for j in np.flatnonzero(ok):
                 if not linked[i] and not linked[j]:
                     out.append((min(rep[i], rep[j]), max(rep[i], rep[j]), False))
@@ -231,7 +232,7 @@ def within(members: DataFrame, percent: int) -> DataFrame:
                     out.append((rep[i], comp[j], True))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*set(out)) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()))], names=schema.names)
 
-    return members.groupBy("key").applyInArrow(search, schema)
+    return members.groupBy("key", "lo", "hi").applyInArrow(search, schema)
 
 
 def open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -369,24 +370,11 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def residual(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Plausible pairs that no star held, from the buckets that still hold several components."""
-    rows = scratch.table(open_buckets(buckets.select("key", "rep"), comps), "open-0")
-    parts = []
-    for level in range(1, 4):
-        parts.append(rows.where(F.col("size") <= BUCKET).select("key", "rep", "component", "linked"))
-        large = rows.where(F.col("size") > BUCKET)
-        if large.isEmpty():
-            break
-        other = buckets.select("rep", F.col("key").alias("by"))
-        finer = large.select("key", "rep").join(other, "rep").where("key <> by").select(F.xxhash64(F.least("key", "by"), F.greatest("key", "by")).alias("key"), "rep").distinct()
-        rows = scratch.table(open_buckets(finer, comps), f"open-{level}")
-    else:  # members that agree in many bands: blocks of one bucket against one another
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (BUCKET // 2)))).withColumn("n_blocks", F.ceil(F.col("size") / (BUCKET // 2)))
-        other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-        paired = dealt.select("key", "rep", "component", "linked", "block", other)
-        parts.append(paired.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rep", "component", "linked"))
-    members = parts[0]
-    for p in parts[1:]:
-        members = members.union(p)
+    rows = scratch.table(open_buckets(buckets.select("key", "rep"), comps), "open")
+    n_blocks = F.when(F.col("size") <= BUCKET, 1).otherwise(F.ceil(F.col("size") / (BUCKET // 2))).cast("int")
+    dealt = rows.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    members = paired.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component", "linked")
     members = members.join(nodes.select("rep", "n_shingles", "sketch", "bands"), "rep")
     return scratch.table(within(members, percent).distinct(), "residual")
 
