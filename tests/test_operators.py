@@ -124,6 +124,17 @@ def test_text():
     assert X.glob_regex("agent:*:**") == "^agent:[^:]*:.*$"
 
 
+def test_condensed_content_has_its_own_target(spark):
+    leaf = "summary_id string, conversation_id long, depth int, content string, token_count long, earliest_at timestamp, latest_at timestamp, kind string, created_at timestamp"
+    nodes = spark.createDataFrame([(f"s{i}", 1, 0, chr(97 + i) * 1000, 250, None, None, "leaf", None) for i in range(4)], leaf).withColumn("created_at", F.timestamp_seconds(F.substring("summary_id", 2, 1).cast("long")))
+    edges = spark.createDataFrame([], "parent_id string, child_id string")
+    whole = "\n".join(chr(97 + i) * 1000 for i in range(4))
+    content = lambda *a: compaction.condense(nodes, edges, 0, 2, *a)[0].first().content
+    assert Settings().condensed_target_tokens == 2000 and from_env(env={"THREADLOOM_CONDENSED_TARGET_TOKENS": "7"}).condensed_target_tokens == 7
+    assert content(2000) == whole and content(100) == whole[:400]
+    assert content(100, lambda t: F.concat(F.lit("all: "), F.substring(t, 1, 3))) == "all: aaa"
+
+
 def test_media(spark):
     df = spark.createDataFrame([("see MEDIA:/tmp/a.png",), ("MEDIA:/a",), ("plain",)], "t string")
     assert [r[0] for r in df.select(X.annotate_media(F.col("t"))).collect()] == ["see [with media attachment]", "[Media attachment]", "plain"]

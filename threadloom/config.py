@@ -13,6 +13,7 @@ class Settings:
     leaf_min_fanout: int = 8
     condensed_min_fanout: int = 4
     leaf_target_tokens: int = 2400
+    condensed_target_tokens: int = 2000
     max_context_tokens: int = 120_000
     hard_cap_tokens: int | None = None
     summary_ratio: float = 0.4
@@ -36,7 +37,7 @@ class Settings:
 
 ENGINE = Settings(fresh_tail=8, leaf_min_fanout=4, condensed_min_fanout=3, leaf_target_tokens=1200)
 #: Small limits, so that the short conversations of the test tables are compacted at all.
-SMALL = Settings(fresh_tail=2, leaf_chunk_tokens=300, leaf_min_fanout=2, condensed_min_fanout=2, leaf_target_tokens=100)
+SMALL = Settings(fresh_tail=2, leaf_chunk_tokens=300, leaf_min_fanout=2, condensed_min_fanout=2, leaf_target_tokens=100, condensed_target_tokens=100)
 
 
 def from_env(base: Settings = Settings(), prefix: str = "THREADLOOM_", env: dict | None = None) -> Settings:

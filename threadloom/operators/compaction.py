@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,22 +52,26 @@ def leaves(messages: DataFrame, settings: Settings, compacted: DataFrame | None
     return nodes.drop("chunk"), edges
 
 
-def condense(summaries: DataFrame, parent_edges: DataFrame, depth: int, fanout: int) -> tuple[DataFrame, DataFrame]:
-    """One parent for all orphans of a depth in each conversation that has at least ``fanout`` of them."""
+def condense(summaries: DataFrame, parent_edges: DataFrame, depth: int, fanout: int, target_tokens: int, candidate: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One parent for all orphans of a depth in each conversation that has at least ``fanout`` of them.
+
+    ``candidate`` is a summariser of the children's joined contents (null for failure).
+    """
+    content = lambda text, n: summarise(text, n, target_tokens, candidate and candidate(text))
     orphans = dag.orphans_at(summaries, parent_edges, depth)
-    made = store.create_condensed(orphans, "conversation_id").where(F.size("child_ids") >= fanout)
+    made = store.create_condensed(orphans, "conversation_id", content=content).where(F.size("child_ids") >= fanout)
     return made.drop("child_ids"), made.select(F.col("summary_id").alias("parent_id"), F.explode("child_ids").alias("child_id"))
 
 
-def sweep(messages: DataFrame, settings: Settings, max_depth: int = 1) -> Dag:
-    """Leaves to exhaustion, then condensed nodes level by level, for all conversations at once.
+def sweep(messages: DataFrame, settings: Settings, max_depth: int = 1, candidate: Callable[[Column], Column] | None = None) -> Dag:
+    """Leaves to exhaustion, then condensed nodes (by ``candidate``) level by level, for all conversations at once.
 
     A level merges all orphans of a conversation into one node, so that from an empty store one level is all there is.
     """
     nodes, edges = leaves(messages, settings)
     parents = messages.sparkSession.createDataFrame([], "parent_id string, child_id string")
     for depth in range(max_depth):
-        made, links = condense(nodes, parents, depth, settings.condensed_min_fanout)
+        made, links = condense(nodes, parents, depth, settings.condensed_min_fanout, settings.condensed_target_tokens, candidate)
         nodes, parents = nodes.unionByName(made), parents.unionByName(links)
     return Dag(nodes, edges, parents)
 
@@ -97,7 +102,7 @@ def until_under(messages: DataFrame, settings: Settings, limit: int, rounds: int
         now = context_tokens(messages, best).agg(F.max("tokens")).first()[0] or 0
         if now <= limit or now == before:
             break
-        before, settings = now, replace(settings, fresh_tail=max(1, settings.fresh_tail // 2), leaf_target_tokens=max(1, settings.leaf_target_tokens // 2))
+        before, settings = now, replace(settings, fresh_tail=max(1, settings.fresh_tail // 2), leaf_target_tokens=max(1, settings.leaf_target_tokens // 2), condensed_target_tokens=max(1, settings.condensed_target_tokens // 2))
         best = sweep(messages, settings)
     return best
 

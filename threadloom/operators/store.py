@@ -5,6 +5,8 @@ Stored tables are immutable files: updates are appended rows and a latest-wins v
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,13 +76,16 @@ def replace_with_summary(items: DataFrame, summary_id: str, message_ids: list[in
     return items.where(~F.coalesce(hit, F.lit(False))).unionByName(added)
 
 
-def create_condensed(children: DataFrame, *group: str) -> DataFrame:
-    """A parent for each group of summaries: one level above the deepest child, with the sum of their tokens."""
+def create_condensed(children: DataFrame, *group: str, content: Callable[[Column, Column], Column]) -> DataFrame:
+    """A parent for each group of summaries: one level above the deepest child, with the sum of their tokens.
+
+    ``content`` makes its text of the children's, joined in order of time, and of that sum.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("created_at", "summary_id", "content", "earliest_at", "latest_at")))
     rows = children.groupBy(*group).agg(ordered.alias("c"), (F.coalesce(F.max("depth"), F.lit(-1)) + 1).alias("depth"), F.sum("token_count").alias("source_token_count"))
-    content = F.substring(F.array_join(F.transform("c", lambda x: x.content), "\n"), 1, 400)
+    text = content(F.array_join(F.transform("c", lambda x: x.content), "\n"), F.col("source_token_count"))
     ids = F.transform("c", lambda x: x.summary_id)
-    return rows.select(*group, derived_id("sum_", 12, F.array_join(ids, ",")).alias("summary_id"), F.lit("condensed").alias("kind"), "depth", content.alias("content"), F.floor(F.length(content) / 4).alias("token_count"), "source_token_count", F.element_at("c", 1).earliest_at.alias("earliest_at"), F.element_at("c", -1).latest_at.alias("latest_at"), F.element_at("c", -1).created_at.alias("created_at"), ids.alias("child_ids"))
+    return rows.select(*group, derived_id("sum_", 12, F.array_join(ids, ",")).alias("summary_id"), F.lit("condensed").alias("kind"), "depth", text.alias("content"), F.floor(F.length(text) / 4).alias("token_count"), "source_token_count", F.element_at("c", 1).earliest_at.alias("earliest_at"), F.element_at("c", -1).latest_at.alias("latest_at"), F.element_at("c", -1).created_at.alias("created_at"), ids.alias("child_ids"))
 
 
 def large_content(rows: DataFrame, limit: int = 25_000) -> DataFrame:
