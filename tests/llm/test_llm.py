@@ -288,6 +288,14 @@ def test_language(spark):
     assert langid.identify(odd(spark), empty).where("not rejected").count() == 0
 
 
+def test_language_of_one_document(spark):
+    own = "żółw je źdźbło trawy i śpi w cieniu drzewa nad rzeką"
+    docs = [(i, f"the cat sat on the mat and number {'abcdefgh'[i]} ran away from the dog", "en") for i in range(8)] + [(8, own, "pl")]
+    model = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    pred, _, _, rejected = model.decide([own, "źdźbło trawy nad rzeką", "the dog sat on the mat"])
+    assert model.languages == ["en", "pl"] and pred == ["pl", "pl", "en"] and not rejected[0]
+
+
 def test_probabilities_sum_to_one():
     g, n = langid.gram_counts(["the cat sat on the mat", "that hat"])
     m = langid.Model({"en": (g, n)})

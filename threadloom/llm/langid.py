@@ -23,8 +23,6 @@ U = np.uint64
 SPACE = 32
 #: Training reads at most this many documents of each language, those with the least hashes of their ids.
 TRAIN_DOCS = 1500
-#: Languages with fewer training documents than this aren't learned, unless all have fewer.
-MIN_DOCS = 3
 UND = "und"
 _table = None
 
@@ -190,9 +188,9 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, margin: float = 1.5) -> Model:
     """A model of the languages in ``docs``, whose every row may be learned from.
 
-    Of each language at most ``max_docs`` documents are read, whole. Rows with null text or language
-    are left out. ``margin`` times the largest cross-entropy of a held-back tenth of them (at least
-    that of the trained ones) is the limit of rejection.
+    Of each language at most ``max_docs`` documents are read, whole; one is enough to learn it. Rows
+    with null text or language are left out. ``margin`` times the largest cross-entropy of a held-back tenth of them (at least
+    that of the trained ones) is the limit of rejection; a language without held-back documents has none.
     """
     from pyspark.sql.window import Window
 
@@ -226,8 +224,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     lang, grams, n = np.array(table.column("lang").to_pylist(), object), table.column("gram").to_numpy().view(U), table.column("n").to_numpy()
     counts = {}
     for x in sorted(set(lang)):
-        if len(sizes) > 1 and sizes[x] < MIN_DOCS and max(sizes.values()) >= MIN_DOCS:
-            continue
         own = lang == x
         g, back = np.unique(grams[own], return_inverse=True)
         counts[x] = (g, np.bincount(back, n[own]).astype(np.int64))
