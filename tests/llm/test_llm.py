@@ -296,6 +296,14 @@ def test_language_of_one_document(spark):
     assert model.languages == ["en", "pl"] and pred == ["pl", "pl", "en"] and not rejected[0]
 
 
+def test_language_of_symbols_beyond_the_basic_plane():
+    m = langid.Model({"en": langid.gram_counts(["the cat sat on the mat"]), "es": langid.gram_counts(["lo que se ve"])})
+    pred, score, _, rejected = m.decide(["\U0001F600\U0001F680", "\U0001D7D8", "the \U0001F600 cat", "\U00020000\U0001D400"])
+    assert pred[:2] == ["und"] * 2 and list(score[:2]) == [0, 0] and list(rejected) == [True, True, False, False]
+    assert list(langid.normalise(["a\U0001F600b"])[0]) == list(langid.normalise(["a b"])[0])
+    assert list(langid.normalise(["\U00020000\U0001D400"])[0]) == [0xAC00] * 2
+
+
 def test_probabilities_sum_to_one():
     g, n = langid.gram_counts(["the cat sat on the mat", "that hat"])
     m = langid.Model({"en": (g, n)})

@@ -43,12 +43,15 @@ def char_table() -> np.ndarray:
 def normalise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one array of 16-bit symbols, each after three spaces, runs of spaces single; and where each begins.
 
-    Letters beyond the basic plane share one symbol.
+    Letters beyond the basic plane share one symbol; what is no letter there is a space, as elsewhere.
     """
     joined = "\n".join(t or "" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = points > 0xFFFF
     sym = char_table()[np.where(high, 0xAC00, points).astype(np.uint16)]
+    if high.any():
+        distinct, back = np.unique(points[high], return_inverse=True)
+        sym[high] = np.where([chr(c).isalpha() for c in distinct], 0xAC00, SPACE)[back]
     length = np.array([len(t or "") for t in texts], np.int64)
     begin = np.cumsum(length + 1) - (length + 1)
     keep = sym != SPACE
