@@ -265,6 +265,14 @@ def test_quality_counts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
 
 
+def test_quality_does_not_depend_on_neighbours():
+    model = quality_rules.Model(np.random.default_rng(5).normal(size=1 << quality_rules.BITS), 0.1)
+    texts = ["", "a", None, "ab", "abc", "abcd", "é", "ten words or so that end in one more word", "\n\n", "x y", ""]
+    alone = [model.probability(quality_rules.featurise([t]))[0] for t in texts]
+    assert list(model.probability(quality_rules.featurise(texts))) == pytest.approx(alone)
+    assert list(model.probability(quality_rules.featurise(texts[::-1]))) == pytest.approx(alone[::-1])
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -18,14 +18,19 @@ KEEP = 0.5
 
 
 def features(block: Block, h: np.ndarray, doc: np.ndarray, counts: np.ndarray):
-    """Hashed word 1- and 2-grams and 4-byte character grams; each kind is averaged over the text."""
+    """Hashed word 1- and 2-grams and 4-byte character grams; each kind is averaged over the text.
+
+    The last character gram of a text ends with its line feed.
+    """
     pairs, first = ngrams(h, doc, 2)
     groups = [mean_group(slot(h, BITS, 1), counts), mean_group(slot(pairs, BITS, 2), np.bincount(doc[first], minlength=block.n))]
     b = block.buf.astype(U)
     m = max(len(b) - 3, 0)
     chars = (b[:m] | (b[1 : m + 1] << U(8)) | (b[2 : m + 2] << U(16)) | (b[3 : m + 3] << U(24))) * U(0x9E3779B97F4A7C15)
-    bounds = np.minimum(block.bounds, m)
-    groups.append(mean_group((chars >> U(64 - BITS)).astype(np.int64), np.diff(bounds)))
+    inside = np.ones(len(b), bool)
+    for k in range(1, 4):  # the starts from which a gram would run into the next text
+        inside[np.maximum(block.bounds[1:] - k, block.bounds[:-1])] = False
+    groups.append(mean_group((chars[inside[:m]] >> U(64 - BITS)).astype(np.int64), np.maximum(np.diff(block.bounds) - 3, 0)))
     return groups
 
 
