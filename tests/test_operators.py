@@ -169,6 +169,14 @@ def test_media_has_what_the_sql_has(spark):
     assert sql and all(found[i] == t for i, t in sql) and len(found) == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_policy_of_all_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    found = {r.doc_id: r.action for r in QUERIES["expansion_policy"](spark, sf).collect()}
+    sql = dict(duckdb.sql(ORACLES["expansion_policy"].replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall())
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert found == sql | {i: "direct" for i in ids if i % 7 == 0}
+
+
 def test_policy_grants_breaker():
     assert expansion.decide("x", 1, 5000) == "shallow" and expansion.decide("history", 4, 5000) == "delegate" and expansion.decide("x", 0, 1) == "direct"
     g = expansion.Grant("me", [1], token_cap=10)

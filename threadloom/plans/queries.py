@@ -369,6 +369,6 @@ def cosine_by_label(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN r < 0.35 THEN 'shallow' WHEN r <= 0.7 AND doc_id % 7 <= 3 THEN 'shallow' ELSE 'delegate' END AS action FROM (SELECT doc_id, 500.0 * (doc_id % 7) * CASE WHEN doc_id % 7 >= 5 THEN 1.3 ELSE 1 END / 5000 AS r FROM documents WHERE doc_id % 7 > 0)")
 def expansion_policy(spark, sf):
-    """The policy for one to six candidates, as a lookup of its few outcomes."""
-    outcome = F.create_map(*[x for n in range(1, 7) for x in (F.lit(n), F.lit(expansion.decide("what happened", n, 5000)))])
-    return docs(spark, sf).where("doc_id % 7 > 0").select("doc_id", outcome[(F.col("doc_id") % 7).cast("int")].alias("action"))
+    """The policy for none to six candidates, as a lookup of its few outcomes. The SQL leaves out the documents with none."""
+    outcome = F.create_map(*[x for n in range(7) for x in (F.lit(n), F.lit(expansion.decide("what happened", n, 5000)))])
+    return docs(spark, sf).select("doc_id", outcome[(F.col("doc_id") % 7).cast("int")].alias("action"))
