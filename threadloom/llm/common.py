@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,28 @@ from pyspark.sql import types as T
 
 #: A pass over texts handles this many characters at once, so that numpy's temporaries stay bounded.
 BLOCK_CHARS = 500_000
+#: ... and this many texts: sketches and the like are made for all of them at once.
+BLOCK_TEXTS = 4096
+#: While scratch tables are written, Arrow batches hold at most this many rows, as texts may be long.
+BATCH_ROWS = 1000
+#: A scratch table of known size is written in one file for each so many rows, whatever the partitions.
+FILE_ROWS = 200_000
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """The session's settings with these, restored at the end."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Scratch:
@@ -32,8 +55,13 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.at(name))
+    def table(self, df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+        """``df`` written and reread. ``rows`` is how many it has at most, where known: a table that is small
+        for its partitions gets few files, and a large one as many as it has partitions."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // file_rows)))
+        with settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+            df.write.option("compression", "zstd").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, name: str) -> None:
@@ -44,11 +72,11 @@ class Scratch:
 
 
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters; a longer text makes a range of its own."""
+    """Ranges of rows of about ``limit`` characters, and of BLOCK_TEXTS rows at most; a longer text makes a range of its own."""
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if size and size + n > limit:
+        if (size and size + n > limit) or i - start >= BLOCK_TEXTS:
             yield start, i
             start, size = i, 0
         size += n

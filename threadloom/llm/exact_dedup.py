@@ -12,39 +12,24 @@ Nothing but DataFrame operations and the streaming engine runs on the executors.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Scratch
+from threadloom.llm.common import Scratch, settings
 
 #: Up to this many hit digests (8 bytes each) are broadcast to prefilter the byte comparison.
 BROADCAST_HITS = 1_000_000
 
-#: Stores don't allocate disk ahead: with many partitions that would be more than the state itself.
+#: Stores don't allocate disk ahead: with many partitions that would be more than the state itself. All stores of
+#: an executor share one bound of memory, outside the heap.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 
 
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]):
-    """The session's settings with these, restored at the end."""
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def arrivals(docs: DataFrame, id_col: str, text_col: str, digest=None) -> DataFrame:
     """The log of rows of a file-backed DataFrame: digest, id and locator (file path and row)."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -4,17 +4,23 @@ One permutation: each shingle is hashed once; its high bits name a bin and the l
 is the bin's minimum. Empty bins borrow from a random full one (optimal densification: the place is
 drawn from the bin's number and the attempt, alike for all documents). Bands of bins give bucket
 keys. In a bucket one hub is linked with every other member (a star), so that pairs grow with the
-members, not their square. Candidates are confirmed on full shingle sets.
+members, not their square. Stars that sketches don't speak against are confirmed on full shingle sets.
 
-Links that no star holds (both ends differ from the hub) are found in a second round: a bucket whose
-members are by then in more than one component is searched within, sketch against sketch; too large
-a bucket is dealt in blocks, each held against each other. The search gives pairs of
-documents without links, and else (document, component): these are confirmed on full sets in blocks of
-a component's members against blocks of documents, so that no pairs are written out.
+Links that no star holds (both ends differ from the hub) are found in a second round, over the members
+of buckets that still hold several components. It is exact: two sets that are similar enough share a
+shingle among the first few of each, in any one order of all shingles. The order is by frequency, rare
+ones first, so that passages many documents share don't make candidates. Documents of different
+components that share such a shingle are compared: by twos where a shingle has few documents, else in
+blocks on full sets, of which only links that join components are put out.
+
+A shingle is known by a 64-bit hash, so sets are sets of hashes: two different shingles of a pair are
+taken for one with a probability of about 1e-13 for a pair of sets of 1,000.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,16 +33,21 @@ from threadloom.llm.vectext import Block, U, mix, ngrams
 #: A pair of similarity 0.8 shares no band with a probability of 2e-5, one of 0.85 with 1e-7.
 BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
-#: A bucket with more members is dealt in blocks of half as many, of which two at a time are compared.
-BUCKET = 4096
 #: Up to this many ids (8 bytes each) are broadcast to pick out candidates' texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Members of a component, and documents held against them, in one block of the exact search.
-BLOCK = 256
-#: Sketches of 8 bits a bin agree about as often as the sets are similar. A pair is left out only if they
-#: agree less than the threshold by so many standard deviations. Small sets fill fewer bins by themselves,
-#: and so their sketches count as that much shorter.
+#: Documents with one rare shingle are compared by twos up to this many (at most so many candidates a row), else in blocks.
+LIST = 32
+#: Shingles of the documents in one block of the exact search; two blocks meet in a task.
+BLOCK = 500_000
+#: Frequencies of shingles are kept by so many hash slots: a byte each is broadcast, whatever the input.
+#: Shingles that share a slot count as more frequent than they are; this costs time only.
+SLOTS = 1 << 22
+#: Sketches of 8 bits a bin agree about as often as the sets are similar. A star's edge is left out if they
+#: agree less than the threshold by so many standard deviations (its ends then meet in the second round).
+#: Small sets fill fewer bins by themselves, and so their sketches count as that much shorter.
 DEVIATIONS = 4.5
+#: Rows with sketches or bands in one scratch file.
+WIDE_ROWS = 20_000
 
 
 def least_share(n: np.ndarray, percent: int) -> np.ndarray:
@@ -134,7 +145,7 @@ def map_columns(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            step = max(1, int(batch.num_rows * 16e6 / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)))
             for i in range(0, batch.num_rows, step):
                 yield pa.RecordBatch.from_arrays(fn(batch.slice(i, step)), names=schema.names)
 
@@ -179,108 +190,161 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node -> least node of its component, for nodes that have an edge (large and small stars by turns)."""
-    edges = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
-    before = None
-    for turn in range(1, 100):
+    n, before = edges.count(), None
+    edges = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0", n)
+    for turn in range(1, 1000):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).distinct()
-        small = scratch.table(small, f"{label}-{turn}")
+        small = scratch.table(small, f"{label}-{turn}", 2 * n)
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{label}-{turn - 1}")
-        edges = small
+        edges, n = small, now[0]
         if now == before:
-            break
+            return edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
         before = now
-    return edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    raise RuntimeError("components didn't settle")
+
+
+def grown(comps: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """Components with further links: the old ones go in as stars."""
+    return components(links.select("a", "b").union(comps.select(F.col("rep").alias("a"), F.col("component").alias("b"))), scratch, label)
+
+
+def opened(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id__, component) of the documents in buckets (key, rep) that hold more than one component."""
+    rows = buckets.join(comps, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key", "left_semi").select(F.col("rep").alias("id__"), "component").distinct()
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) & U(SLOTS - 1)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each hash slot are in all the sets: a byte, six steps for each doubling."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(total, slots(np.frombuffer(s, U)), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["slot", "n"])
+
+    found = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[found.column("slot").to_numpy()] = np.minimum(6 * np.log2(found.column("n").to_numpy()), 255).astype(np.uint8)
+    return out
+
 
+FIRST = T.StructType([*(T.StructField(n, T.LongType()) for n in ("gram", "rep", "component", "n", "place")), T.StructField("short", T.BooleanType())])
 
-def within(members: DataFrame, percent: int) -> DataFrame:
-    """What may link different components inside buckets, or two blocks (lo, hi) of one, sketch against sketch.
 
-    Rows (a, b, whole): two documents without links, or (whole) a document and a component. Of two
-    components, the members of the one with the larger id are held against the other. Documents that
-    share several buckets are compared in the first of them.
+def first_shingles(sets: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
+    """The first shingles of each set (id__, component, set), rare ones first, with their place.
+
+    Of a pair with the similarity, the larger set has one of the smaller's first
+    n - ceil(2t / (1 + t) n) + 1 (``short``) among its own first n - ceil(t n) + 1.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(order)
+
+    def run(batch):
+        own = [np.frombuffer(s, U) for s in batch.column("set").to_pylist()]
+        n = np.array([len(x) for x in own], np.int64)
+        grams, owner = np.concatenate(own), np.repeat(np.arange(len(own)), n)
+        at = np.lexsort((grams, shared.value[slots(grams)], owner))  # owners are in order already
+        place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
+        most, short = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+        keep = place < most[owner]
+        who, place = owner[keep], place[keep]
+        ids, comps = (batch.column(c).to_numpy()[who] for c in ("id__", "component"))
+        return [pa.array(x) for x in (grams[at][keep].view(np.int64), ids, comps, n[who], place, place < short[who])]
+
+    return map_columns(sets.select("id__", "component", "set"), run, FIRST)
+
+
+def residual(buckets: DataFrame, comps: DataFrame, sets: DataFrame, more: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int) -> DataFrame | None:
+    """Links (a, b) between components, enough to join all that are linked, among documents of open buckets.
+
+    ``sets`` has full sets, and ``more`` finds those of further ids. None if all buckets are closed.
     """
-    schema = T.StructType([*PAIR.fields, T.StructField("whole", T.BooleanType())])
-
-    def search(table: pa.Table) -> pa.Table:
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        linked = table.column("linked").to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        band = int((bands[0] == table.column("key")[0].as_py()).argmax())
-        block, two = table.column("block").to_numpy(), table.column("lo")[0] != table.column("hi")[0]
-        ids, sizes = np.unique(comp, return_counts=True)
-        out = []
-        for i in np.flatnonzero(comp != ids[sizes.argmax()]):  # each pair has an end outside the largest component
-            low = np.minimum(n, n[i])
-            ok = (comp != comp[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
-            if two:  # each block within itself is another task
-                ok &= block != block[i]
-            ok[ok] = (x[i] == x[ok]).mean(axis=1) >= least_share(low[ok], percent)
-            ok[ok] = (bands[ok] == bands[i]).argmax(axis=1) == band
-            for j in np.flatnonzero(ok):
-                if not linked[i] and not linked[j]:
-                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j]), False))
-                elif not linked[j] or (linked[i] and comp[j] > comp[i]):
-                    out.append((rep[j], comp[i], True))
-                else:
-                    out.append((rep[i], comp[j], True))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*set(out)) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()))], names=schema.names)
-
-    return members.groupBy("key", "lo", "hi").applyInArrow(search, schema)
-
-
-def open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Bucket rows (key, rep, component, linked) of the buckets that hold more than one component."""
-    rows = buckets.join(comps, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return rows.join(several, "key")
-
-
-def all_members(comps: DataFrame) -> DataFrame:
-    """(rep, component) with the components' own nodes."""
-    return comps.union(comps.select("component", "component").distinct())
-
-
-def blocks(against: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of documents with members of components: one for each (a, component) and block of the latter."""
-    x = against.select(F.col("a").alias("x"), F.col("b").alias("c"))
-    y = comps.select(F.col("component").alias("c"), F.col("rep").alias("y")).join(x.select("c").distinct(), "c", "left_semi")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sizes = y.groupBy("c").agg(F.count(F.lit(1)).alias("ny")).join(x.groupBy("c").agg(F.count(F.lit(1)).alias("nx")), "c").select("c", parts("ny").alias("ky"), parts("nx").alias("kx"))
-    deal = lambda rep, k: F.pmod(F.xxhash64(rep), F.col(k)).cast("int")
-    copies = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = x.join(sizes, "c").select("c", copies("ky").alias("i"), deal("x", "kx").alias("j"), F.col("x").alias("rep"), F.lit(True).alias("asks"))
-    right = y.join(sizes, "c").select("c", deal("y", "ky").alias("i"), copies("kx").alias("j"), F.col("y").alias("rep"), F.lit(False).alias("asks"))
-    rows = left.union(right).join(sets.toDF("rep", "set"), "rep")
+    docs = scratch.table(opened(buckets, comps), "open")
+    if not (n := docs.count()):
+        return None
+    sets = sets.union(scratch.table(more(docs.join(sets, "id__", "left_anti").select("id__")), "sets-more", n, WIDE_ROWS // 4))
+    sets = scratch.table(docs.join(sets, "id__"), "sets-open", n, WIDE_ROWS // 4)
+    rows = scratch.table(first_shingles(sets, frequencies(sets), percent), "first")
+    lists = rows.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("short").alias("shorts"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("lo <> hi and shorts > 0").select("gram", "size", "total")
+    rows = scratch.table(rows.join(lists, "gram"), "lists", rows.count())
+    return by_twos(rows.where(F.col("size") <= LIST), sets, percent).union(in_blocks(rows.where(F.col("size") > LIST), sets, percent))
+
+
+def by_twos(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents that share a shingle of a short list, if sizes and places in the order allow them."""
+    x, y = (rows.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place", "short"))) for k in "ab")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
+    fits = F.col("short_a") & smaller & (F.col("component_a") != F.col("component_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
+    # at the first shingle they share, what comes after it must suffice
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    pairs = x.join(y, "gram").where(fits & (rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
+    return confirm(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), sets.select("id__", "set"), percent)
+
+
+def joining(sets: list[np.ndarray], comp: np.ndarray, percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets with the similarity that join different components; no more than one for each joint.
+
+    With ``block``, only pairs of different blocks. Shingles are counted by an inverted list.
+    """
+    size = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    label = np.unique(comp, return_inverse=True)[1]
+    largest = np.bincount(label).argmax()
+    out = []
+    for i in np.flatnonzero(label != largest):  # each pair has an end outside the largest component
+        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        good = (100 * both >= percent * (size[i] + size - both)) & (label != label[i])
+        if block is not None:
+            good &= block != block[i]
+        while len(found := np.flatnonzero(good)):
+            j = found[0]
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+            good &= label != label[i]
+    return out
+
+
+def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the documents of a long list: where they have too many shingles for one task, they are
+    dealt in blocks, of which each meets itself and each other."""
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    dealt = rows.select("gram", "rep", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component")
+    # a task of one component has nothing to join
+    several = met.groupBy("gram", "lo", "hi").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram", "lo", "hi")
+    met = met.join(several, ["gram", "lo", "hi"]).join(sets.select(F.col("id__").alias("rep"), "set"), "rep")
 
     def exact(table: pa.Table) -> pa.Table:
-        rep, asks = table.column("rep").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        own = [np.frombuffer(t, U) for t in table.column("set").to_pylist()]
-        size = np.array([len(t) for t in own])
-        held = np.flatnonzero(~asks)
-        out = []
-        if len(held):
-            values = np.concatenate([own[k] for k in held])
-            owner = np.repeat(np.arange(len(held)), size[held])
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for k in np.flatnonzero(asks):
-                lo, hi = np.searchsorted(values, own[k], "left"), np.searchsorted(values, own[k], "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(held))
-                good = np.flatnonzero(100 * both >= percent * (size[k] + size[held] - both))
-                if len(good):
-                    out.append((min(rep[k], rep[held[good[0]]]), max(rep[k], rep[held[good[0]]])))
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], names=PAIR.names)
-
-    return rows.groupBy("c", "i", "j").applyInArrow(exact, PAIR)
+        rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+        two = table.column("lo")[0] != table.column("hi")[0]
+        links = joining([np.frombuffer(s, U) for s in table.column("set").to_pylist()], comp, percent, block if two else None)
+        a, b = (np.array([rep[p[k]] for p in links], np.int64) for k in (0, 1))
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=PAIR.names)
+
+    return met.groupBy("gram", "lo", "hi").applyInArrow(exact, PAIR)
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -312,39 +376,34 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     keyed = base.withColumn("key__", F.when(F.col("id__").isNull(), row_key("id__", "text__")))  # the others' key is their id
     feat = map_text(keyed, "text__", lambda t: features(t, width), FIELDS).drop("text__")
     feat = scratch.table(feat, "features")
+    n = feat.count()
 
     # equal sets are one node, named by its smallest id; rows without an id don't name it
-    groups = scratch.table(feat.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.when(F.col("id__").isNotNull(), F.struct("id__", "bands", "sketch"))).alias("x")).select("set_a", "set_b", "n_shingles", F.col("x.id__").alias("rep"), "x.bands", "x.sketch"), "nodes")
+    named = F.min(F.when(F.col("id__").isNotNull(), F.struct("id__", "bands", "sketch"))).alias("x")
+    groups = feat.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(named)
+    groups = scratch.table(groups.select("set_a", "set_b", "n_shingles", F.col("x.id__").alias("rep"), "x.bands", "x.sketch"), "nodes", n, WIDE_ROWS)
     nodes = groups.where("rep is not null")
     keys = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
     # a star's hub: the least id under a permutation of its band
     salted = keys.select("key", F.col("rep").bitwiseXOR(F.xxhash64("band")).alias("x"))
     hubs = salted.groupBy("key").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.table(keys.join(hubs, "key").select("key", "band", "rep", F.col("x").bitwiseXOR(F.xxhash64("band")).alias("hub")), "buckets")
+    buckets = scratch.table(keys.join(hubs, "key").select("key", "rep", F.col("x").bitwiseXOR(F.xxhash64("band")).alias("hub")), "buckets", BANDS * n)
     stars = buckets.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    stars = scratch.table(plausible(stars, nodes, percent), "stars")
-    ends = scratch.table(stars.select(F.col("a").alias("id__")).union(stars.select("b")).distinct(), "ends")
-    sets = scratch.table(sets_for(base, ends, width), "sets")
+    stars = scratch.table(plausible(stars, nodes, percent), "stars", buckets.count())
+    ends = scratch.table(stars.select(F.col("a").alias("id__")).union(stars.select("b")).distinct(), "ends", n)
+    sets = scratch.table(sets_for(base, ends, width), "sets", ends.count(), WIDE_ROWS // 4)
 
     # first each document's most similar hub; then what that leaves in different components
     best = stars.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = scratch.table(confirm(best, sets, percent), "links-0")
-    comps = components(links, scratch, "cc0")
-    found = scratch.table(confirm(apart(stars.select("a", "b"), comps), sets, percent), "links-1")
+    comps = components(scratch.table(confirm(best, sets, percent), "links-0", n), scratch, "cc0")
+    found = scratch.table(confirm(apart(stars.select("a", "b"), comps), sets, percent), "links-1", stars.count())
     if not found.isEmpty():
-        links = links.union(found)
-        comps = components(links, scratch, "cc1")
-    rest = residual(buckets, comps, nodes, scratch, percent)
-    if not rest.isEmpty():
-        members = all_members(comps)
-        against = rest.where("whole")
-        need = rest.select(F.col("a").alias("id__")).union(rest.where("not whole").select("b")).union(members.join(against.select(F.col("b").alias("component")), "component", "left_semi").select("rep"))
-        more = scratch.table(need.distinct().join(sets.select("id__"), "id__", "left_anti"), "more")
-        sets = sets.union(scratch.table(sets_for(base, more, width), "sets-more"))
-        pairs = confirm(rest.where("not whole").select("a", "b"), sets, percent)
-        found = scratch.table(pairs.union(blocks(against, members, sets, percent)), "links-2")
-        if not found.isEmpty():
-            comps = components(links.union(found), scratch, "cc2")
+        comps = grown(comps, found, scratch, "cc1")
+    rest = residual(buckets.select("key", "rep"), comps, sets, lambda ids: sets_for(base, ids, width), scratch, percent)
+    if rest is not None and not (found := scratch.table(rest, "links-2")).isEmpty():
+        comps = grown(comps, found, scratch, "cc2")
+    for done in ("buckets", "stars", "ends", "sets", "links-0", "links-1", "links-2", "open", "sets-more", "sets-open", "first", "lists"):
+        scratch.drop(done)
 
     whole = groups.join(comps, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     on = (feat.set_a == whole.set_a) & (feat.set_b == whole.set_b) & (feat.n_shingles == whole.n)
@@ -368,17 +427,6 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def residual(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Plausible pairs that no star held, from the buckets that still hold several components."""
-    rows = scratch.table(open_buckets(buckets.select("key", "rep"), comps), "open")
-    n_blocks = F.when(F.col("size") <= BUCKET, 1).otherwise(F.ceil(F.col("size") / (BUCKET // 2))).cast("int")
-    dealt = rows.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    members = paired.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component", "linked")
-    members = members.join(nodes.select("rep", "n_shingles", "sketch", "bands"), "rep")
-    return scratch.table(within(members, percent).distinct(), "residual")
-
-
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component those with the least id."""
     dropped = judged(docs, id_col, text_col, width, percent).where("not kept").select("key__").distinct()
