@@ -20,8 +20,12 @@ from pyspark.sql import types as T
 
 from threadloom.llm.common import Scratch
 
-#: Windows open at a time in a partition; pieces of leftovers that one merging task gets.
-OPEN, MERGE_PIECES = 64, 20_000
+#: Windows open at a time in a partition; leftover windows that one merging task gets (many more than it leaves open).
+OPEN, MERGE_WINDOWS = 64, 2048
+#: A sequence's id has the merging turn, the partition and a number in it, from the highest bits down.
+TURN_BIT, PARTITION_BIT, PARTITIONS = 59, 35, 1 << 24
+#: Texts of about so many characters are encoded at once.
+BLOCK_CHARS = 1_000_000
 #: A window with at most this much room is emitted as it is.
 ROOM = 16
 
@@ -78,7 +82,8 @@ class ByteBpe:
     first tokens, and no others, begin with a space and so tell the words apart.
     """
 
-    CACHE = 400_000
+    #: Words known at a time in each of two generations; a word of the older one that comes again moves to the younger.
+    CACHE = 300_000
     #: Words in one string.
     JOINED = 100
     #: Up to U+024F all are letters from U+00C0 on, but for two signs. An apostrophe is no mark here.
@@ -107,7 +112,7 @@ class ByteBpe:
         self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         over = any(map(re.compile(self.OVER).match, self.tokenizer.get_vocab(with_added_tokens=False)))
         self.known: dict[str, bytes] = {}  # of words with a space before them
-        self.odd = re.compile(r" (?=\s|\Z)")
+        self.older: dict[str, bytes] = {}
         self.cut = re.compile(r" (?=\S)")
         self.is_plain = re.compile(rf"{self.PLAIN}(?:\n{self.PLAIN})?" if not over else r"(?!)").fullmatch
 
@@ -117,24 +122,33 @@ class ByteBpe:
     def learn(self, new: list[str]) -> None:
         import numpy as np
 
-        plain = list(filter(self.is_plain, new))
+        is_plain = self.is_plain
+        plain = [w for w in new if is_plain(w)]
         joined = [" " + " ".join(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]
-        for k, e in enumerate(self.plain.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+        if joined:
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
             at, raw = (4 * np.flatnonzero(self.leads[ids])).tolist(), ids.tobytes()
-            words = plain[k * self.JOINED : (k + 1) * self.JOINED]
-            self.known.update(zip(words, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])], strict=True))
-        others = [w for w in new if w not in self.known]
-        self.known.update(zip(others, self.ids([" " + w for w in others])))
+            self.known.update(zip(plain, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])], strict=True))
+        if len(plain) < len(new):
+            others = [w for w in new if w not in self.known]
+            self.known.update(zip(others, self.ids([" " + w for w in others])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") if self.odd.search(t) is None else self.cut.split(t) for t in texts]
-        first = self.ids([w.pop(0) for w in words])
+        words = [t.split(" ") for t in texts]
+        first = [w.pop(0) for w in words]
+        if len(self.known) > self.CACHE:
+            self.older, self.known = self.known, {}
+        new = set().union(*words).difference(self.known)
+        if odd := {w for w in new if not w or w[0].isspace()}:  # the pattern doesn't cut there
+            for i, (head, w) in enumerate(zip(first, words)):
+                if not odd.isdisjoint(w):
+                    first[i], *words[i] = self.cut.split(" ".join([head, *w]))
+            new = set().union(*words).difference(self.known)
+        again = list(filter(self.older.__contains__, new))
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(list(new.difference(again)))
         known = self.known
-        if len(known) > self.CACHE:
-            known.clear()
-        self.learn(list(set(itertools.chain.from_iterable(words)).difference(known)))
-        return [head + b"".join(map(known.__getitem__, w)) for head, w in zip(first, words)]
+        return [head + b"".join(map(known.__getitem__, w)) for head, w in zip(self.ids(first), words)]
 
 
 _encoders: dict[str, ByteBpe] = {}
@@ -147,6 +161,12 @@ def encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
     return _encoders[tokenizer].encode
 
 
+def first_id(turn: int, partition: int) -> int:
+    if turn > 15 or partition >= PARTITIONS:
+        raise ValueError(f"no sequence ids for partition {partition} of turn {turn}")
+    return (turn << TURN_BIT) | (partition << PARTITION_BIT)
+
+
 #: A piece: ids are little-endian unsigned 32-bit. closed: its sequence is complete.
 def piece_schema(id_type: T.DataType, id_col: str) -> T.StructType:
     return T.StructType([T.StructField(id_col, id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("closed", T.BooleanType()), T.StructField("ids", T.BinaryType())])
@@ -184,12 +204,12 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size
 
         from threadloom.llm.common import blocks
 
-        encode, out = encoder(tokenizer), Out(schema, TaskContext.get().partitionId() << 40)
+        encode, out = encoder(tokenizer), Out(schema, first_id(0, TaskContext.get().partitionId()))
         packer = Packer(size, open_windows, lambda pieces: out.window(pieces, True))
         end = b"\0\0\0\0"  # the id after each document
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in blocks(texts):
+            for i, j in blocks(texts, BLOCK_CHARS):
                 for key, ids in zip(keys[i:j], encode([t or "" for t in texts[i:j]])):
                     ids += end
                     packer.add((key, len(ids) // 4, ids, 0), 0, len(ids) // 4)
@@ -201,14 +221,14 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def merge(pieces: DataFrame, id_col: str, size: int, open_windows: int, base: int, last: bool) -> DataFrame:
+def merge(pieces: DataFrame, id_col: str, size: int, open_windows: int, turn: int, last: bool) -> DataFrame:
     """Packs the pieces of open windows anew, in each partition; at the last merge all windows close."""
     schema = pieces.schema
 
     def run(batches):
         from pyspark import TaskContext
 
-        out = Out(schema, (base << 56) | (TaskContext.get().partitionId() << 32))
+        out = Out(schema, first_id(turn, TaskContext.get().partitionId()))
         packer = Packer(size, open_windows, lambda p: out.window(p, True))
         for batch in batches:
             for row in batch.to_pylist():
@@ -235,9 +255,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     parts, turn = [first.where("closed")], 1
     left = first.where("not closed")
     while True:
-        groups = -(-left.count() // MERGE_PIECES)
+        groups = -(-left.where("offset = 0").count() // max(MERGE_WINDOWS, 2 * open_windows))  # each window has one piece at offset 0
         # pieces of a window stay together and in order; the order of windows is that of their ids
-        dealt = left.repartition(max(groups, 1), "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        dealt = left.repartition(groups, "sequence_id").coalesce(groups) if groups > 1 else left.coalesce(1)
+        dealt = dealt.sortWithinPartitions("sequence_id", "offset")
         merged = scratch.table(merge(dealt, id_col, size, open_windows, turn, groups <= 1), f"pass-{turn}")
         parts.append(merged.where("closed"))
         if groups <= 1:
