@@ -103,8 +103,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, block_globs=BLOCK
 
     def run(urls):
         split = [split_url(u) for u in urls]
-        # a line feed in a host is no end of it: written as another byte that no rule has
-        hits = automaton.match([f".{h.replace(chr(10), chr(0))}\n{p}".encode("utf-8", "surrogatepass") for h, p in split])
+        # the one line feed ends the host: others are written as another byte that no rule has
+        hits = automaton.match([".{}\n{}".format(*(x.replace("\n", "\0") for x in hp)).encode("utf-8", "surrogatepass") for hp in split])
         fits = hits[:, : len(ranked)]
         first = np.where(fits.any(axis=1), fits.argmax(axis=1), -1)
         blocked = hits[:, len(ranked) :].any(axis=1)
