@@ -17,16 +17,20 @@ from pyspark.sql import types as T
 from threadloom.llm.common import map_text
 
 #: Kinds in the order in which spans with one start are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "secret", "url")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "secret", "url")
 BASE = KINDS[:4]
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "account", "ssn", "iban", "passport")
+CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
+ACCOUNT_CUES = ("account", "ssn", "passport")
+IBAN_CUES = ("iban",)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: A number after a cue: groups of capitals and digits with single hyphens or spaces between.
+ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|#))?\s{0,3}[:=#]?\s{0,3}([A-Z]{0,3}[0-9]+(?:[ -]?[A-Z0-9]*[0-9])*)(?![A-Za-z0-9])")
 SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_./+=-]{12,})")
 URL = re.compile(r"://(?:[^\s/?#@\"'<>]+@)?[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
 DIGITS = "0123456789"
@@ -49,9 +53,10 @@ def automaton():
                 for sep in ("", " ", "-"):
                     a.add_word(x + sep + y, ("card", 2 + len(sep)))
                 a.add_word(f"{x}.{y}", ("ip", 3))
-        for cue in CUES:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, ("cue", len(form)))
+        for kind, cues in (("cue", CUES), ("account", ACCOUNT_CUES), ("iban", IBAN_CUES)):
+            for cue in cues:
+                for form in {cue, cue.upper(), cue.capitalize()}:
+                    a.add_word(form, (kind, len(form)))
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -75,7 +80,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     out: list[tuple[str, int, int]] = []
-    email = ip = card = phone = url = secret = 0  # where the next match of each kind may begin
+    email = ip = card = phone = url = secret = account = iban = 0  # where the next match of each kind may begin
     for last, (kind, length) in automaton().iter(text):
         at = last - length + 1
         if kind == "email":
@@ -99,7 +104,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     start -= 1
                 if m := IP.match(text, start):
                     ip = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                         out.append(("ip", start, ip))
         elif kind == "phone":
             if at >= phone and (m := PHONE.match(text, at)):
@@ -113,12 +118,22 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if start < at and (m := URL.match(text, at)):
                 url = m.end()
                 out.append(("url", start, url))
+        elif kind == "account":
+            if at >= account and (m := ACCOUNT.match(text, last + 1)) and 5 <= sum(c in DIGITS for c in m[1]) <= 20:
+                account = m.end(1)
+                out.append(("account", m.start(1), account))
+        elif kind == "iban":
+            if at >= iban and (m := IBAN.match(text, last + 1)):
+                code = m[1]
+                while code and not mod97(code):  # words in capitals may follow
+                    code = code.rpartition(" ")[0]
+                if code:
+                    iban = m.start(1) + len(code)
+                    out.append(("iban", m.start(1), iban))
         elif at >= secret and (m := SECRET.match(text, last + 1)):
             if any(c in DIGITS for c in m[1]):
                 secret = m.end(1)
                 out.append(("secret", m.start(1), secret))
-    if any(c in text for c in ("IBAN", "iban", "Iban")):
-        out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
