@@ -99,6 +99,17 @@ class Rows:
     def __len__(self) -> int:
         return len(self.label)
 
+    def pick(self, at: np.ndarray) -> Rows:
+        out = Rows.__new__(Rows)
+        out.label, out.index, out.value = self.label[at], [self.index[i] for i in at], [self.value[i] for i in at]
+        return out
+
+    @staticmethod
+    def joined(a: Rows, b: Rows) -> Rows:
+        out = Rows.__new__(Rows)
+        out.label, out.index, out.value = np.concatenate((a.label, b.label)), a.index + b.index, a.value + b.value
+        return out
+
     def batch(self, at: np.ndarray):
         return np.concatenate([self.index[i] for i in at]), np.concatenate([self.value[i] for i in at]), np.array([len(self.index[i]) for i in at])
 

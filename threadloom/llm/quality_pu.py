@@ -1,10 +1,11 @@
 """Quality classifier by positive-unlabelled learning (operator 3).
 
-Trusted positives are labelled documents of quality 1; the unlabelled are documents without a label.
+Trusted positives are labelled documents of quality 1; the unlabelled are documents of all kinds, labels unseen.
 The linear model minimises the non-negative unbiased risk with logistic loss:
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second part is below 0, steps go against it.
-The class prior is the share of quality 1 among reviewed (labelled) rows of the training fold. At last
-the bias is moved so that the mean score of the unlabelled sample is the prior.
+The class prior is estimated from positives and unlabelled alone: a classifier of the one against the
+other is fitted on half of each, and of the other halves the shares above thresholds are compared, where
+negatives are rare. At last the bias is moved so that the mean score of the unlabelled sample is the prior.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.common import map_text
-from threadloom.llm.linear import DIGIT, SYMBOLS, UPPER, Group, Rows, by_text, descend, fetch, held_out, linear_scores, mean_group, repeated_words, sample, sigmoid, slot
+from threadloom.llm.linear import DIGIT, SYMBOLS, UPPER, Group, Rows, by_text, descend, fetch, fit_logistic, held_out, linear_scores, mean_group, repeated_words, sample, sigmoid, slot
 from threadloom.llm.vectext import SPACE, Block, sums
 
 BITS, BINS = 16, 24
@@ -86,24 +87,44 @@ def nnpu(pos: Rows, unl: Rows, prior: float, epochs: int = 20, batch: int = 64,
     return Model(w, bias + low)
 
 
+def class_prior(pos: Rows, unl: Rows) -> float:
+    """The share of positives among the unlabelled.
+
+    A threshold that a share q of the positives passes is passed by prior * q of the unlabelled and by the
+    negatives among these, so the ratio of both shares is never below the prior but by chance. The answer is
+    the ratio at the threshold where it is least with two standard errors on top; of two such answers, each
+    half having been fitted on for the other, the lesser.
+    """
+    halves = [(pos.pick(np.arange(k, len(pos), 2)), unl.pick(np.arange(k, len(unl), 2))) for k in (0, 1)]
+    if not all(len(rows) for half in halves for rows in half):
+        return 0.5
+    found = []
+    for fit, held in (halves, halves[::-1]):
+        both = Rows.joined(*fit)
+        both.label = np.repeat([1.0, 0.0], [len(rows) for rows in fit])
+        w, bias = fit_logistic(both, SIZE)
+        zp, zu = (np.sort(rows.scores(w, bias)) for rows in held)
+        cuts = np.concatenate((zp, zu))
+        p, u = (1 - np.searchsorted(z, cuts) / len(z) for z in (zp, zu))
+        p, u = p[p > 0], u[p > 0]
+        error = [np.sqrt(np.maximum(q * (1 - q), 1 / len(z)) / len(z)) for q, z in ((p, zp), (u, zu))]
+        ratio = u / p
+        found.append(ratio[(ratio + 2 * (error[1] + ratio * error[0]) / p).argmin()])
+    return float(np.clip(min(found), 0.05, 0.99))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", max_rows: int = MAX_ROWS) -> Model:
-    """``docs`` and ``labels`` hold what may be learned from: ids without a label are the unlabelled.
+    """``docs`` and ``labels`` hold what may be learned from; of the labels only those of quality 1 are read.
 
-    Where fewer than 50 documents are unlabelled, labelled ones with their labels hidden join them.
-    Without positives, all scores are 0.5.
+    The unlabelled are sampled from all documents. Without positives or documents, all scores are 0.5.
     """
-    known = labels.where(F.col(label_col).isNotNull())
-    prior = known.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    positives = sample(docs, known.where(F.col(label_col) == 1), id_col, label_col, max_rows)
-    free = docs.select(id_col).join(labels.select(id_col), id_col, "left_anti").select(id_col, F.lit(0).alias("label"))
-    unlabelled = sample(docs, free, id_col, "label", max_rows, "u")
+    positives = sample(docs, labels.where(F.col(label_col) == 1), id_col, label_col, max_rows)
+    unlabelled = sample(docs, docs.select(id_col, F.lit(0).alias("label")), id_col, "label", max_rows, "u")
     pos = fetch(docs, positives, id_col, text_col, featurise, distinct=False)
     unl = fetch(docs, unlabelled, id_col, text_col, featurise, distinct=False)
-    if len(unl) < 50:
-        unl = fetch(docs, sample(docs, known, id_col, label_col, max_rows, "u"), id_col, text_col, featurise, distinct=False)
     if not len(pos) or not len(unl):
         return Model(np.zeros(SIZE), 0.0)
-    return nnpu(pos, unl, min(max(prior, 0.05), 0.99))
+    return nnpu(pos, unl, class_prior(pos, unl))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

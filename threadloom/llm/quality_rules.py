@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.common import map_text
-from threadloom.llm.linear import MAX_ROWS, SYMBOLS, Rows, by_text, fetch, fit_logistic, held_out, linear_scores, mean_group, platt, repeated_words, sample, sigmoid, slot
+from threadloom.llm.linear import MAX_ROWS, SYMBOLS, by_text, fetch, fit_logistic, held_out, linear_scores, mean_group, platt, repeated_words, sample, sigmoid, slot
 from threadloom.llm.vectext import SPACE, U, Block, ngrams
 
 BITS = 18
@@ -55,9 +55,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     if not len(rows):
         return Model(np.zeros(1 << BITS), 0.0)
     last = np.arange(len(rows)) % 5 == 4
-    part = [Rows.__new__(Rows) for _ in range(2)]
-    for p, own in zip(part, (np.flatnonzero(~last), np.flatnonzero(last))):
-        p.label, p.index, p.value = rows.label[own], [rows.index[i] for i in own], [rows.value[i] for i in own]
+    part = [rows.pick(np.flatnonzero(x)) for x in (~last, last)]
     w, bias = fit_logistic(part[0], 1 << BITS)
     return Model(w, bias, *platt(part[1].scores(w, bias), part[1].label))
 
