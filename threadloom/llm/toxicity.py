@@ -66,9 +66,12 @@ class Model:
         return sigmoid(z)
 
 
-def ftrl(rows: Rows, size: int, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5) -> Model:
+def ftrl(rows: Rows, size: int, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.5) -> Model:
     """Online FTRL-proximal over the rows, one at a time, in a fixed random order.
 
+    The constants were chosen by threefold cross-validation inside the training fold: the least log loss
+    among those with a false positive rate of at most 0.5 %.
+
     ``l1`` holds for MAX_ROWS rows; fewer rows sum up to lesser gradients, and so it is less in proportion.
     """
     l1 *= min(1.0, len(rows) / MAX_ROWS)
