@@ -4,8 +4,10 @@ For each language a 4-gram model over normalised characters (letters in lower ca
 is one space). All n-grams that occur in any language are kept in sorted arrays, each with a row of
 log probabilities, one for each language, in which the interpolation is already done; the same arrays
 have the back-off weights of n-grams as contexts. A text goes to the language with the lowest
-cross-entropy per character. It is rejected if it has no letter, or if that cross-entropy is far
-beyond what the training documents of the language have.
+cross-entropy per character. It is rejected if it has no letter, or if that cross-entropy is beyond a
+limit, which is wider for short texts. The limit and the scale of the scores are calibrated on held-back
+training documents by a model that has not seen them: the limit is where an exponential tail of their
+excess leaves one in a million, and the scale is that with the least log loss.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ U = np.uint64
 SPACE = 32
 #: Training reads at most this many documents of each language, those with the least hashes of their ids.
 TRAIN_DOCS = 1500
+#: Of documents in a learned language so many may be rejected.
+REJECTED = 1e-6
+#: Texts with fewer symbols are too short to be rejected for their cross-entropy; chance evens out up to LONG symbols.
+SHORT, LONG = 20, 400
 UND = "und"
 _table = None
 
@@ -94,12 +100,10 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Sorted arrays of n-grams of each order with rows of log probabilities and back-off weights."""
 
-    INDEX_BITS = 18
-
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
         n = len(self.languages)
-        self.limits = np.full(n, np.inf)
+        self.middle, self.slack = np.full(n, np.inf), 0.0  # a language's usual cross-entropy, and what may come on top
         self.scale = 1.0
         vocabulary = np.unique(np.concatenate([np.unique(g & U(0xFFFF)) for g, _ in counts.values()]) if n else np.zeros(0, U))
         self.floor = np.full(n, -np.log(max(len(vocabulary), 1) + 1.0))
@@ -132,7 +136,6 @@ class Model:
             self.contexts.append(contexts)
             self.loglam.append(np.log(lam).astype(np.float32))
             lower = prob
-        self.index = None
 
     def lookup(self, order: int, grams: np.ndarray) -> np.ndarray:
         """Rows of log probabilities of n-grams of ``order`` + 1 symbols; unseen ones back off."""
@@ -184,16 +187,17 @@ class Model:
         weight = -(h - low[:, None]) * np.sqrt(counts)[:, None] * self.scale
         score = 1 / np.exp(np.maximum(weight, -700)).sum(axis=1)
         none = counts == 0
-        rejected = none | (low > self.limits[best])
+        rejected = none | ((counts >= SHORT) & (low > self.middle[best] * (1 + self.slack / np.sqrt(np.clip(counts, 1, LONG)))))
         return [UND if x else self.languages[b] for x, b in zip(none, best)], np.where(none, 0.0, score), np.where(none, 0.0, low), rejected
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, margin: float = 1.5) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, target: float = REJECTED) -> Model:
     """A model of the languages in ``docs``, whose every row may be learned from.
 
     Of each language at most ``max_docs`` documents are read, whole; one is enough to learn it. Rows
-    with null text or language are left out. ``margin`` times the largest cross-entropy of a held-back tenth of them (at least
-    that of the trained ones) is the limit of rejection; a language without held-back documents has none.
+    with null text or language are left out. A tenth of them is held back for calibration: ``target`` is the
+    share of documents of the learned languages to be rejected. Without held-back documents nothing is
+    rejected but texts without letters.
     """
     from pyspark.sql.window import Window
 
@@ -231,13 +235,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         g, back = np.unique(grams[own], return_inverse=True)
         counts[x] = (g, np.bincount(back, n[own]).astype(np.int64))
     model = Model(counts)
-    calibrate(model, rows, counts, table, lang, grams, n, margin)
+    calibrate(model, rows, counts, table, lang, grams, n, target)
     scratch.drop("sample")
     return model
 
 
-def calibrate(model: Model, rows: DataFrame, counts: dict, table, lang, grams, n, margin: float) -> None:
-    """Limits of rejection from a model that has not seen the held documents."""
+def tail_limit(values: np.ndarray, target: float) -> float:
+    """What a share ``target`` of such values exceeds, by an exponential tail beyond their upper tenth."""
+    u = np.quantile(values, 0.9)
+    over = values[values > u] - u
+    return float(u + (over.mean() if len(over) else 0.0) * max(0.0, np.log(0.1 / target)))
+
+
+def best_scale(h: np.ndarray, counts: np.ndarray, right: np.ndarray) -> float:
+    """The scale of scores with the least log loss, of steps of a fifth; errors are given a share of one in the number of documents."""
+    n, at = len(h), np.arange(len(h))
+    gap = (h - h.min(axis=1)[:, None]) * np.sqrt(counts)[:, None]
+    loss = []
+    scales = 1.2 ** np.arange(-20, 30)
+    for s in scales:
+        p = np.exp(np.maximum(-gap * s, -700))
+        p = p[at, right] / p.sum(axis=1)
+        loss.append(-np.log((p * (n - 1) + 1 / h.shape[1]) / n).sum())
+    return float(scales[int(np.argmin(loss))])
+
+
+def calibrate(model: Model, rows: DataFrame, counts: dict, table, lang, grams, n, target: float) -> None:
+    """Limits of rejection and the scale of scores, from a model that has not seen the held documents."""
     if not model.languages:
         return
     held = table.column("held").to_numpy(zero_copy_only=False)
@@ -248,19 +272,30 @@ def calibrate(model: Model, rows: DataFrame, counts: dict, table, lang, grams, n
         part[x] = (g, np.bincount(back, n[own]).astype(np.int64)) if own.any() else counts[x]
     blind = Model(part)
     at = {x: i for i, x in enumerate(model.languages)}
-    worst = np.zeros(len(at))
 
     def measure(batches):
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in blocks(texts):
-                h, counts = blind.entropies(texts[i:j])
-                pick = [(x, h[k, at[x]]) for k, x in enumerate(langs[i:j]) if x in at and counts[k] >= 20]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pick], pa.string()), pa.array([v for _, v in pick], pa.float64())], names=["lang", "h"])
+                h, size = blind.entropies(texts[i:j])
+                own = np.flatnonzero([x in at and n > 0 for x, n in zip(langs[i:j], size)])
+                yield pa.RecordBatch.from_arrays([pa.array([langs[i + k] for k in own], pa.string()), pa.array(size[own]), pa.array([h[k].tobytes() for k in own], pa.binary())], names=["lang", "size", "h"])
 
-    for x, h in rows.where("held").select("lang", "text").mapInArrow(measure, "lang string, h double").groupBy("lang").agg(F.max("h")).collect():
-        worst[at[x]] = h
-    model.limits = np.where(worst > 0, np.maximum(worst, worst.mean()) * margin, np.inf)
+    # a tenth of the bounded sample: a number for each language and document
+    found = rows.where("held").select("lang", "text").mapInArrow(measure, "lang string, size long, h binary").toArrow()
+    if not found.num_rows:
+        return
+    right, size = np.array([at[x] for x in found.column("lang").to_pylist()]), found.column("size").to_numpy()
+    h = np.stack([np.frombuffer(x) for x in found.column("h").to_pylist()])
+    model.scale = best_scale(h, size, right)
+    own = h[np.arange(len(h)), right]
+    whole = size >= SHORT
+    if not whole.any():
+        return
+    middle = np.array([np.median(own[whole & (right == i)]) if (whole & (right == i)).any() else np.nan for i in range(len(at))])
+    middle = np.where(np.isnan(middle), np.nanmax(middle), middle)
+    model.middle = middle
+    model.slack = max(0.0, tail_limit((own[whole] / middle[right[whole]] - 1) * np.sqrt(np.minimum(size[whole], LONG)), target))
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
