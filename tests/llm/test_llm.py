@@ -97,25 +97,73 @@ def test_near_dedup(spark, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_near_dedup_divides_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET", 8)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    test_near_dedup(spark, 3, 85)
-
-
-def test_near_dedup_finds_single_band_pairs_of_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET", 8)
-    rng = np.random.default_rng(3)
-    sketches = rng.integers(0, 256, (40, near_dedup.BINS), dtype=np.uint8)
-    pairs = {(3, 9), (4, 30), (11, 38), (0, 39)}
-    for a, b in pairs:
-        sketches[b] = sketches[a]
-    bands = [[7] + [1000 * (k + 1) + i for k in range(near_dedup.BANDS - 1)] for i in range(40)]  # all share the first band only
-    nodes = spark.createDataFrame([(i, 500, bytearray(x.tobytes()), k) for i, (x, k) in enumerate(zip(sketches, bands))], "rep long, n_shingles long, sketch binary, bands array<long>")
-    buckets = spark.createDataFrame([(7, i) for i in range(40)], "key long, rep long")
-    none = spark.createDataFrame([], "rep long, component long")
-    found = near_dedup.residual(buckets, none, nodes, near_dedup.Scratch(spark, "test"), 85).collect()
-    assert sorted(tuple(r) for r in found) == sorted((a, b, False) for a, b in pairs)
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_dedup_in_blocks(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(near_dedup, "LIST", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 900)
+    test_near_dedup(spark, width, percent)
+
+
+def set_table(spark, sets, comps):
+    grams = [np.sort(near_dedup.mix(np.array(sorted(s), np.uint64))) for s in sets]
+    return spark.createDataFrame([(i, c, bytearray(g.tobytes())) for i, (c, g) in enumerate(zip(comps, grams))], "id__ long, component long, set binary")
+
+
+@pytest.mark.parametrize(("listed", "percent"), [(2, 80), (2, 85), (1000, 80), (1000, 85)])
+def test_second_round_joins_all_that_is_linked(spark, monkeypatch, listed, percent):
+    """All documents in one bucket, any components: what is joined equals what all pairs would join."""
+    monkeypatch.setattr(near_dedup, "LIST", listed)
+    monkeypatch.setattr(near_dedup, "BLOCK", 500)
+    rng = random.Random(listed + percent)
+    sets = []
+    for family in range(6):
+        base = rng.sample(range(10**6), 60)
+        for _ in range(15):
+            sets.append(set(base[: rng.randint(40, 60)]) | set(rng.sample(range(10**6), rng.randint(0, 12))) | set(range(5)))
+    comps = [i if rng.random() < 0.5 else min(i, 15 * (i // 15)) for i in range(len(sets))]
+    table_ = set_table(spark, sets, comps)
+    buckets = table_.select(F.lit(1).alias("key"), F.col("id__").alias("rep"))
+    known = table_.where("component <> id__").select(F.col("id__").alias("rep"), "component")
+    scratch = near_dedup.Scratch(spark, "test")
+    found = near_dedup.residual(buckets, known, table_.select("id__", "set"), lambda ids: table_.select("id__", "set").join(ids, "id__"), scratch, percent)
+    up = list(comps)
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def join(edges):
+        for i, c in enumerate(comps):
+            up[i] = c
+        for a, b in edges:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+        return [top(i) for i in range(len(sets))]
+
+    similar = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    links = [(r.a, r.b) for r in found.collect()]
+    assert all(similar(sets[a], sets[b]) for a, b in links)
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if similar(sets[a], sets[b])]
+    assert join(links) == join(every) and len(set(join(every))) < len(set(comps))
+
+
+def test_templates_make_no_candidates(spark):
+    """Texts that share 82 of 100 shingles (similarity 0.7) have no rare shingle in common among the first."""
+    rng = random.Random(1)
+    sets = [set(range(82)) | set(rng.sample(range(1000, 10**9), 18)) for _ in range(400)]
+    table_ = set_table(spark, sets, range(len(sets)))
+    rows = near_dedup.first_shingles(table_, near_dedup.frequencies(table_), 80)
+    assert rows.count() <= 21 * len(sets)
+    lists = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("shorts")).where("n > 1 and shorts > 0")
+    assert lists.count() == 0
+
+
+def test_components_of_chains(spark):
+    chain = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i // 2) for i in range(1, 200)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    found = {r.rep: r.component for r in near_dedup.components(edges, near_dedup.Scratch(spark, "test"), "cc").collect()}
+    assert found == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 200)}
 
 
 def test_near_dedup_odd_rows(spark):
@@ -207,6 +255,45 @@ def test_packing(spark, bpe):
     assert packing.pack(docs.limit(0), bpe).count() == 0
 
 
+def check_sequences(pieces, size=1024):
+    seq = {}
+    for p in pieces:
+        seq.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for parts in seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+    return seq
+
+
+def test_packing_of_many_short_documents(spark, bpe, monkeypatch):
+    """Three ids each: windows are full of pieces, and leftovers must still come to an end."""
+    monkeypatch.setattr(packing, "MERGE_WINDOWS", 8)
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 7).cast("string")).alias("text")).repartition(6)
+    pieces = packing.pack(docs, bpe, open_windows=4).collect()
+    seq = check_sequences(pieces)
+    assert sum(p.length for p in pieces) == 150_000 and len({p.doc_id for p in pieces}) == 50_000
+    assert len(seq) <= 150_000 / 1024 * 1.02 + 1
+
+
+def test_packing_merges_in_several_groups(spark, bpe, monkeypatch):
+    monkeypatch.setattr(packing, "MERGE_WINDOWS", 1)
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") * 13 % 700).cast("int")).alias("text")).repartition(40)
+    pieces = packing.pack(docs, bpe, open_windows=3).collect()
+    seq = check_sequences(pieces)
+    total = sum(p.length for p in pieces)
+    assert total == sum({p.doc_id: p.doc_tokens for p in pieces}.values()) and len(seq) <= total / 1024 + 8
+
+
+def test_sequence_ids_have_room():
+    ids = [packing.first_id(t, p) for t in (0, 1, 15) for p in (0, 1, 65_536, packing.PARTITIONS - 1)]
+    assert ids == sorted(ids) and len(set(ids)) == len(ids) and ids[-1] + (1 << 35) <= 1 << 63
+    with pytest.raises(ValueError):
+        packing.first_id(0, packing.PARTITIONS)
+
+
 def test_little_padding():
     rng, full, windows = random.Random(1), [], []
     p = packing.Packer(1024, 64, lambda w: windows.append(sum(x[2] for x in w)))
@@ -236,7 +323,13 @@ def test_pii(spark):
         t = "".join(rng.choice(rng.choice(["0123456789 .-+()@a%_éB", "01.-+@ a", "4111 "])) for _ in range(rng.randint(1, 50)))
         assert [s for s in pii.spans(t) if s[0] in pii.BASE] == plain_spans(t)
     assert [s[0] for s in pii.spans('token = "04dbebab91ab85687d33" IBAN GB82 WEST 1234 5698 7654 32; https://u:p@h.io/x')] == ["secret", "iban", "url", "email"]
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.spans(t)]
+    assert found("ssn: 123-45-6789, passport: X1234567; Account no. 12345 678") == [("account", "123-45-6789"), ("account", "X1234567"), ("account", "12345 678")]
+    assert found("iban=GB82WEST12345698765432 IBAN GB83 WEST 1234 5698 7654 32") == [("iban", "GB82WEST12345698765432")] and found("account closed, passports") == []
+    zeros = "0" * 5000
+    assert [s[0] for s in pii.spans(zeros + ".1.1.1")] == ["ip"] and pii.spans(zeros + "1" * 4 + ".1.1.1") == [] and [s[0] for s in pii.spans(zeros + ".0.0." + zeros)] == ["ip"]
     assert pii.find(odd(spark)).where("size(spans) > 0").count() == 0
+    assert pii.find(odd(spark).limit(0)).count() == 0 and set(odd(spark).columns) == set(pii.find(odd(spark)).columns)
 
 
 def test_url_automaton(spark):
@@ -251,6 +344,126 @@ def test_url_automaton(spark):
     assert [(r.host, r.rule, r.verdict) for r in urlfilter.judge(rows).orderBy("page_id").collect()] == [("a.net", "net/", "block"), ("example.net", "example.net/en/", "allow"), ("", None, "allow"), ("", None, "allow"), ("notexample.com", None, "allow"), ("w.example.com", "example.com/de/", "block"), ("x.net", None, "allow")]
 
 
+def test_url_line_feeds_and_odd_tables(spark):
+    schema = "page_id long, url string, host int, rule string, verdict string"
+    rows = [(1, "http://a.com/b.net\n/c"), (2, "http://a.net\n/c"), (2, "http://a.net\n/c"), (3, "http://x.net/\n"), (4, ""), (5, "http://a.com/www.casino-x\n"), (6, "http://www.casino-x/")]
+    out = urlfilter.judge(spark.createDataFrame([(i, u, 1, "x", "y") for i, u in rows], schema)).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in out] == [("a.com", "/b.net\n/c", None, "allow"), *[("a.net\n", "/c", None, "allow")] * 2, ("x.net", "/\n", "net/", "block"), ("", "", None, "allow"), ("a.com", "/www.casino-x\n", None, "allow"), ("www.casino-x", "/", None, "block")]
+    assert urlfilter.judge(spark.createDataFrame([], schema)).count() == 0
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2, size):
+    z, n = {}, {}
+    weight = lambda i, free: 0.0 if abs(z.get(i, 0)) <= free else -(z[i] - np.sign(z[i]) * free) / ((beta + n.get(i, 0) ** 0.5) / alpha + l2)
+    rng = np.random.default_rng(11)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            own = [(i, l1) for i in rows.index[k]] + [(size, 0.0)]
+            w = {i: weight(i, free) for i, free in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - rows.label[k]
+            for i in w:
+                s = ((n.get(i, 0) + g * g) ** 0.5 - n.get(i, 0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0) + g - s * w[i], n.get(i, 0) + g * g
+    return {i: weight(i, l1) for i in z if i < size and weight(i, l1)}, weight(size, 0.0)
+
+
+def random_rows(n=60, size=40, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = linear.Rows.__new__(linear.Rows)
+    rows.index = [np.unique(rng.integers(0, size, 6)) for _ in range(n)]
+    rows.value = [np.ones(len(i), np.float32) for i in rows.index]
+    rows.label = np.array([float(i[0] < 4) for i in rows.index])
+    return rows
+
+
+def test_ftrl_equals_the_plain_rule():
+    rows = random_rows()
+    m = toxicity.ftrl(rows, 40, epochs=3, l1=0.5 * linear.MAX_ROWS / len(rows))
+    w, bias = plain_ftrl(rows, 3, 1.0, 1.0, 0.5, 0.5, 40)
+    assert dict(zip(m.index.tolist(), m.weight.tolist())) == pytest.approx(w, rel=1e-5) and m.bias == pytest.approx(bias)
+
+
+def test_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+
+    def rows(good):
+        out = linear.Rows.__new__(linear.Rows)
+        out.index = [np.unique(rng.integers(0, 50, 8) + (0 if g else 50)) for g in good]
+        out.value, out.label = [np.ones(len(i), np.float32) for i in out.index], np.zeros(len(good))
+        return out
+
+    pos, unl = rows([True] * 1000), rows(rng.random(1000) < 0.6)
+    prior = quality_pu.class_prior(pos, unl)
+    assert abs(prior - 0.6) < 0.08
+    model = quality_pu.nnpu(pos, unl, prior, epochs=5)
+    good, bad = rows([True] * 200), rows([False] * 200)
+    assert (good.scores(model.w, model.bias) > 0).mean() > 0.95 and (bad.scores(model.w, model.bias) > 0).mean() < 0.05
+
+
+def plain_kneser_ney(text_grams, symbols):
+    """log P(last | context) of 4-grams by the recursive definition."""
+    from collections import Counter
+
+    counts = [None, None, None, None, Counter(text_grams)]
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+
+    def p(g):
+        order = len(g)
+        if not order:
+            return 1 / (symbols + 1)
+        own = counts[order]
+        ones, twos = (sum(c == k for c in own.values()) for k in (1, 2))
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
+        same = [c for x, c in own.items() if x[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_the_plain_definition():
+    texts = ["the cat sat on the mat", "that hat is at the cot", "tttt"]
+    symbols, place, _ = langid.padded(*langid.normalise(texts))
+    grams = ["".join(map(chr, symbols[i - 3 : i + 1])) for i in place]
+    p = plain_kneser_ney(grams, len({g[-1] for g in grams}))
+    m = langid.Model({"en": langid.gram_counts(texts)})
+    asked = sorted(set(grams)) + ["tha ", "xxxx", "zthe", "at o"]
+    packed = np.array([sum(ord(c) << (16 * (3 - k)) for k, c in enumerate(g)) for g in asked], np.uint64)
+    assert m.lookup(3, packed)[:, 0] == pytest.approx([np.log(p(g)) for g in asked], abs=1e-4)
+
+
+def test_language_ties_and_unknown_languages(spark):
+    text = "the cat sat on the mat and saw that the rat ran "
+    m = langid.train(spark.createDataFrame([(i, f"{text} {i}{text[i:]}", x) for i in range(60) for x in ("b", "a")], "doc_id long, text string, lang string"))
+    rng = random.Random(0)
+    noise = " ".join("".join(rng.choice("qxzjkvwpy") for _ in range(7)) for _ in range(80))
+    pred, score, _, rejected = m.decide([text, noise, "xq"])
+    assert pred[0] == "a" and score[0] == pytest.approx(0.5) and list(rejected) == [False, True, False]
+
+
+@pytest.mark.parametrize("kind", ["op3", "op6", "op7"])
+def test_classifiers_on_odd_tables(spark, kind):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; no labels, null labels, empty tables."""
+    module = {"op3": quality_pu, "op6": quality_rules, "op7": toxicity}[kind]
+    label = "toxic" if kind == "op7" else "quality"
+    none = spark.createDataFrame([], f"doc_id long, {label} int")
+    null = spark.createDataFrame([(1, None), (None, 1), (6, 1), (6, 1), (8, 0)], f"doc_id long, {label} int")
+    apply = (lambda d, m: quality_rules.judged(quality_rules.measure(d, m)).withColumn("score", F.col("probability"))) if kind == "op6" else module.score
+    for labels in (none, null):
+        model = module.train(odd(spark), labels)
+        out = apply(odd(spark), model)
+        rows = out.collect()
+        assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows) and {"lang", "spans"} <= set(out.columns)
+        by = {}
+        for r in rows:
+            by.setdefault(r.text or "", set()).add(r.score)
+        assert all(len(x) == 1 for x in by.values())
+        assert apply(odd(spark).limit(0), model).count() == 0
+    assert module.train(odd(spark).limit(0), null) is not None
+
+
 def test_quality_counts(spark):
     rng = random.Random(9)
     texts = ["", None, "a b", "x y z w v " * 3 + "end", "é# ñ|\n\nq\nq\n q\n"] + ["".join(rng.choice("ab \n#é") for _ in range(rng.randint(0, 80))) for _ in range(200)]
