@@ -8,10 +8,12 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Settings:
+    # fixed values: names and defaults
     fresh_tail: int = 64
     leaf_chunk_tokens: int = 20_000
     leaf_min_fanout: int = 8
     condensed_min_fanout: int = 4
+    condensed_hard_fanout: int = 2
     leaf_target_tokens: int = 2400
     condensed_target_tokens: int = 2000
     max_context_tokens: int = 120_000

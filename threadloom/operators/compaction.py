@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.config import Settings
 from threadloom.functions.text import annotate_media, derived_id, truncated
 from threadloom.operators import dag, folds, store
+from threadloom.sources.scratch import saved
 
 
 @dataclass
@@ -63,19 +64,50 @@ def condense(summaries: DataFrame, parent_edges: DataFrame, depth: int, fanout:
     return made.drop("child_ids"), made.select(F.col("summary_id").alias("parent_id"), F.explode("child_ids").alias("child_id"))
 
 
-def sweep(messages: DataFrame, settings: Settings, max_depth: int = 1, candidate: Callable[[Column], Column] | None = None) -> Dag:
-    """Leaves to exhaustion, then condensed nodes (by ``candidate``) level by level, for all conversations at once.
+def escalated(text: Column, first: Column | None, second: Column | None, target_tokens: int, factor: float = 3.0) -> Column:
+    """A summary of bounded length from a summariser's first and harder second try (null for failure).
 
-    A level merges all orphans of a conversation into one node, so that from an empty store one level is all there is.
+    The first that is shorter than the text counts; else the second try, or the text, is cut to the target, with
+    a note. All are cut at ``factor`` times the target.
     """
-    nodes, edges = leaves(messages, settings)
+    tokens = lambda c: F.floor(F.length(c) / 4)
+    first, second = (F.lit(None).cast("string") if c is None else c for c in (first, second))
+    again = F.when(first.isNotNull(), second)  # a summariser that failed isn't asked again
+    source = F.coalesce(again, text)
+    note = F.concat(F.lit(" [Truncated from "), tokens(text).cast("string"), F.lit(" tokens]"))
+    best = F.when(tokens(first) < tokens(text), first).when(tokens(again) < tokens(text), again).otherwise(F.concat(F.substring(source, 1, target_tokens * 4), note))
+    return F.substring(best, 1, int(factor * target_tokens) * 4)
+
+
+def sweep(messages: DataFrame, settings: Settings, graph: Dag | None = None, levels: int = 10, candidate: Callable[[Column], Column] | None = None, keep: Callable[[DataFrame, str], DataFrame] = saved, hard: bool = False) -> Dag:
+    """Leaves to exhaustion, then condensed nodes level by level until none comes, for all conversations at once.
+
+    With ``graph``, only messages that no leaf has are compacted, and new nodes join its orphans, so that the
+    graph grows deeper from sweep to sweep. ``hard`` lowers the fan-out of condensed nodes. ``keep`` writes what
+    each level made, as the next ones read it several times.
+    """
+    nodes, edges = leaves(messages, settings, graph and graph.leaf_edges)
+    nodes = keep(nodes, "leaves")
+    edges = keep(edges, "leaf-edges")
     parents = messages.sparkSession.createDataFrame([], "parent_id string, child_id string")
-    for depth in range(max_depth):
-        made, links = condense(nodes, parents, depth, settings.condensed_min_fanout, settings.condensed_target_tokens, candidate)
-        nodes, parents = nodes.unionByName(made), parents.unionByName(links)
+    if graph is not None:
+        nodes, edges, parents = graph.summaries.unionByName(nodes), graph.leaf_edges.unionByName(edges), graph.parent_edges
+    fanout = min(settings.condensed_min_fanout, settings.condensed_hard_fanout) if hard else settings.condensed_min_fanout
+    for depth in range(levels):
+        made, links = condense(nodes, parents, depth, fanout, settings.condensed_target_tokens, candidate)
+        made = keep(made, f"depth-{depth + 1}")
+        if made.isEmpty():
+            break
+        nodes, parents = nodes.unionByName(made), parents.unionByName(keep(links, f"links-{depth + 1}"))
     return Dag(nodes, edges, parents)
 
 
+def incremental(messages: DataFrame, settings: Settings, graph: Dag, limit: int) -> Dag:
+    """A sweep over the conversations under pressure only; without pressure the graph stays as it is."""
+    tight = context_tokens(messages, graph).where(urgency(F.col("tokens"), limit, settings.soft_ratio, settings.hard_ratio) != "NONE").select("conversation_id")
+    return sweep(messages.join(tight, "conversation_id", "left_semi"), settings, graph)
+
+
 def context_tokens(messages: DataFrame, graph: Dag) -> DataFrame:
     """(conversation_id, tokens): messages that no leaf holds, and the summaries at the roots."""
     m = messages.groupBy("conversation_id").agg(F.sum("token_count").alias("m"))

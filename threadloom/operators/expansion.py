@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 from collections.abc import Callable
@@ -10,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from threadloom.functions.text import BROAD_TIME, MULTI_HOP, keywords
+from threadloom.functions.text import BROAD_TIME, MULTI_HOP, keywords, mentions
 from threadloom.operators import recall
 from threadloom.operators.compaction import Dag
 
@@ -19,7 +18,7 @@ def decide(query: str, candidates: int, budget: int, depth: int = 0) -> str:
     """direct, shallow or delegate, from an estimate of 500 tokens a candidate against the budget."""
     if not candidates or depth >= 1:
         return "direct"
-    estimate = 500.0 * candidates * (1.5 if re.search(BROAD_TIME, query) else 1.0) * (1.3 if candidates >= 5 or re.search(MULTI_HOP, query) else 1.0)
+    estimate = 500.0 * candidates * (1.5 if mentions(query, BROAD_TIME) else 1.0) * (1.3 if candidates >= 5 or mentions(query, MULTI_HOP) else 1.0)
     ratio = estimate / budget if budget > 0 else float("inf")
     return "shallow" if ratio < 0.35 or (ratio <= 0.7 and candidates <= 3) else "delegate"
 
@@ -41,7 +40,7 @@ class Grant:
         return max(0, self.token_cap - self.used)
 
     def valid(self, now: float | None = None) -> bool:
-        return not self.revoked and self.remaining > 0 and (not self.expires_at or (now or time.time()) < self.expires_at)
+        return not self.revoked and self.remaining > 0 and (not self.expires_at or (time.time() if now is None else now) < self.expires_at)
 
     def allows(self, conversation_id: int, summary_id: str | None = None) -> bool:
         return conversation_id in self.conversations and (summary_id is None or self.summaries is None or summary_id in self.summaries)
@@ -53,6 +52,41 @@ class Grant:
         return True
 
 
+class Grants:
+    """The grants that were given out: create, look up, check, spend, revoke, clean up."""
+
+    def __init__(self, clock: Callable[[], float] = time.time):
+        self.clock, self.held = clock, {}
+
+    def create(self, issuer: str, conversations: list[int], ttl: float = 0.0, **options) -> Grant:
+        g = Grant(issuer, list(conversations), expires_at=self.clock() + ttl if ttl else 0.0, **options)
+        self.held[g.grant_id] = g
+        return g
+
+    def valid(self, grant_id: str) -> bool:
+        return grant_id in self.held and self.held[grant_id].valid(self.clock())
+
+    def allows(self, grant_id: str, conversation_id: int, summary_id: str | None = None) -> bool:
+        return self.valid(grant_id) and self.held[grant_id].allows(conversation_id, summary_id)
+
+    def consume(self, grant_id: str, tokens: int) -> bool:
+        return self.valid(grant_id) and self.held[grant_id].consume(tokens)
+
+    def revoke(self, grant_id: str) -> bool:
+        if grant_id not in self.held:
+            return False
+        self.held[grant_id].revoked = True
+        return True
+
+    def clean_up(self) -> int:
+        """Forgets grants that are revoked or expired (those that are spent stay); how many."""
+        now = self.clock()
+        gone = [k for k, g in self.held.items() if g.revoked or (g.expires_at and now >= g.expires_at)]
+        for k in gone:
+            del self.held[k]
+        return len(gone)
+
+
 class CircuitBreaker:
     """Opens for a key after so many failures, until the cooldown is over."""
 
@@ -89,7 +123,7 @@ def expand_query(messages: DataFrame, graph: Dag, question: str, grant: Grant, c
         return {"answer": answer(question), "cited": [], "tokens": 0, "steps": taken, "reason": "nothing to expand"}
     ids = [i for i in ids if grant.allows(conversation_id, i)][: steps - taken]
     edges = graph.leaf_edges.where(graph.leaf_edges.summary_id.isin(ids))
-    rows = edges.join(messages, edges.message_id == messages.id).orderBy("summary_id", "seq").select("content").limit(200).collect()
+    rows = edges.join(messages, edges.message_id == messages.id).orderBy("summary_id", "seq").select("content").collect()  # of five leaves at most, each of a chunk
     text = answer("\n".join(r.content for r in rows))
     grant.consume(min(grant.remaining, len(text)))
     return {"answer": text, "cited": ids, "tokens": len(text), "steps": taken + len(ids), "reason": "expanded"}

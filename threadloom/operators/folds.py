@@ -120,7 +120,8 @@ def repair_transcript(messages: DataFrame) -> DataFrame:
     m = messages.withColumn("tool_call_id", call_id)
     is_result = (F.col("role") == "tool") & F.col("tool_call_id").isNotNull()
     key = ["conversation_id", "tool_call_id"]
-    calls = m.where((F.col("role") == "assistant") & F.col("tool_call_id").isNotNull()).select(*key, F.col("seq").alias("call_seq"), F.col("tool_name").alias("call_name"), F.col("created_at").alias("call_at"))
+    # of calls with one id the first has the result
+    calls = m.where((F.col("role") == "assistant") & F.col("tool_call_id").isNotNull()).groupBy(*key).agg(F.min("seq").alias("call_seq"), F.min_by("tool_name", "seq").alias("call_name"), F.min_by("created_at", "seq").alias("call_at"))
     first = Window.partitionBy(*key).orderBy("seq")
     results = m.where(is_result).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     moved = results.join(calls.select(*key, "call_seq"), key).withColumn("place", F.struct(F.col("call_seq").alias("at"), F.lit(1).alias("sub")))

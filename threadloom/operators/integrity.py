@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.operators import dag
 from threadloom.operators.compaction import Dag
@@ -17,9 +18,9 @@ def result(name: str, bad: DataFrame) -> DataFrame:
 
 
 def gaps(rows: DataFrame, group: str, column: str) -> DataFrame:
-    """(group, missing): numbers between the least and the greatest that are absent."""
-    g = rows.groupBy(group).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.collect_set(column).alias("have"))
-    return g.withColumn("missing", F.array_except(F.sequence("lo", "hi"), "have")).where(F.size("missing") > 0).select(group, F.array_sort("missing").alias("missing"))
+    """(group, first, n): runs of numbers between the least and the greatest that are absent, each with its length."""
+    after = F.lead(column).over(Window.partitionBy(group).orderBy(column))
+    return rows.select(group, (F.col(column) + 1).alias("first"), (after - F.col(column) - 1).alias("n")).where("n > 0")
 
 
 def duplicates(edges: DataFrame, key: str, other: str) -> DataFrame:

@@ -114,6 +114,11 @@ def grouped(found: DataFrame, covering: DataFrame) -> DataFrame:
     return joined.groupBy("summary_id").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("matches"))
 
 
+def first_of(rows: DataFrame, key: list, order: list) -> DataFrame:
+    """Of rows with one key (such as the beginning of a content) the first, in the given order."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
 def vector_top(rows: DataFrame, query: list[float], k: int, id_col: str, exclude=None, conversation_ids: list | None = None, min_score: float | None = None) -> DataFrame:
     """The k most similar rows; a threshold and filters hold before the limit."""
     scored = rows.withColumn("score", cosine(F.col("embedding"), literal(query))).where("score is not null")
@@ -135,9 +140,29 @@ def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return both.groupBy("id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank") + 1)).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
 
 
+def hybrid(by_text: DataFrame, by_vector: DataFrame, limit: int, k: int = 60) -> DataFrame:
+    """The best ``limit`` of two ranked lists (id, rank from 0) by reciprocal rank fusion; without vector hits, the text hits.
+
+    Ties go to the first of the first list. Both lists are the tops of searches, so they are short.
+    """
+    fused = fuse([by_text, by_vector], k).withColumn("score", F.round("score", 9))
+    return fused.orderBy(F.desc("score"), "first").limit(limit)
+
+
+def append_summaries(found: DataFrame, hits: DataFrame, summaries: DataFrame, limit: int) -> DataFrame:
+    """``found`` (id, place), then the summaries among the vector hits (id, score) that it lacks, best first, up to ``limit``."""
+    more = hits.join(found.select("id"), "id", "left_anti").join(summaries.select(F.col("summary_id").alias("id")), "id", "left_semi")
+    after = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # a top-k list
+    both = found.select("id", F.lit(0).alias("part"), F.col("place").cast("long").alias("place")).unionByName(more.select("id", F.lit(1).alias("part"), after.cast("long").alias("place")))
+    return both.orderBy("part", "place").limit(limit)
+
+
 def any_keyword(rows: DataFrame, words: list[str], limit: int) -> DataFrame:
     """Relaxed search: rows by how many keywords they hold, where each keyword brings its ``2 * limit`` best only."""
     t = rows.withColumn("__t", terms(F.col("content")))
     one = t.withColumn("word", F.explode(F.array(*[F.lit(w) for w in words]))).where(F.array_contains("__t", F.col("word")))
-    near = one.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("id"))).where(F.col("n") <= 2 * limit)
-    return near.groupBy("id").agg(F.count(F.lit(1)).alias("matches")).orderBy(F.desc("matches"), "id").limit(limit)
+    best = [F.desc("score"), "id"] if "score" in rows.columns else ["id"]
+    near = one.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(*best))).where(F.col("n") <= 2 * limit)
+    place = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(i))])
+    seen = F.min(F.struct(place[F.col("word")].alias("word"), "n")).alias("first")  # ties: first seen, word by word
+    return near.groupBy("id").agg(F.count(F.lit(1)).alias("matches"), seen).orderBy(F.desc("matches"), "first").limit(limit)

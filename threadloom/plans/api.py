@@ -30,7 +30,21 @@ class Memory:
         return Memory(self.messages.unionByName(fresh, allowMissingColumns=True), self.settings, self.graph, self.ignored)
 
     def compact(self) -> Memory:
-        return Memory(self.messages, self.settings, compaction.sweep(self.messages, self.settings), self.ignored)
+        return Memory(self.messages, self.settings, compaction.sweep(self.messages, self.settings, self.graph), self.ignored)
+
+    def on_turn_end(self, rows: DataFrame, limit: int | None = None, order: str = "seq") -> Memory:
+        """Takes in what is new and compacts the conversations that are under pressure."""
+        m = self.ingest(rows, order)
+        none = compaction.Dag(*compaction.leaves(m.messages.limit(0), m.settings), m.messages.sparkSession.createDataFrame([], "parent_id string, child_id string"))
+        g = compaction.incremental(m.messages, m.settings, m.graph or none, limit or m.settings.effective_max_tokens)
+        return Memory(m.messages, m.settings, g, m.ignored)
+
+    def on_turn_start(self, prompt: str | None = None) -> DataFrame:
+        return self.context(prompt)
+
+    def on_session_end(self, conversations: DataFrame, ids: list[int]) -> tuple[Memory, DataFrame]:
+        """A full sweep; the given conversations are inactive from now on."""
+        return self.compact(), store.deactivate(conversations, ids)
 
     def _graph(self) -> compaction.Dag:
         return self.graph or compaction.sweep(self.messages, self.settings)

@@ -9,6 +9,7 @@ from threadloom.config import SMALL
 from threadloom.functions import text as X
 from threadloom.functions.vectors import cosine, literal
 from threadloom.operators import aggregates, assemble, compaction, dag, expansion, folds, integrity, recall, store
+from threadloom.sources.scratch import place
 from threadloom.sources.tables import MESSAGES_SQL, SESSIONS_SQL, long_sessions, messages
 from threadloom.streaming import ingest
 
@@ -38,21 +39,33 @@ def vectors(spark, sf):
 
 
 def graph(spark, sf):
+    """Messages and their graph, written once: queries read it several times."""
     rows = long_sessions(spark, sf)
     return rows, compaction.sweep(rows, SMALL)
 
 
+def families(spark, sf):
+    """A graph of depth 2 from the test tables: regions over nations over suppliers."""
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    key = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    node = lambda df, letter, column, depth: df.select(key(letter, column).alias("summary_id"), F.lit(depth).alias("depth"))
+    r, n, x = read("region"), read("nation"), read("supplier")
+    nodes = node(r, "r", "r_regionkey", 2).union(node(n, "n", "n_nationkey", 1)).union(node(x, "s", "s_suppkey", 0))
+    edges = n.select(key("r", "n_regionkey").alias("parent_id"), key("n", "n_nationkey").alias("child_id")).union(x.select(key("n", "s_nationkey"), key("s", "s_suppkey")))
+    return nodes, edges
+
+
 SNIP = "CASE WHEN length({0}) <= 200 THEN {0} ELSE substr({0}, 1, 197) || '...' END"
 
 
-def bm25_sql(table: str, key: str, text: str, words: list[str], extra: str = "") -> str:
+def bm25_sql(table: str, key: str, text: str, words: list[str], extra: str = "", p: str = "") -> str:
     """Scores of rows with all words, over statistics of the whole table."""
     n = ", ".join(f"count(*) FILTER (WHERE list_contains(t, '{w}')) AS n{i}" for i, w in enumerate(words))
     score = " + ".join(f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * len(list_filter(t, lambda x: x = '{w}')) * 2.2 / (len(list_filter(t, lambda x: x = '{w}')) + 1.2 * (0.25 + 0.75 * len(t) / avgdl))" for i, w in enumerate(words))
     have = " AND ".join(f"list_contains(t, '{w}')" for w in words)
-    return f"""tok AS (SELECT *, regexp_extract_all(lower(strip_accents({text})), '[\\p{{L}}\\p{{N}}]+') AS t FROM {table}),
-    st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl, {n} FROM tok),
-    ranked AS (SELECT tok.*, {score} AS score FROM tok, st WHERE {have} {extra})"""
+    return f"""tok{p} AS (SELECT *, regexp_extract_all(lower(strip_accents({text})), '[\\p{{L}}\\p{{N}}]+') AS t FROM {table}),
+    st{p} AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl, {n} FROM tok{p}),
+    ranked{p} AS (SELECT tok{p}.*, {score} AS score FROM tok{p}, st{p} WHERE {have} {extra})"""
 
 
 @query("WITH " + MESSAGES_SQL + ", " + bm25_sql("messages", "id", "content", ["the", "tion"]) + f" SELECT id, {SNIP.format('content')} AS snippet, round(score, 6) AS score FROM ranked ORDER BY round(score, 9) DESC, id LIMIT 20")
@@ -108,8 +121,7 @@ def rrf_hybrid(spark, sf):
     by_text = docs_fts_top(spark, sf).select(F.col("doc_id").alias("id"), (F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).alias("rank"))
     top = recall.vector_top(vectors(spark, sf), VECTOR, 50, "vec_id")
     by_vector = top.select(F.col("vec_id").alias("id"), (F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")) - 1).alias("rank"))
-    fused = recall.fuse([by_text, by_vector]).withColumn("score", F.round("score", 9))
-    return fused.orderBy(F.desc("score"), "first").limit(20).select("id", "score")
+    return recall.hybrid(by_text, by_vector, 20).select("id", "score")
 
 
 @query("WITH " + MESSAGES_SQL + " SELECT id, conversation_id, seq FROM messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 2")
@@ -127,7 +139,7 @@ e AS (SELECT conversation_id, unnest(range(lo, hi + 1)) AS seq FROM r)
 SELECT e.conversation_id, count(*) AS n_missing, min(e.seq) AS first_missing FROM e ANTI JOIN m ON m.conversation_id = e.conversation_id AND m.seq = e.seq GROUP BY 1""")
 def seq_gaps(spark, sf):
     found = integrity.gaps(messages(spark, sf).where("id % 5 <> 2"), "conversation_id", "seq")
-    return found.select("conversation_id", F.size("missing").cast("long").alias("n_missing"), F.element_at("missing", 1).alias("first_missing"))
+    return found.groupBy("conversation_id").agg(F.sum("n").alias("n_missing"), F.min("first").alias("first_missing"))
 
 
 CHUNKS_SQL = "WITH RECURSIVE " + SESSIONS_SQL + """, e AS (
@@ -182,9 +194,12 @@ def condense_level(spark, sf):
     return g.summaries.where("kind = 'condensed'").join(kids, "summary_id").select("summary_id", "conversation_id", "depth", "content", "source_token_count", "earliest_at", "latest_at", "n_children")
 
 
-@query(DAG_SQL + " SELECT parent_id AS ancestor, child_id AS descendant, 1 AS distance FROM parent_edges")
+FAMILY_SQL = """WITH e AS (SELECT 'r' || n_regionkey AS parent_id, 'n' || n_nationkey AS child_id FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"""
+
+
+@query(FAMILY_SQL + " SELECT parent_id AS ancestor, child_id AS descendant, 1 AS distance FROM e UNION ALL SELECT a.parent_id, b.child_id, 2 FROM e a JOIN e b ON a.child_id = b.parent_id")
 def dag_closure(spark, sf):
-    return dag.closure(graph(spark, sf)[1].parent_edges)
+    return dag.closure(families(spark, sf)[1])
 
 
 @query(DAG_SQL + " SELECT summary_id, conversation_id, depth FROM roots")
@@ -193,10 +208,11 @@ def roots(spark, sf):
     return dag.roots(g.summaries, g.parent_edges).select("summary_id", "conversation_id", "depth")
 
 
-@query(DAG_SQL + " SELECT summary_id, depth FROM roots")
+@query(FAMILY_SQL + """, t AS (SELECT 'r' || r_regionkey AS summary_id, 2 AS depth FROM region), u AS (SELECT 'n' || n_nationkey AS summary_id, 1 AS depth FROM nation WHERE 'n' || n_nationkey NOT IN (SELECT child_id FROM e SEMI JOIN t ON t.summary_id = e.parent_id)),
+v AS (SELECT 's' || s_suppkey AS summary_id, 0 AS depth FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT child_id FROM e WHERE parent_id IN (SELECT summary_id FROM t UNION ALL SELECT summary_id FROM u))) SELECT * FROM t UNION ALL SELECT * FROM u UNION ALL SELECT * FROM v""")
 def eligible(spark, sf):
-    _, g = graph(spark, sf)
-    return dag.eligible(g.summaries, g.parent_edges, 1, "parent_of_included").select("summary_id", "depth")
+    """Grandchildren come back by this rule: regions and suppliers, no nations."""
+    return dag.eligible(*families(spark, sf), 2, "parent_of_included")
 
 
 @query(DAG_SQL + " SELECT depth, kind, count(*) AS summaries, sum(token_count)::BIGINT AS tokens FROM summaries GROUP BY 1, 2")
@@ -233,11 +249,22 @@ def assemble_budget(spark, sf):
     return out.select("conversation_id", "summary_id", "place")
 
 
-@query()
+WORDS_SQL = "list_filter(regexp_split_to_array(lower(content), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]+'), lambda w: w <> '')"
+LITE = " + ".join(f"CASE WHEN len(list_filter(w, lambda x: x = '{t}')) > 0 THEN len(list_filter(w, lambda x: x = '{t}')) * 2.2 / (len(list_filter(w, lambda x: x = '{t}')) + 1.2 * (0.25 + 0.75 * len(w) / mean)) ELSE 0 END" for t in ("the", "and", "of"))
+
+
+@query(DAG_SQL + ", b AS (SELECT conversation_id, (1200 - sum(token_count)) * 0.4::DOUBLE AS budget FROM (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 2) GROUP BY 1)" + f""",
+w0 AS (SELECT l.*, budget, {WORDS_SQL} AS w FROM leaf l JOIN b USING (conversation_id) WHERE budget > 0), w1 AS (SELECT *, avg(len(w)) OVER (PARTITION BY conversation_id) AS mean FROM w0), w2 AS (SELECT *, {LITE} AS score FROM w1),
+c AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY round(score, 9) DESC, earliest_at, created_at, summary_id) AS k FROM w2),
+f AS (SELECT conversation_id, k, summary_id, score, CASE WHEN token_count > budget THEN 0 ELSE token_count END AS used, token_count <= budget AS keep FROM c WHERE k = 1
+  UNION ALL SELECT c.conversation_id, c.k, c.summary_id, c.score, CASE WHEN f.used + c.token_count > c.budget THEN f.used ELSE f.used + c.token_count END, f.used + c.token_count <= c.budget FROM f JOIN c ON c.conversation_id = f.conversation_id AND c.k = f.k + 1)
+SELECT conversation_id, summary_id, k::INT AS place, round(score, 6) AS score FROM f WHERE keep""")
 def assemble_bm25lite(spark, sf):
     from dataclasses import replace
 
-    rows, g = graph(spark, sf)
+    rows = long_sessions(spark, sf)
+    nodes, edges = compaction.leaves(rows, SMALL)
+    g = compaction.Dag(nodes, edges, spark.createDataFrame([], "parent_id string, child_id string"))
     return assemble.assemble(rows, g, replace(SMALL, max_context_tokens=1200), prompt="the and of").select("conversation_id", "summary_id", "place", F.round("score", 6).alias("score"))
 
 
@@ -248,16 +275,26 @@ def grep_covering(spark, sf):
     return recall.like(rows, ["content"], "the").select(F.col("id").alias("message_id")).join(cover, "message_id")
 
 
-@query()
+FOUND_SQL = DAG_SQL + ", " + bm25_sql("sessions", "id", "content", ["the", "tion"], p="m") + ", " + bm25_sql("summaries", "summary_id", "content", ["the", "tion"], p="s") + f""",
+found AS (SELECT * FROM (SELECT 'message' AS type, id::VARCHAR AS id, {SNIP.format('content')} AS content_snippet, conversation_id, role AS what, seq::VARCHAR AS pos, round(score, 9) AS s, 0 AS src FROM rankedm ORDER BY s DESC, id LIMIT 20)
+  UNION ALL SELECT * FROM (SELECT 'summary', summary_id AS id, {SNIP.format('content')}, conversation_id, kind, depth::VARCHAR, round(score, 9) AS s, 1 FROM rankeds ORDER BY s DESC, id LIMIT 20))"""
+
+
+@query(FOUND_SQL + """, r AS (SELECT *, row_number() OVER (ORDER BY src, s DESC, id) AS rank FROM found ORDER BY src, s DESC, id LIMIT 20),
+cover AS (SELECT message_id::VARCHAR AS id, arg_min(summary_id, (created_at, summary_id)) AS covers FROM leaf_edges JOIN leaf USING (summary_id) GROUP BY 1)
+SELECT CASE WHEN type = 'summary' THEN r.id ELSE covers END AS summary_id, min(rank) AS rank, string_agg(r.id, ',' ORDER BY rank) AS matches FROM r LEFT JOIN cover ON cover.id = r.id GROUP BY 1""")
 def grep_grouped(spark, sf):
     rows, g = graph(spark, sf)
-    return recall.grouped(recall.grep(rows, g.summaries, QUERY, limit=20), dag.covering(g.leaf_edges, g.summaries))
+    found = recall.grouped(recall.grep(rows, g.summaries, QUERY, limit=20), dag.covering(g.leaf_edges, g.summaries))
+    return found.select("summary_id", F.col("rank").cast("long").alias("rank"), F.array_join(F.transform("matches", lambda x: x.id), ",").alias("matches"))
 
 
-@query()
+@query(FOUND_SQL + " SELECT type, id, content_snippet, conversation_id, what, pos, round(s, 6) AS score FROM found ORDER BY src, s DESC, id LIMIT 20 OFFSET 5")
 def grep_all_scopes(spark, sf):
     rows, g = graph(spark, sf)
-    return recall.grep(rows, g.summaries, QUERY, limit=20, offset=5)
+    of = lambda a, b: F.coalesce(F.col("metadata")[a], F.col("metadata")[b])
+    found = recall.grep(rows, g.summaries, QUERY, limit=20, offset=5)
+    return found.select("type", "id", "content_snippet", "conversation_id", of("role", "kind").alias("what"), of("seq", "depth").alias("pos"), F.round("score", 6).alias("score"))
 
 
 @query(DAG_SQL + " SELECT s.summary_id, s.kind, CASE WHEN kind = 'leaf' THEN (SELECT count(*) FROM leaf_edges e WHERE e.summary_id = s.summary_id) ELSE 0 END AS source_message_count, CASE WHEN kind = 'leaf' THEN 0 ELSE (SELECT count(*) FROM parent_edges p WHERE p.parent_id = s.summary_id) END AS n_children FROM summaries s")
@@ -272,23 +309,52 @@ def expand_leaves(spark, sf):
     return dag.sources(g.leaf_edges, rows).select("summary_id", "id", "seq", "role")
 
 
-@query(f"SELECT vec_id, label::BIGINT AS conversation_id, round({COS}, 6) AS score FROM (SELECT * FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 5) WHERE {COS} >= 0.05")
+@query(f"""WITH RECURSIVE h AS (SELECT vec_id, {COS} AS score, (vec_id * 37) % 900 AS t, row_number() OVER (ORDER BY {COS} DESC, vec_id) AS k FROM embeddings QUALIFY k <= 5),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id::VARCHAR) AS n FROM h WHERE score >= 0.05),
+f AS (SELECT n, vec_id, score, CASE WHEN t > 1000 THEN 0 ELSE t END AS used, t <= 1000 AS keep FROM r WHERE n = 1
+  UNION ALL SELECT r.n, r.vec_id, r.score, CASE WHEN f.used + r.t > 1000 THEN f.used ELSE f.used + r.t END, f.used + r.t <= 1000 FROM f JOIN r ON r.n = f.n + 1)
+SELECT vec_id::VARCHAR AS id, n::INT AS place, round(score, 6) AS score FROM f WHERE keep""")
 def cross_session_threshold(spark, sf):
-    top = recall.vector_top(vectors(spark, sf), VECTOR, 5, "vec_id")
-    return top.where("score >= 0.05").select("vec_id", "conversation_id", F.round("score", 6).alias("score"))
-
-
-NAMES = ("sequence_contiguous", "leaf_sources_exist", "parents_exist", "leaves_have_sources", "condensed_have_children", "no_duplicate_references", "one_leaf_per_message", "tokens_agree")
-
-
-@query(" UNION ALL ".join(f"SELECT '{n}' AS name, true AS passed, '0 bad' AS details" for n in NAMES))
+    """The embedded rows stand for summaries with token counts of their own."""
+    rows = vectors(spark, sf)
+    hits = recall.vector_top(rows, VECTOR, 5, "vec_id").select(F.col("vec_id").cast("string").alias("id"), "score")
+    summaries = rows.select(F.col("vec_id").cast("string").alias("summary_id"), "conversation_id", (F.col("vec_id") * 37 % 900).alias("token_count"))
+    return assemble.cross_session(hits, summaries, 0.05, 1000).select("id", "place", F.round("score", 6).alias("score"))
+
+
+FAULTY_SQL = DAG_SQL + """, m AS (SELECT * FROM sessions WHERE id % 7 <> 3),
+sm AS (SELECT * REPLACE (token_count + CASE WHEN summary_id LIKE 'sum_4%' THEN 1 ELSE 0 END AS token_count) FROM summaries WHERE summary_id NOT LIKE 'sum_0%'),
+le AS (SELECT * FROM leaf_edges WHERE summary_id NOT LIKE 'sum_1%' UNION ALL SELECT * FROM leaf_edges WHERE summary_id LIKE 'sum_3%' UNION ALL SELECT 'other', message_id FROM leaf_edges WHERE message_id % 11 = 0),
+pe AS (SELECT * FROM parent_edges WHERE parent_id < 'sum_8'),
+bad AS (
+  SELECT 'sequence_contiguous' AS name, (SELECT count(*) FROM (SELECT lead(seq) OVER (PARTITION BY conversation_id ORDER BY seq) - seq AS d FROM m) WHERE d > 1) AS n
+  UNION ALL SELECT 'leaf_sources_exist', (SELECT count(*) FROM le WHERE message_id NOT IN (SELECT id FROM m))
+  UNION ALL SELECT 'parents_exist', (SELECT count(*) FROM pe WHERE parent_id NOT IN (SELECT summary_id FROM sm)) + (SELECT count(*) FROM pe WHERE child_id NOT IN (SELECT summary_id FROM sm))
+  UNION ALL SELECT 'leaves_have_sources', (SELECT count(*) FROM sm WHERE kind = 'leaf' AND summary_id NOT IN (SELECT summary_id FROM le))
+  UNION ALL SELECT 'condensed_have_children', (SELECT count(*) FROM sm WHERE kind = 'condensed' AND summary_id NOT IN (SELECT parent_id FROM pe))
+  UNION ALL SELECT 'no_duplicate_references', (SELECT count(*) FROM (SELECT 1 FROM le GROUP BY summary_id, message_id HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT 1 FROM pe GROUP BY parent_id, child_id HAVING count(*) > 1))
+  UNION ALL SELECT 'one_leaf_per_message', (SELECT count(*) FROM (SELECT 1 FROM le GROUP BY message_id HAVING count(DISTINCT summary_id) > 1))
+  UNION ALL SELECT 'tokens_agree', (SELECT count(*) FROM sm WHERE token_count <> length(content) // 4))"""
+
+
+@query(FAULTY_SQL + " SELECT name, n = 0 AS passed, n || ' bad' AS details FROM bad")
 def integrity_checks(spark, sf):
-    return integrity.checks(*graph(spark, sf))
+    """Of a graph with faults: messages, nodes and edges are gone or doubled, and token counts are wrong."""
+    rows, g = graph(spark, sf)
+    like = lambda c, d: F.col(c).startswith(f"sum_{d}")
+    nodes = g.summaries.where(~like("summary_id", 0)).withColumn("token_count", F.col("token_count") + like("summary_id", 4).cast("long"))
+    e = g.leaf_edges
+    edges = e.where(~like("summary_id", 1)).union(e.where(like("summary_id", 3))).union(e.where("message_id % 11 = 0").select(F.lit("other"), "message_id"))
+    return integrity.checks(rows.where("id % 7 <> 3"), compaction.Dag(nodes, edges, g.parent_edges.where("parent_id < 'sum_8'")))
 
 
-@query(DAG_SQL + " SELECT conversation_id, count(*) AS orphans FROM (SELECT * FROM leaf WHERE summary_id NOT IN (SELECT child_id FROM parent_edges)) GROUP BY 1")
+@query(DAG_SQL + " SELECT conversation_id, count(*) AS orphans FROM leaf WHERE summary_id NOT IN (SELECT child_id FROM parent_edges JOIN top ON top.summary_id = parent_id WHERE conversation_id % 2 = 0) GROUP BY 1")
 def orphan_leaves(spark, sf):
-    return integrity.orphans(graph(spark, sf)[1]).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("orphans"))
+    """Of a graph whose odd conversations have lost their upper edges."""
+    _, g = graph(spark, sf)
+    even = g.summaries.where("conversation_id % 2 = 0").select(F.col("summary_id").alias("parent_id"))
+    g = compaction.Dag(g.summaries, g.leaf_edges, g.parent_edges.join(even, "parent_id", "left_semi"))
+    return integrity.orphans(g).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("orphans"))
 
 
 @query("SELECT doc_id, length(text) // 4 AS quarter, greatest(1, length(text) // 4) AS at_least_one, len(regexp_extract_all(text, '[^\\s\\x{0B}]+')) AS words FROM documents WHERE text IS NOT NULL")
@@ -297,9 +363,20 @@ def token_estimates(spark, sf):
     return docs(spark, sf).where("text is not null").select("doc_id", X.tokens_div4(t).alias("quarter"), X.tokens_at_least_one(t).alias("at_least_one"), X.tokens_words(t).alias("words"))
 
 
-@query("SELECT doc_id, text AS annotated FROM documents WHERE NOT regexp_matches(text, 'data:[a-zA-Z0-9]+/|MEDIA:/|[\\x{80}-\\x{ff}]{16,}|([0-9a-fA-F]{2}\\s*){32,}') AND doc_id % 50 = 0")
+WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+MEDIA_SQL = (f"data:[^{WHITE}/;,]+/[^{WHITE},]+?;base64,[0-9A-Za-z+/=\\n]{{20,}}", f"MEDIA:/[^{WHITE}]+", f"([0-9A-Fa-f]{{2}}[{WHITE}]*){{32,}}", r"[\x{80}-\x{ff}]{16,}")
+
+
+def replaced(text: str, *patterns: str) -> str:
+    for p in patterns:
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+    return text
+
+
+@query(f"""WITH a AS (SELECT doc_id, text, {" OR ".join(f"regexp_matches(text, '{p}')" for p in MEDIA_SQL)} AS has, regexp_replace({replaced('text', *MEDIA_SQL)}, '\n{{3,}}', chr(10) || chr(10), 'g') AS rest FROM documents),
+b AS (SELECT *, {replaced('rest', f'^[{WHITE}]+', f'[{WHITE}]+$')} AS bare FROM a)
+SELECT doc_id, CASE WHEN NOT has OR text IS NULL THEN text WHEN bare = '' THEN '[Media attachment]' ELSE bare || ' [with media attachment]' END AS annotated FROM b""")
 def media_annotate(spark, sf):
-    """Of all documents. The SQL has only the rows without media of every fiftieth id, and so is part of this."""
     return docs(spark, sf).select("doc_id", X.annotate_media(F.col("text")).alias("annotated"))
 
 
@@ -323,22 +400,19 @@ def query_fingerprint(spark, sf):
     return docs(spark, sf).where("text is not null").select("doc_id", F.length("text").cast("long").alias("query_len"), X.fingerprint(F.col("text")).alias("query_hash"))
 
 
-@query("WITH " + SESSIONS_SQL + """, s AS (SELECT *, count(*) OVER (PARTITION BY conversation_id) AS n FROM sessions), st AS (SELECT conversation_id, role, content, seq FROM s WHERE seq <= n - 3), inc AS (SELECT conversation_id, role, content, seq FROM s WHERE seq > n - 6)
-SELECT conversation_id, 3 AS "drop" FROM s GROUP BY 1""")
+@query("WITH " + SESSIONS_SQL + """, s AS (SELECT *, count(*) OVER (PARTITION BY conversation_id) AS n FROM sessions),
+st AS (SELECT conversation_id, list({'r': role, 'c': content} ORDER BY seq) AS o FROM s WHERE seq <= n - 3 GROUP BY 1), inc AS (SELECT conversation_id, list({'r': role, 'c': content} ORDER BY seq) AS i FROM s WHERE seq > n - 3 - conversation_id % 4 GROUP BY 1)
+SELECT conversation_id, coalesce(list_max(list_filter(range(0, least(len(o), len(i)) + 1), lambda k: k = 0 OR list_slice(o, len(o) - k + 1, len(o)) = list_slice(i, 1, k))), 0)::INT AS "drop" FROM inc LEFT JOIN st USING (conversation_id)""")
 def overlap_dedup(spark, sf):
-    """Stored: all but the last three messages; incoming: the last six, of which three are stored already."""
+    """Stored: all but the last three messages; incoming: these and none to three of what is stored."""
     rows = long_sessions(spark, sf).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conversation_id")))
-    return folds.overlap(rows.where("seq <= n - 3").drop("n"), rows.where("seq > n - 6").drop("n"))
+    return folds.overlap(rows.where("seq <= n - 3").drop("n"), rows.where("seq > n - 3 - conversation_id % 4").drop("n"))
 
 
 @query("SELECT user_id, count(*) AS events, max(ts) AS last_ts FROM events GROUP BY 1")
 def events_incremental(spark, sf):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    name, path = f"events_{uuid.uuid4().hex}", f"{sf}/event[s].parquet"  # a pattern: the source takes no single file by name
-    ingest.event_state(spark, path, spark.read.parquet(path).schema, f"{base}/{name}", name)
-    return spark.table(name)
+    at, path = place(spark, "events"), f"{sf}/event[s].parquet"  # a pattern: the source takes no single file by name
+    return ingest.event_state(spark, path, spark.read.parquet(path).schema, f"{at}/stream", f"{at}/table").select("user_id", "events", "last_ts")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -351,7 +425,7 @@ def pressure(spark, sf):
     return ingest.pressure(long_sessions(spark, sf), 8000)
 
 
-@query()
+@query("WITH " + MESSAGES_SQL + " SELECT id, conversation_id, 16 AS dim FROM messages WHERE id % 3 <> 0 AND regexp_matches(content, '[^' || '" + WHITE + "' || ']')")
 def embedding_backfill(spark, sf):
     m = messages(spark, sf)
     return ingest.backfill(m, m.where("id % 3 = 0").select("id"), lambda texts: ingest.hash_embedding(texts, 16)).select("id", "conversation_id", F.size("embedding").alias("dim"))
@@ -367,8 +441,21 @@ def cosine_by_label(spark, sf):
     return vectors(spark, sf).groupBy(F.col("conversation_id").cast("int").alias("label")).agg(F.round(F.avg(cosine(F.col("embedding"), literal(VECTOR))), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN r < 0.35 THEN 'shallow' WHEN r <= 0.7 AND doc_id % 7 <= 3 THEN 'shallow' ELSE 'delegate' END AS action FROM (SELECT doc_id, 500.0 * (doc_id % 7) * CASE WHEN doc_id % 7 >= 5 THEN 1.3 ELSE 1 END / 5000 AS r FROM documents WHERE doc_id % 7 > 0)")
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN 'direct' WHEN r < 0.35 OR (r <= 0.7 AND n <= 3) THEN 'shallow' ELSE 'delegate' END AS action FROM (
+  SELECT doc_id, n, 500.0 * n * CASE WHEN doc_id % 3 = 1 THEN 1.5 ELSE 1 END * CASE WHEN n >= 5 OR doc_id % 3 = 2 THEN 1.3 ELSE 1 END / 5000 AS r FROM (SELECT doc_id, doc_id % 7 AS n FROM documents))""")
 def expansion_policy(spark, sf):
-    """The policy for none to six candidates, as a lookup of its few outcomes. The SQL leaves out the documents with none."""
-    outcome = F.create_map(*[x for n in range(7) for x in (F.lit(n), F.lit(expansion.decide("what happened", n, 5000)))])
-    return docs(spark, sf).select("doc_id", outcome[(F.col("doc_id") % 7).cast("int")].alias("action"))
+    """The policy for none to six candidates and three kinds of questions, as a lookup of its few outcomes."""
+    asked = ("what happened", "the whole HISTORY of it", "How did  rain affect us")
+    outcome = F.create_map(*[x for n in range(21) for x in (F.lit(n), F.lit(expansion.decide(asked[n % 3], n % 7, 5000)))])
+    return docs(spark, sf).select("doc_id", outcome[(F.col("doc_id") % 21).cast("int")].alias("action"))
+
+
+def _more() -> None:
+    from threadloom.plans import store_queries
+
+    QUERIES.update(store_queries.QUERIES)
+    ORACLES.update(store_queries.ORACLES)
+    QUERIES["index_search"], ORACLES["index_search"] = store_queries.index_search, store_queries.index_sql()
+
+
+_more()

@@ -59,8 +59,8 @@ def hash_embedding(texts: list[str], dim: int) -> list[list[float]]:
 
 
 def backfill(messages: DataFrame, embedded: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
-    """Vectors of the messages that are not blank and have none; a batch that fails has a null vector and is tried again next time."""
-    todo = messages.where(F.trim("content") != "").join(embedded.select("id"), "id", "left_anti").select("id", "conversation_id", "content")
+    """Vectors of the messages that are not blank and have none; a batch that fails has null vectors (see ``settled``)."""
+    todo = messages.where(F.col("content").rlike(r"(?U)\S")).join(embedded.select("id"), "id", "left_anti").select("id", "conversation_id", "content")
     schema = T.StructType([todo.schema["id"], todo.schema["conversation_id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames):
@@ -76,10 +76,23 @@ def backfill(messages: DataFrame, embedded: DataFrame, embed: Callable[[list[str
     return todo.mapInPandas(run, schema)
 
 
-def event_state(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str, name: str, per_trigger: int | None = None) -> None:
-    """Running count, sum and last time of events by user, kept as streaming state and shown in a memory table."""
+def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a backfill: the rows to store, and the number of failures by conversation. Failed messages stay to be embedded."""
+    failed = rows.where("embedding is null").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("failed"))
+    return rows.where("embedding is not null"), failed
+
+
+def event_state(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str, target: str, per_trigger: int | None = None) -> DataFrame:
+    """Running count and last time of events by user: streaming state, whose changes each batch adds to a table.
+
+    A batch that is repeated overwrites its own folder; of each user the last batch counts.
+    """
+    from threadloom.operators.store import latest
+
     reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     state = reader.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts"))
-    state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = state.writeStream.outputMode("update").foreachBatch(upsert_batches(target))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return latest(spark.read.parquet(target), "user_id", "batch")
