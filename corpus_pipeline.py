@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The language model, MinHash and packing have no form in SQL; tests hold run() against brute force.
+#: The language model, MinHash and packing have no form in SQL; tests hold run() against plain forms of the stages.
 ORACLE_SQL = None
 
 
