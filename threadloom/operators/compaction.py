@@ -105,7 +105,9 @@ def sweep(messages: DataFrame, settings: Settings, graph: Dag | None = None, lev
 def incremental(messages: DataFrame, settings: Settings, graph: Dag, limit: int) -> Dag:
     """A sweep over the conversations under pressure only; without pressure the graph stays as it is."""
     tight = context_tokens(messages, graph).where(urgency(F.col("tokens"), limit, settings.soft_ratio, settings.hard_ratio) != "NONE").select("conversation_id")
-    return sweep(messages.join(tight, "conversation_id", "left_semi"), settings, graph)
+    own = Dag(graph.summaries.join(tight, "conversation_id", "left_semi"), graph.leaf_edges, graph.parent_edges)
+    made = sweep(messages.join(tight, "conversation_id", "left_semi"), settings, own)
+    return Dag(graph.summaries.join(tight, "conversation_id", "left_anti").unionByName(made.summaries), made.leaf_edges, made.parent_edges)
 
 
 def context_tokens(messages: DataFrame, graph: Dag) -> DataFrame:
