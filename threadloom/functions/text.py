@@ -102,6 +102,17 @@ def keywords(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+#: Words that a question's key terms leave out.
+ASKING_WORDS = tuple("what when where who how which why did does was were is are the a an my your i me we you do have has had that this with for from about after before first last most recently ever any some can could would should tell name mentioned discussed talked said told".split())
+
+
+def key_terms(question: Column) -> Column:
+    """Up to three pairs of neighbours, then up to five single words, of what a question is about; empty for null."""
+    told = F.filter(words(F.lower(F.translate(F.coalesce(question, F.lit("")), "?,.", ""))), lambda w: (F.length(w) > 2) & ~w.isin(*ASKING_WORDS))
+    pairs = F.transform(F.slice(told, 2, 3), lambda w, i: F.concat(F.get(told, i), F.lit(" "), w))
+    return F.concat(pairs, F.slice(told, 1, 5))
+
+
 def keyword_column(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]+)"), 1)
     return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOP_WORDS))))

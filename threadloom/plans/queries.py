@@ -456,6 +456,7 @@ def _more() -> None:
     QUERIES.update(store_queries.QUERIES)
     ORACLES.update(store_queries.ORACLES)
     QUERIES["index_search"], ORACLES["index_search"] = store_queries.index_search, store_queries.index_sql()
+    QUERIES["vector_cells_topk"], ORACLES["vector_cells_topk"] = store_queries.vector_cells_topk, ORACLES["vector_topk"]
 
 
 _more()

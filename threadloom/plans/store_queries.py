@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.config import SMALL, Settings
+from threadloom.functions import english
 from threadloom.functions import text as X
-from threadloom.operators import aggregates, assemble, compaction, dag, folds, index, recall, store
+from threadloom.operators import aggregates, assemble, cells, compaction, dag, folds, index, recall, store
 from threadloom.sources.scratch import place
 from threadloom.sources.tables import MESSAGES_SQL, SESSIONS_SQL, long_sessions, messages
 
@@ -15,6 +16,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 M, S = "WITH " + MESSAGES_SQL, "WITH " + SESSIONS_SQL
 AT = "2024-03-01 00:00:00"
+ENGLISH = "the whst of onings"
 
 
 def query(sql: str):
@@ -318,3 +320,29 @@ def effective_budget(spark, sf):
 def compaction_note(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") % 12).alias("k"), (F.col("conv_id") % 3).alias("j")).distinct()
     return c.select("k", assemble.compaction_note(F.col("k"), F.col("j")).isNotNull().alias("noted")).distinct()
+
+
+ASKING = ", ".join(f"'{w}'" for w in X.ASKING_WORDS)
+
+
+@query(M + f""", t AS (SELECT id, [w FOR w IN regexp_split_to_array(lower(translate(content, '?,.', '')), '[\\s\\x0b\\x{{85}}\\x{{a0}}]+') IF length(w) > 2 AND w NOT IN ({ASKING})] AS t FROM messages)
+SELECT id, array_to_string(list_concat([t[i] || ' ' || t[i + 1] FOR i IN range(1, least(len(t), 4))], t[1:5]), '|') AS terms FROM t""")
+def key_terms(spark, sf):
+    return messages(spark, sf).select("id", F.array_join(X.key_terms(F.col("content")), "|").alias("terms"))
+
+
+def vector_cells_topk(spark, sf):
+    """The most similar vectors by an index of cells; without a number of probes the search is exact."""
+    from threadloom.plans.queries import VECTOR, vectors
+
+    at = place(spark, "cells")
+    cells.build(vectors(spark, sf), "vec_id", at)
+    return cells.search(spark, at, VECTOR, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def grep_english(spark, sf):
+    """Messages that hold the stems of all words of an English question; tests hold it against a plain form."""
+    return english.search(messages(spark, sf), "content", ENGLISH).select("id", F.round("score", 9).alias("score"))
+
+
+QUERIES["grep_english"] = grep_english
