@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,19 +27,26 @@ def sanitise(query: str) -> str:
 def bm25(docs: DataFrame, text_col: str, query: list[str]) -> DataFrame:
     """``docs`` that hold all query terms, with ``score``; the statistics are those of all rows of ``docs``.
 
-    One pass over the texts gives the table's statistics (a single row), a second one the scores.
+    One pass over the texts gives the table's statistics (a single row), a second one the scores. Each pass splits
+    a text once: the counts come out of a generator, below which Spark doesn't push (and so repeat) what uses them.
     """
-    t = docs.withColumn("__t", terms(F.col(text_col)))
-    seen = [F.count_if(F.array_contains("__t", q)).alias(f"n{i}") for i, q in enumerate(query)]
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__t")).alias("avgdl"), *seen).first()
-    length = F.size("__t").cast("double")
-    score, keep = F.lit(0.0), F.lit(True)
-    for i, q in enumerate(query):
-        f = F.size(F.filter("__t", _equals(q)))
+    words = list(dict.fromkeys(query))
+
+    def counted(keep) -> Column:
+        tf = lambda t: F.array(*[F.size(F.filter(t, _equals(q))) for q in words]) if words else F.array().cast("array<int>")
+        rows = F.transform(F.array(terms(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), tf(t).alias("tf")))
+        return F.explode(F.filter(rows, keep)).alias("__s")
+
+    seen = [F.count_if(F.col("__s.tf")[i] > 0).alias(f"n{i}") for i in range(len(words))]
+    stats = docs.select(counted(lambda s: F.lit(True))).agg(F.count(F.lit(1)).alias("n"), F.avg("__s.dl").alias("avgdl"), *seen).first()
+    held = docs.select("*", counted(lambda s: F.forall(s.tf, lambda f: f > 0)))
+    length, score = F.col("__s.dl").cast("double"), F.lit(0.0)
+    for q in query:
+        i = words.index(q)
+        f = F.col("__s.tf")[i]
         idf = F.greatest(F.log((F.lit(float(stats["n"])) - stats[f"n{i}"] + 0.5) / (F.lit(float(stats[f"n{i}"])) + 0.5)), F.lit(1e-6))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(float(stats["avgdl"] or 1.0))))
-        keep = keep & F.array_contains("__t", q)
-    return t.where(keep).withColumn("score", score).drop("__t")
+    return held.withColumn("score", score).drop("__s")
 
 
 def _equals(q: str):
