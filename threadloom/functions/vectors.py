@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,3 +19,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
+
+
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine similarity to a fixed vector, whose length is computed once."""
+    size = math.sqrt(sum(float(x) * float(x) for x in vector))
+    return F.try_divide(dot(a, literal(vector)), F.sqrt(dot(a, a)) * F.lit(size))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import is_cjk, query_terms, snippet, terms
-from threadloom.functions.vectors import cosine, literal
+from threadloom.functions.vectors import cosine_to
 from threadloom.operators.store import in_range
 
 K1, B = 1.2, 0.75
@@ -75,8 +75,11 @@ def hits(rows: DataFrame, kind: str, order: int) -> DataFrame:
     return rows.select(F.lit(kind).alias("type"), F.col(key).cast("string").alias("id"), snippet(F.col("content")).alias("content_snippet"), "conversation_id", meta.alias("metadata"), "created_at", score.alias("score"), F.lit(order).alias("src"))
 
 
-def search(rows: DataFrame, query: str, kind: str, conversation_id=None, since=None, before=None, mode: str = "full_text") -> DataFrame:
-    """Messages or summaries that match, not yet limited: the plan is chosen from the query text alone."""
+def search(rows: DataFrame, query: str, kind: str, conversation_id=None, since=None, before=None, mode: str = "full_text", index_path: str | None = None) -> DataFrame:
+    """Messages or summaries that match, not yet limited: the plan is chosen from the query text alone.
+
+    With ``index_path``, full text is searched in an index of all ``rows`` (see ``operators.index``) instead of the texts.
+    """
 
     def within(x: DataFrame) -> DataFrame:
         return in_range(x if conversation_id is None else x.where(F.col("conversation_id") == conversation_id), since, before)
@@ -95,15 +98,24 @@ def search(rows: DataFrame, query: str, kind: str, conversation_id=None, since=N
         return hits(like(within(rows), ["content"], query) if kind == "message" else rows.limit(0), kind, order)
     if NO_SYNTAX.search(query):
         return hits(like(within(rows), ["content"], query), kind, order)
-    return hits(within(bm25(rows, "content", query_terms(clean))), kind, order)
+    if index_path is None:
+        return hits(within(bm25(rows, "content", query_terms(clean))), kind, order)
+    from threadloom.operators import index
+
+    key = "id" if kind == "message" else "summary_id"
+    found = index.search(rows.sparkSession, index_path, query_terms(clean)).withColumnRenamed("id", key)
+    return hits(within(rows.join(found, key)), kind, order)
+
 
+def grep(messages: DataFrame, summaries: DataFrame, query: str, scope: str = "all", conversation_id=None, limit: int = 20, mode: str = "full_text", since=None, before=None, offset: int = 0, indexes: dict[str, str] | None = None) -> DataFrame:
+    """Message hits, then summary hits, each the best ``limit``; then offset and limit over both.
 
-def grep(messages: DataFrame, summaries: DataFrame, query: str, scope: str = "all", conversation_id=None, limit: int = 20, mode: str = "full_text", since=None, before=None, offset: int = 0) -> DataFrame:
-    """Message hits, then summary hits, each the best ``limit``; then offset and limit over both."""
+    ``indexes`` names the places of full-text indexes by kind (message, summary); without one, the texts are read.
+    """
     parts = []
     for kind, table in (("message", messages), ("summary", summaries)):
         if scope in ("all", {"message": "messages", "summary": "summaries"}[kind]):
-            found = search(table, query, kind, conversation_id, since, before, mode)
+            found = search(table, query, kind, conversation_id, since, before, mode, (indexes or {}).get(kind))
             parts.append(found.orderBy(F.desc(F.round("score", 9)), "id").limit(limit))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = out.orderBy("src", F.desc(F.round("score", 9)), "id")
@@ -128,7 +140,7 @@ def first_of(rows: DataFrame, key: list, order: list) -> DataFrame:
 
 def vector_top(rows: DataFrame, query: list[float], k: int, id_col: str, exclude=None, conversation_ids: list | None = None, min_score: float | None = None) -> DataFrame:
     """The k most similar rows; a threshold and filters hold before the limit."""
-    scored = rows.withColumn("score", cosine(F.col("embedding"), literal(query))).where("score is not null")
+    scored = rows.withColumn("score", cosine_to(F.col("embedding"), query)).where("score is not null")
     if exclude is not None:
         scored = scored.where(F.col("conversation_id") != exclude)
     if conversation_ids is not None:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from threadloom.config import SMALL
 from threadloom.functions import text as X
 from threadloom.functions.vectors import cosine, literal
-from threadloom.operators import aggregates, assemble, compaction, dag, expansion, folds, integrity, recall, store
+from threadloom.operators import aggregates, assemble, compaction, dag, expansion, folds, index, integrity, recall, store
 from threadloom.sources.scratch import place
 from threadloom.sources.tables import MESSAGES_SQL, SESSIONS_SQL, long_sessions, messages
 from threadloom.streaming import ingest
@@ -291,9 +291,24 @@ def grep_grouped(spark, sf):
 
 @query(FOUND_SQL + " SELECT type, id, content_snippet, conversation_id, what, pos, round(s, 6) AS score FROM found ORDER BY src, s DESC, id LIMIT 20 OFFSET 5")
 def grep_all_scopes(spark, sf):
+    return all_scopes(*graph(spark, sf))
+
+
+def grep_indexed(spark, sf):
+    """The same search over full-text indexes of messages and summaries."""
     rows, g = graph(spark, sf)
+    at = place(spark, "indexes")
+    index.build(rows, "id", "content", f"{at}/message")
+    index.build(g.summaries, "summary_id", "content", f"{at}/summary")
+    return all_scopes(rows, g, {k: f"{at}/{k}" for k in ("message", "summary")})
+
+
+QUERIES["grep_indexed"], ORACLES["grep_indexed"] = grep_indexed, ORACLES["grep_all_scopes"]
+
+
+def all_scopes(rows, g, indexes=None):
     of = lambda a, b: F.coalesce(F.col("metadata")[a], F.col("metadata")[b])
-    found = recall.grep(rows, g.summaries, QUERY, limit=20, offset=5)
+    found = recall.grep(rows, g.summaries, QUERY, limit=20, offset=5, indexes=indexes)
     return found.select("type", "id", "content_snippet", "conversation_id", of("role", "kind").alias("what"), of("seq", "depth").alias("pos"), F.round("score", 6).alias("score"))
 
 
