@@ -1,7 +1,7 @@
 """A full-text index as tables: postings (term, id, tf), lengths (id, dl) and searches over them.
 
-A search reads the postings of its own terms only (stored by term, so that a scan skips the others) and the two
-sums of the lengths. New documents are appended; removed ones are anti joins.
+A search reads the postings of its own terms only (each file is sorted by term, so that a scan skips the other pages)
+and the two sums of the lengths. Postings are spread by term and document: a word that all documents have is no hot key. New documents are appended; removed ones are anti joins.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def build(docs: DataFrame, id_col: str, text_col: str, path: str, mode: str = "overwrite") -> None:
     """Writes the index, or with mode 'append' adds new documents to it."""
-    postings(docs, id_col, text_col).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+    postings(docs, id_col, text_col).sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
     lengths(docs, id_col, text_col).write.mode(mode).parquet(f"{path}/lengths")
 
 
