@@ -270,6 +270,17 @@ def test_hard_fanout_and_until_none(spark):
     assert again.summaries.count() == hard.summaries.count() and compaction.incremental(m, wide, hard, 0).summaries.count() == hard.summaries.count()
 
 
+def test_incremental_leaves_the_others_alone(spark):
+    m = rows(spark, [(100 * c + i, c, i, "user", f"note {c} {i}", 100 if c == 1 else 10) for c in (1, 2) for i in range(1, 13)])
+    settings = Settings(fresh_tail=2, leaf_chunk_tokens=20, leaf_min_fanout=1, condensed_min_fanout=2)
+    quiet = compaction.sweep(m.where("conversation_id = 2"), settings, levels=0)
+    assert quiet.summaries.count() >= 2
+    g = compaction.incremental(m, settings, quiet, 1000)
+    made = {(r.conversation_id, r.kind) for r in g.summaries.collect()}
+    assert made == {(1, "leaf"), (1, "condensed"), (2, "leaf")} and g.summaries.where("conversation_id = 2").count() == quiet.summaries.count()
+    assert g.leaf_edges.count() == g.leaf_edges.distinct().count()
+
+
 def test_memory(spark):
     from threadloom.plans.api import Memory
 
