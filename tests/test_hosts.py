@@ -17,7 +17,7 @@ from threadloom.plans.api import Memory
 from threadloom.sources import foreign
 from threadloom.sources.tables import SCHEMAS
 
-#: Pairs of the published rules' sample vocabulary, and some by hand.
+#: Words and their stems by the published rules, written down by hand.
 STEMS = {
     "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consist": "consist",
     "consisted": "consist", "consistency": "consist", "consistent": "consist", "consolation": "consol", "consolatory": "consolatori",
