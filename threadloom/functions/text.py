@@ -9,11 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Accented Latin letters and what remains without their marks, derived from Unicode's decompositions.
-_ACCENTED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
+_ACCENTED = [(chr(c), d[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
 
 
 def fold(text: Column) -> Column:
-    return F.lower(F.translate(text, "".join(a for a, _ in _ACCENTED), "".join(b for _, b in _ACCENTED)))
+    """Without case and accents, whether a letter and its accent are one character or two."""
+    bare = F.translate(text, "".join(a for a, _ in _ACCENTED), "".join(b for _, b in _ACCENTED))
+    return F.lower(F.regexp_replace(bare, r"\p{M}+", ""))
 
 
 def terms(text: Column) -> Column:
@@ -23,7 +25,8 @@ def terms(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """The same terms of a query text, on the driver."""
-    plain = "".join(dict(_ACCENTED).get(c, c) for c in query).lower()
+    single = dict(_ACCENTED)
+    plain = "".join(single.get(c, c) for c in query if unicodedata.category(c)[0] != "M").lower()
     return [w for w in re.split(r"[^\w]|_", plain) if w]
 
 
@@ -55,17 +58,15 @@ def is_cjk(text: str) -> bool:
     return re.search("[一-鿿぀-ヿ가-힯]", text) is not None
 
 
-#: White space inside a character class, as Python's \s has it (Java's is ASCII only).
-BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: How long a run must be to count as media.
-MIN_BASE64, MIN_HEX_PAIRS, MIN_LATIN1 = 20, 32, 16
-#: A data URL (RFC 2397: type, subtype, perhaps parameters, base64), a path after the media mark up to white space,
-#: a dump of byte pairs, and a run of characters of the second half of Latin-1. Possessive loops keep Java off the stack.
+#: White space as Python's \s has it, inside a character class under (?U): Java's lacks the four separators.
+BLANKS = r"\s\x1c-\x1f"
+#: What counts as media, in this order: data URLs, paths, dumps of bytes, runs of high Latin-1.
+#: Only the possessive loops are added: they keep Java off the stack.
 MEDIA = (
-    rf"data:[^{BLANKS}/;,]+/[^{BLANKS},]+?;base64,[\p{{Alnum}}+/=\n]{{{MIN_BASE64},}}",
-    rf"MEDIA:/[^{BLANKS}]+",
-    rf"(?:\p{{XDigit}}{{2}}[{BLANKS}]*+){{{MIN_HEX_PAIRS},}}+",
-    rf"[\x80-\xff]{{{MIN_LATIN1},}}",
+    r"data:[a-zA-Z0-9]+/[a-zA-Z0-9.+\-]+;base64,[A-Za-z0-9+/=\n]{20,}",
+    rf"(?U)MEDIA:/[^{BLANKS}]+",
+    rf"(?U)(?:[0-9a-fA-F]{{2}}[{BLANKS}]*+){{32,}}+",
+    r"[\x80-\xff]{16,}",
 )
 
 
@@ -79,7 +80,7 @@ def has_media(text: Column) -> Column:
 def strip_media(text: Column) -> Column:
     for pattern in MEDIA:
         text = F.regexp_replace(text, pattern, "")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), rf"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), rf"(?U)^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
 #: What stands for media in a text.
@@ -102,13 +103,9 @@ def keywords(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-#: Words that a question's key terms leave out.
-ASKING_WORDS = tuple("what when where who how which why did does was were is are the a an my your i me we you do have has had that this with for from about after before first last most recently ever any some can could would should tell name mentioned discussed talked said told".split())
-
-
-def key_terms(question: Column) -> Column:
+def key_terms(question: Column, leave_out=STOP_WORDS) -> Column:
     """Up to three pairs of neighbours, then up to five single words, of what a question is about; empty for null."""
-    told = F.filter(words(F.lower(F.translate(F.coalesce(question, F.lit("")), "?,.", ""))), lambda w: (F.length(w) > 2) & ~w.isin(*ASKING_WORDS))
+    told = F.filter(words(F.lower(F.translate(F.coalesce(question, F.lit("")), "?,.", ""))), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(leave_out)))
     pairs = F.transform(F.slice(told, 2, 3), lambda w, i: F.concat(F.get(told, i), F.lit(" "), w))
     return F.concat(pairs, F.slice(told, 1, 5))
 
@@ -131,22 +128,16 @@ def matches_globs(key: Column, globs: list[str]) -> Column:
     return found
 
 
-#: Phrases of questions about a long time, and of questions that need several sources.
-BROAD_TIME = ("last month", "past year", "all time", "history", "everything", "since", "over the past")
-MULTI_HOP = ("compare", "relationship between", "how did * affect")
+#: Phrases of questions about a long time, and patterns of those that need several sources.
+#: A space in them is any white space.
+BROAD_TIME = ("last month", "past year", "all time", "history", "everything", "since ", "over the past")
+MULTI_HOP = ("compare", "relationship between", r"how did \w+ affect")
 
 
-def mentions(question: str, phrases: tuple[str, ...]) -> bool:
-    """Whether one of the phrases is in a question, case and the kind of white space aside; '*' is any one word.
-
-    A phrase of one word that asks for more (since) needs white space after it; others may be part of a word.
-    """
-    words = re.sub(r"\s+", " ", (question or "").lower())
-    for phrase in phrases:
-        parts = [r"\w+" if p == "*" else re.escape(p) for p in phrase.split(" ")]
-        if re.search(" ".join(parts) + (" " if phrase == "since" else ""), words):
-            return True
-    return False
+def asks(question: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a question has one of the patterns in it, case aside; false for null."""
+    plain = F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), rf"(?U)[{BLANKS}]+", " ")
+    return plain.rlike("(?U)" + "|".join(patterns))
 
 
 def fingerprint(text: Column) -> Column:

@@ -7,20 +7,32 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.functions.text import BROAD_TIME, MULTI_HOP, keywords, mentions
+from threadloom.functions.text import BROAD_TIME, MULTI_HOP, asks, keywords
 from threadloom.operators import recall
 from threadloom.operators.compaction import Dag
 
 
+def policy(query: Column, candidates: Column, budget: Column, depth: Column | None = None) -> Column:
+    """direct, shallow or delegate for each row, from an estimate of 500 tokens a candidate against the budget.
+
+    Questions about a long time count one and a half times, those that need several sources (or have five
+    candidates or more) 1.3 times. Without candidates, or inside an expansion, the answer is direct.
+    """
+    broad = F.when(asks(query, BROAD_TIME), 1.5).otherwise(1.0)
+    several = F.when((candidates >= 5) | asks(query, MULTI_HOP), 1.3).otherwise(1.0)
+    ratio = F.when(budget > 0, F.lit(500.0) * candidates * broad * several / budget).otherwise(F.lit(float("inf")))
+    few = (ratio < 0.35) | ((ratio <= 0.7) & (candidates <= 3))
+    direct = (candidates <= 0) if depth is None else (candidates <= 0) | (depth >= 1)
+    return F.when(direct, "direct").when(few, "shallow").otherwise("delegate")
+
+
 def decide(query: str, candidates: int, budget: int, depth: int = 0) -> str:
-    """direct, shallow or delegate, from an estimate of 500 tokens a candidate against the budget."""
-    if not candidates or depth >= 1:
-        return "direct"
-    estimate = 500.0 * candidates * (1.5 if mentions(query, BROAD_TIME) else 1.0) * (1.3 if candidates >= 5 or mentions(query, MULTI_HOP) else 1.0)
-    ratio = estimate / budget if budget > 0 else float("inf")
-    return "shallow" if ratio < 0.35 or (ratio <= 0.7 and candidates <= 3) else "delegate"
+    """The policy for a single question."""
+    row = SparkSession.active().range(1).select(policy(F.lit(query), F.lit(candidates), F.lit(budget), F.lit(depth)))
+    return row.first()[0]
 
 
 @dataclass

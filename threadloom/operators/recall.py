@@ -54,16 +54,40 @@ def _equals(q: str):
 
 
 def like(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
-    """Rows where any column holds the query as a substring, ASCII case aside; % and _ in it are wildcards."""
-    found = F.lit(False)
+    """Rows where any column holds the query as a substring, ASCII case aside; % and _ in it are wildcards, a backslash is itself."""
+    pattern, found = "%" + query.replace("\\", "\\\\") + "%", F.lit(False)
     for c in columns:
-        found = found | F.col(c).ilike(f"%{query}%")
+        found = found | F.col(c).ilike(pattern)
     return rows.where(found)
 
 
 def regex(rows: DataFrame, column: str, pattern: str) -> DataFrame:
-    """Rows in which a Python-style pattern is found (classes are Unicode, named groups are rewritten)."""
-    return rows.where(F.col(column).rlike("(?U)" + pattern.replace("(?P<", "(?<")))
+    """Rows in which a Python pattern is found; a pattern that isn't one raises re.error here.
+
+    Named groups and references to them are rewritten for Java, classes are Unicode. What Java doesn't take (a
+    name with an underscore, a conditional) is matched by Python, in Arrow batches.
+    """
+    compiled = re.compile(pattern)
+    java = "(?U)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    if _java_takes(rows, java):
+        return rows.where(F.col(column).rlike(java))
+
+    @F.pandas_udf("boolean")
+    def found(texts):
+        return texts.map(lambda t: t is not None and compiled.search(t) is not None).astype(bool)
+
+    return rows.where(found(F.col(column)))
+
+
+def _java_takes(rows: DataFrame, pattern: str) -> bool:
+    """Spark folds the constant when it plans, and so tells without a job."""
+    try:
+        rows.sparkSession.range(1).select(F.lit("").rlike(pattern)).collect()
+    except Exception as e:
+        if "INVALID_PARAMETER_VALUE.PATTERN" in str(e) or "PatternSyntaxException" in str(e):
+            return False
+        raise
+    return True
 
 
 def hits(rows: DataFrame, kind: str, order: int) -> DataFrame:

@@ -379,7 +379,7 @@ def token_estimates(spark, sf):
 
 
 WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-MEDIA_SQL = (f"data:[^{WHITE}/;,]+/[^{WHITE},]+?;base64,[0-9A-Za-z+/=\\n]{{20,}}", f"MEDIA:/[^{WHITE}]+", f"([0-9A-Fa-f]{{2}}[{WHITE}]*){{32,}}", r"[\x{80}-\x{ff}]{16,}")
+MEDIA_SQL = (r"data:[a-zA-Z0-9]+/[a-zA-Z0-9.+\-]+;base64,[A-Za-z0-9+/=\n]{20,}", f"MEDIA:/[^{WHITE}]+", f"([0-9a-fA-F]{{2}}[{WHITE}]*){{32,}}", r"[\x{80}-\x{ff}]{16,}")
 
 
 def replaced(text: str, *patterns: str) -> str:
@@ -398,9 +398,11 @@ def media_annotate(spark, sf):
 STOPS = ", ".join(f"'{w}'" for w in sorted(X.STOP_WORDS))
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ({STOPS}))))::BIGINT AS n_keywords FROM documents WHERE text IS NOT NULL")
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ({STOPS})) AS w FROM documents)
+SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS keywords FROM w""")
 def keywords(spark, sf):
-    return docs(spark, sf).where("text is not null").select("doc_id", F.size(X.keyword_column(F.col("text"))).cast("long").alias("n_keywords"))
+    """The keywords themselves, once each, in order; none of a null text."""
+    return docs(spark, sf).select("doc_id", F.array_join(X.keyword_column(F.coalesce("text", F.lit(""))), " ").alias("keywords"))
 
 
 @query("SELECT source || ':' || lang AS key, count(*) AS n FROM documents WHERE regexp_matches(source || ':' || lang, '^src1[^:]*:.*$') GROUP BY 1")
@@ -456,13 +458,18 @@ def cosine_by_label(spark, sf):
     return vectors(spark, sf).groupBy(F.col("conversation_id").cast("int").alias("label")).agg(F.round(F.avg(cosine(F.col("embedding"), literal(VECTOR))), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN n = 0 THEN 'direct' WHEN r < 0.35 OR (r <= 0.7 AND n <= 3) THEN 'shallow' ELSE 'delegate' END AS action FROM (
-  SELECT doc_id, n, 500.0 * n * CASE WHEN doc_id % 3 = 1 THEN 1.5 ELSE 1 END * CASE WHEN n >= 5 OR doc_id % 3 = 2 THEN 1.3 ELSE 1 END / 5000 AS r FROM (SELECT doc_id, doc_id % 7 AS n FROM documents))""")
+ASKED = "CASE doc_id % 3 WHEN 1 THEN 'all ' || chr(10) || 'time: ' WHEN 2 THEN 'How did  it affect ' ELSE '' END || coalesce(text, '')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN n = 0 THEN 'direct' WHEN r < 0.35 OR (r <= 0.7 AND n <= 3) THEN 'shallow' ELSE 'delegate' END AS action FROM (
+  SELECT doc_id, n, 500.0 * n * CASE WHEN regexp_matches(q, 'last month|past year|all time|history|everything|since |over the past') THEN 1.5 ELSE 1 END
+    * CASE WHEN n >= 5 OR regexp_matches(q, 'compare|relationship between|how did [\\p{{L}}\\p{{M}}\\p{{N}}_]+ affect') THEN 1.3 ELSE 1 END / 5000 AS r
+  FROM (SELECT doc_id, doc_id % 7 AS n, regexp_replace(lower({ASKED}), '[' || '{WHITE}' || ']+', ' ', 'g') AS q FROM documents))""")
 def expansion_policy(spark, sf):
-    """The policy for none to six candidates and three kinds of questions, as a lookup of its few outcomes."""
-    asked = ("what happened", "the whole HISTORY of it", "How did  rain affect us")
-    outcome = F.create_map(*[x for n in range(21) for x in (F.lit(n), F.lit(expansion.decide(asked[n % 3], n % 7, 5000)))])
-    return docs(spark, sf).select("doc_id", outcome[(F.col("doc_id") % 21).cast("int")].alias("action"))
+    """The policy for a question a document (its text, by turns after words that ask for more) with none to six candidates."""
+    begin = F.when(F.col("doc_id") % 3 == 1, "all \ntime: ").when(F.col("doc_id") % 3 == 2, "How did  it affect ").otherwise("")
+    asked = F.concat(begin, F.coalesce("text", F.lit("")))
+    return docs(spark, sf).select("doc_id", expansion.policy(asked, F.col("doc_id") % 7, F.lit(5000)).alias("action"))
 
 
 def _more() -> None:

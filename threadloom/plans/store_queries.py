@@ -322,7 +322,7 @@ def compaction_note(spark, sf):
     return c.select("k", assemble.compaction_note(F.col("k"), F.col("j")).isNotNull().alias("noted")).distinct()
 
 
-ASKING = ", ".join(f"'{w}'" for w in X.ASKING_WORDS)
+ASKING = ", ".join(f"'{w}'" for w in sorted(X.STOP_WORDS))
 
 
 @query(M + f""", t AS (SELECT id, [w FOR w IN regexp_split_to_array(lower(translate(content, '?,.', '')), '[\\s\\x0b\\x{{85}}\\x{{a0}}]+') IF length(w) > 2 AND w NOT IN ({ASKING})] AS t FROM messages)
