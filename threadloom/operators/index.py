@@ -1,49 +1,120 @@
-"""A full-text index as tables: postings (term, id, tf), lengths (id, dl) and searches over them.
+"""A full-text index of immutable segments: postings (term, id, batch, tf), lengths (id, batch, dl) and tombstones.
 
-A search reads the postings of its own terms only (each file is sorted by term, so that a scan skips the other pages)
-and the two sums of the lengths. Postings are spread by term and document: a word that all documents have is no hot key. New documents are appended; removed ones are anti joins.
+Each batch of documents is a segment. A document that comes again, or goes, leaves a tombstone for the segment that
+has it; nothing is rewritten until ``merge`` makes one segment of what lives. All of it is one set of versioned
+tables (``sources.snapshots``): a batch that is replayed finds itself applied and changes nothing, a search reads one
+version, and of two writers at once the second is refused.
+
+A search reads the postings of its own terms only (each file is sorted by term, so that a scan skips the other pages), spread by term
+and document: a word that all documents have is no hot key. Numbers of documents and their mean length are sums that each
+segment has written, less those of tombstones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import terms
 from threadloom.operators.recall import B, K1
+from threadloom.sources.snapshots import Change, Snapshots
+
+WRITER = "index"
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf) of all documents."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.coalesce(text_col, F.lit("")))).alias("term"))
+    """(term, id, tf) of all documents; those without a term have one row, of the empty term, so that their length is kept.
+
+    One pass splits each text once; lengths are the sums of these rows.
+    """
+    held = F.transform(F.array(terms(F.coalesce(text_col, F.lit("")))), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit(""))))
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.element_at(held, 1)).alias("term"))
     return words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.size(terms(F.coalesce(text_col, F.lit("")))).cast("long").alias("dl"))
+def build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """A new index of these documents; what was at the place is replaced by a new version."""
+    store = Snapshots(docs.sparkSession, path)
+    with store.begin() as change:
+        _segment(change, docs, id_col, text_col, 0, change.replace)
+        change.replace("tombstones", docs.sparkSession.createDataFrame([], f"id {_kind(docs, id_col)}, batch bigint, dl bigint"))
+        change.mark(WRITER, 0)
+
+
+def _kind(docs: DataFrame, column: str) -> str:
+    return docs.schema[column].dataType.simpleString()
+
+
+def _segment(change: Change, docs: DataFrame, id_col: str, text_col: str, batch: int, put) -> None:
+    mark = F.lit(batch).cast("bigint").alias("batch")
+    put("postings", postings(docs, id_col, text_col).select("*", mark).sortWithinPartitions("term", "id"))
+    dl = F.coalesce(F.sum(F.when(F.col("term") != "", F.col("tf"))), F.lit(0))
+    put("lengths", change.last("postings").groupBy("id", "batch").agg(dl.alias("dl")))
+    put("segments", _sums(change.last("lengths"), mark))
+
+
+def _sums(lengths: DataFrame, mark) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).select(mark, "n", "total")
+
+
+def living(change_or_store, version: int | None = None) -> DataFrame:
+    """(id, batch, dl) of the documents that no tombstone names."""
+    read = change_or_store.read if isinstance(change_or_store, Change) else lambda name: change_or_store.read(name, version)
+    return read("lengths").join(read("tombstones").select("id", "batch"), ["id", "batch"], "left_anti")
+
+
+def append(docs: DataFrame, id_col: str, text_col: str, path: str, batch: int) -> bool:
+    """Adds a batch of documents as a segment; false if this batch, or a later one, is there already.
+
+    A document that the index has is superseded: the old one gets a tombstone.
+    """
+    change = Snapshots(docs.sparkSession, path).begin()
+    if change.is_applied(WRITER, batch):
+        return False
+    with change:
+        again = living(change).join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+        change.append("tombstones", again)
+        _segment(change, docs, id_col, text_col, batch, change.append)
+        change.mark(WRITER, batch)
+    return True
 
 
-def build(docs: DataFrame, id_col: str, text_col: str, path: str, mode: str = "overwrite") -> None:
-    """Writes the index, or with mode 'append' adds new documents to it."""
-    postings(docs, id_col, text_col).sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
-    lengths(docs, id_col, text_col).write.mode(mode).parquet(f"{path}/lengths")
+def remove(ids: DataFrame, path: str, batch: int) -> bool:
+    """Takes documents (id) out: writes tombstones, nothing else; false for a replay."""
+    change = Snapshots(ids.sparkSession, path).begin()
+    if change.is_applied(WRITER, batch):
+        return False
+    with change:
+        change.append("tombstones", living(change).join(ids.select("id").distinct(), "id", "left_semi"))
+        change.mark(WRITER, batch)
+    return True
 
 
-def remove(path: str, ids: DataFrame, to: str, spark) -> None:
-    """The index without the documents of the given ids, written to another place."""
-    for name in ("postings", "lengths"):
-        spark.read.parquet(f"{path}/{name}").join(ids, "id", "left_anti").write.mode("overwrite").parquet(f"{to}/{name}")
+def merge(spark: SparkSession, path: str) -> None:
+    """One segment of all that lives; searches before and after give the same scores."""
+    with Snapshots(spark, path).begin() as change:
+        dead, batch = change.read("tombstones").select("id", "batch"), change.base["applied"][WRITER]
+        for name, order in (("postings", ["term", "id"]), ("lengths", ["id"])):
+            kept = change.read(name).join(dead, ["id", "batch"], "left_anti").withColumn("batch", F.lit(batch).cast("bigint"))
+            change.replace(name, kept.repartition(*order).sortWithinPartitions(*order) if name == "postings" else kept)
+        change.replace("segments", _sums(living(change), F.lit(batch).cast("bigint").alias("batch")))
+        change.replace("tombstones", change.read("tombstones").limit(0))
 
 
-def search(spark, path: str, words: list[str]) -> DataFrame:
+def search(spark: SparkSession, path: str, words: list[str], version: int | None = None) -> DataFrame:
     """(id, score) of the documents that have all words, by BM25."""
+    store = Snapshots(spark, path)
+    version = store.manifest(version)["version"]
     query = list(dict.fromkeys(words))
-    own = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(query))
-    sizes = spark.read.parquet(f"{path}/lengths")
-    n, mean = sizes.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    dead = store.read("tombstones", version)
+    own = store.read("postings", version).where(F.col("term").isin(query)).join(dead.select("id", "batch"), ["id", "batch"], "left_anti")
+    gone = dead.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+    held = store.read("segments", version).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    n, total = (held.n or 0) - gone.n, (held.total or 0) - gone.total
+    mean = total / n if n and total else 1.0
     found = dict(own.groupBy("term").count().collect())  # a row a query word
     weight = F.create_map(*[x for w in query for x in (F.lit(w), F.greatest(F.log((F.lit(float(n)) - found.get(w, 0) + 0.5) / (F.lit(float(found.get(w, 0))) + 0.5)), F.lit(1e-6)) * words.count(w))])
-    all_of = own.groupBy("id").agg(F.count(F.lit(1)).alias("have"), F.collect_list(F.struct("term", "tf")).alias("p")).where(F.col("have") == len(query))
-    part = lambda x: weight[x.term] * x.tf * (K1 + 1) / (x.tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
+    all_of = own.groupBy("id", "batch").agg(F.count(F.lit(1)).alias("have"), F.collect_list(F.struct("term", "tf")).alias("p")).where(F.col("have") == len(query))
+    part = lambda x: weight[x.term] * x.tf * (K1 + 1) / (x.tf + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     score = F.aggregate(F.array_sort("p"), F.lit(0.0), lambda s, x: s + part(x))
-    return all_of.join(sizes, "id").select("id", score.alias("score"))
+    return all_of.join(store.read("lengths", version), ["id", "batch"]).select("id", score.alias("score"))

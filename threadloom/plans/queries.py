@@ -473,11 +473,13 @@ def expansion_policy(spark, sf):
 
 
 def _more() -> None:
-    from threadloom.plans import store_queries
+    from threadloom.plans import store_queries, stream_queries
 
-    QUERIES.update(store_queries.QUERIES)
-    ORACLES.update(store_queries.ORACLES)
+    for module in (store_queries, stream_queries):
+        QUERIES.update(module.QUERIES)
+        ORACLES.update(module.ORACLES)
     QUERIES["index_search"], ORACLES["index_search"] = store_queries.index_search, store_queries.index_sql()
+    QUERIES["index_replay"], ORACLES["index_replay"] = store_queries.index_replay, store_queries.replay_sql()
     QUERIES["vector_cells_topk"], ORACLES["vector_cells_topk"] = store_queries.vector_cells_topk, ORACLES["vector_topk"]
 
 

@@ -271,13 +271,38 @@ def index_sql() -> str:
     return "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 3), " + bm25_sql("d", "doc_id", "text", ["la", "de"]) + " SELECT doc_id AS id, round(score, 6) AS score FROM ranked"
 
 
+def replay_sql() -> str:
+    from threadloom.plans.queries import bm25_sql
+
+    part = lambda v, table, p: f"SELECT {v} AS version, doc_id AS id, round(score, 6) AS score FROM ranked{p}"
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), e AS (SELECT * FROM d WHERE doc_id % 10 <> 3), " + bm25_sql("d", "doc_id", "text", ["la", "de"], p="d") + ", " + bm25_sql("e", "doc_id", "text", ["la", "de"], p="e") + " " + " UNION ALL ".join([part(2, "d", "d"), part(3, "e", "e"), part(4, "e", "e")])
+
+
 def index_search(spark, sf):
     """An index that is built, added to and removed from; all hits."""
     at, d = place(spark, "index"), docs(spark, sf)
-    index.build(d.where("doc_id % 2 = 0"), "doc_id", "text", f"{at}/a")
-    index.build(d.where("doc_id % 2 = 1"), "doc_id", "text", f"{at}/a", "append")
-    index.remove(f"{at}/a", d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("id")), f"{at}/b", spark)
-    return index.search(spark, f"{at}/b", ["la", "de"]).select("id", F.round("score", 6).alias("score"))
+    index.build(d.where("doc_id % 2 = 0"), "doc_id", "text", at)
+    index.append(d.where("doc_id % 2 = 1"), "doc_id", "text", at, 1)
+    index.remove(d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("id")), at, 2)
+    return index.search(spark, at, ["la", "de"]).select("id", F.round("score", 6).alias("score"))
+
+
+def index_replay(spark, sf):
+    """An index whose batches come twice, whose documents come again with other texts, and that is merged; every version's hits.
+
+    Documents that are no multiple of 3 come first with the text of another document, and then with their own.
+    """
+    at, d = place(spark, "index"), docs(spark, sf).select("doc_id", "text")
+    other = d.select((F.col("doc_id") + 1).alias("doc_id"), "text")
+    first = d.where("doc_id % 3 = 0").unionByName(other.where("doc_id % 3 <> 0").join(d.select("doc_id"), "doc_id", "left_semi"))
+    index.build(first, "doc_id", "text", at)
+    for _ in range(2):
+        index.append(d.where("doc_id % 3 <> 0"), "doc_id", "text", at, 1)
+    for _ in range(2):
+        index.remove(d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("id")), at, 2)
+    index.merge(spark, at)
+    found = [index.search(spark, at, ["la", "de"], v).select(F.lit(v).alias("version"), "id", F.round("score", 6).alias("score")) for v in (2, 3, 4)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(S + """, n AS (SELECT *, max(seq) OVER (PARTITION BY conversation_id) AS last FROM sessions), p AS (SELECT conversation_id, count(*) FILTER (WHERE seq <= last // 3) AS a, count(*) FILTER (WHERE seq <= 2 * last // 3) AS b, count(*) AS c FROM n GROUP BY 1),

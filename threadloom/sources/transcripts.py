@@ -6,34 +6,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Blocks that hosts inject into user messages start so.
-INJECTED = ("<system-reminder>", "<command-name>", "<local-command")
+#: How blocks begin that hosts inject into messages, and what echoes of a summariser's prompt hold.
+INJECTED = ("<system-reminder>", "<task-notification>", "<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "[Request interrupted")
+ECHOES = ("Summarize the session transcript below", "You are compacting a long AI-agent working session", "You are merging several lower-level summaries")
 
 
-def transcript(spark: SparkSession, path: str, injected=INJECTED) -> DataFrame:
+def transcript(spark: SparkSession, path: str, injected=INJECTED, echoes=ECHOES) -> DataFrame:
     """User and assistant messages (file, line, role, content): content is a string or a list of text blocks.
 
     Lines that are no JSON, injected blocks and empty messages are left out.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    return parse(raw, injected)
-
-
-def parse(raw: DataFrame, injected=INJECTED) -> DataFrame:
-    shape = "type STRING, message STRUCT<role: STRING, content: STRING>"
-    rows = raw.withColumn("j", F.from_json("value", shape)).where(F.col("j.type").isin("user", "assistant") & F.col("j.message.role").isin("user", "assistant"))
-    listed = F.from_json("j.message.content", "ARRAY<STRUCT<type: STRING, text: STRING>>")
-    is_list = F.col("j.message.content").startswith("[")
-    single = F.array(F.struct(F.lit("text").alias("type"), F.col("j.message.content").alias("text")))
-    blocks = F.filter(F.when(is_list, listed).otherwise(single), lambda b: (b.type == "text") & b.text.isNotNull() & ~_starts(b.text, injected))
-    content = F.regexp_replace(F.array_join(F.transform(blocks, lambda b: b.text), "\n"), r"(?U)^\s+|\s+$", "")
-    return rows.select("file", "line", F.col("j.message.role").alias("role"), content.alias("content")).where("content <> ''")
-
-
-def _starts(text: Column, prefixes) -> Column:
-    found = F.lit(False)
+    return parse(raw, injected, echoes)
+
+
+def parse(raw: DataFrame, injected=INJECTED, echoes=ECHOES) -> DataFrame:
+    """Messages of a table or stream of lines (value), with all its other columns."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    record = raw.withColumn("j", F.try_parse_json("value"))
+    rows = record.where(get(F.col("j"), "$.type", "string").isin("user", "assistant") & get(F.col("j"), "$.message.role", "string").isin("user", "assistant"))
+    is_text = F.schema_of_variant(get(F.col("j"), "$.message.content", "variant")) == "STRING"
+    single = F.array(get(F.col("j"), "$.message.content", "string"))
+    # a block is an object of type text, or a plain string
+    listed = F.transform(get(F.col("j"), "$.message.content", "array<variant>"), lambda b: F.when(F.schema_of_variant(b) == "STRING", get(b, "$", "string")).when(get(b, "$.type", "string") == "text", get(b, "$.text", "string")))
+    blocks = F.filter(F.when(is_text, single).otherwise(listed), lambda t: t.isNotNull() & (t != "") & ~_injected(t, injected, echoes))
+    content = F.regexp_replace(F.array_join(blocks, "\n"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    rest = [c for c in raw.columns if c not in ("value", "role", "content")]
+    return rows.select(*rest, get(F.col("j"), "$.message.role", "string").alias("role"), content.alias("content")).where("content <> ''")
+
+
+def _injected(text: Column, prefixes, parts) -> Column:
+    bare, found = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+", ""), F.lit(False)
     for p in prefixes:
-        found = found | F.ltrim(text).startswith(p)
+        found = found | bare.startswith(p)
+    for p in parts:
+        found = found | text.contains(p)
     return found
 
 
