@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -327,13 +330,60 @@ def compact_incremental(spark, sf):
     return g.summaries.groupBy("conversation_id").agg(n(F.col("kind") == "leaf", "leaves"), n(F.col("depth") == 1, "depth_1"), n(F.col("depth") == 2, "depth_2"))
 
 
-@query(S + ", t AS (SELECT conversation_id, sum(token_count) / 2000.0 AS r FROM sessions GROUP BY 1) SELECT conversation_id FROM t WHERE r >= 0.75")
+PRESSED = "pressed AS (SELECT * EXCLUDE (token_count), 100::BIGINT AS token_count FROM sessions WHERE seq <= 4 + 2 * (conversation_id % 10))"
+#: Messages of 100 tokens: two make a leaf of at most 100, and two orphans a node of at most 100.
+LEAF_OF_TWO = """(SELECT conversation_id, (seq - 1) // 2 AS k, min(seq) AS first_seq, max(seq) AS last_seq, string_agg('[' || role || '] ' || CASE WHEN length(content) > 800 THEN substr(content, 1, 800) || chr(10) || '[cut, 100 tokens]' ELSE content END, chr(10) ORDER BY seq) AS text
+  FROM pressed JOIN n USING (conversation_id) WHERE seq <= c - 2 GROUP BY 1, 2 HAVING count(*) = 2)"""
+
+
+@query(S + f""", {PRESSED}, n AS (SELECT conversation_id, count(*) AS c FROM pressed GROUP BY 1),
+u AS (SELECT conversation_id, CASE WHEN c >= 17 THEN 'BLOCKING' WHEN c >= 15 THEN 'ASYNC' ELSE 'NONE' END AS u FROM n),
+l AS (SELECT l.*, substr(text, 1, 400) AS content FROM {LEAF_OF_TWO} l JOIN u USING (conversation_id) WHERE u = 'BLOCKING' OR (u = 'ASYNC' AND k = 0)),
+o AS (SELECT conversation_id, count(*) AS n, string_agg(content, chr(10) ORDER BY k) AS text FROM l GROUP BY 1 HAVING count(*) >= 2)
+SELECT conversation_id, 0 AS depth, first_seq::BIGINT AS first_seq, last_seq::BIGINT AS last_seq, 0::BIGINT AS n_children, content FROM l
+UNION ALL SELECT conversation_id, 1, NULL, NULL, n, substr(text, 1, 400) FROM o""")
 def compact_under_pressure(spark, sf):
-    """Which conversations an incremental sweep touches, from an empty graph."""
-    rows = long_sessions(spark, sf)
-    none = compaction.leaves(rows.limit(0), SMALL)
-    g = compaction.Dag(*none, spark.createDataFrame([], "parent_id string, child_id string"))
-    return compaction.incremental(rows, SMALL, g, 2000).summaries.select("conversation_id").distinct()
+    """What one cycle makes of conversations of 4 to 22 messages from an empty graph: nothing, one leaf, or all there is."""
+    from dataclasses import replace
+
+    rows = long_sessions(spark, sf).where("seq <= 4 + 2 * (conversation_id % 10)").withColumn("token_count", F.lit(100).cast("long"))
+    settings = replace(SMALL, leaf_chunk_tokens=200)
+    empty = compaction.Dag(*compaction.leaves(rows.limit(0), settings), compaction.empty_edges(rows))
+    return nodes_made(rows, compaction.incremental(rows, settings, empty, 2000))
+
+
+CUT_LEAF = """(SELECT conversation_id, (seq - 1) // 2 AS k, seq, '[' || role || '] ' || CASE WHEN length(content) > 800 THEN substr(content, 1, 800) || chr(10) || '[cut, 100 tokens]' ELSE content END AS line FROM sessions)"""
+
+
+@query(S + f""", n AS (SELECT conversation_id, count(*) AS c FROM sessions GROUP BY 1),
+l AS (SELECT conversation_id, k, substr(string_agg(line, chr(10) ORDER BY seq), 1, 400) AS content FROM {CUT_LEAF} JOIN n USING (conversation_id) WHERE seq <= c - 2 GROUP BY 1, 2 HAVING count(*) = 2),
+a AS (SELECT conversation_id, substr(string_agg(content, chr(10) ORDER BY k), 1, 400) AS t FROM l WHERE k < 9 GROUP BY 1),
+b AS (SELECT conversation_id, count(*) AS k, substr(string_agg(content, chr(10) ORDER BY k), 1, 400) AS t FROM l WHERE k >= 9 GROUP BY 1)
+SELECT conversation_id, 1 AS round, ((c - 18) * 100 + length(a.t) // 4)::BIGINT AS before, ((c - 18 - 2 * k) * 100 + length(substr(a.t || chr(10) || b.t, 1, 400)) // 4)::BIGINT AS after, 10::BIGINT AS kept
+FROM n JOIN a USING (conversation_id) JOIN b USING (conversation_id) WHERE (c - 18) * 100 + length(a.t) // 4 >= 1500 AND k >= 2""")
+def compact_until_under(spark, sf):
+    """Rounds until conversations of 100 tokens a message are under 1,500, from the graph of their first 21 messages.
+
+    A round makes a leaf of each two messages, a node over them and one over this and the node that was there: of
+    the given graph's ten nodes, all stay.
+    """
+    from dataclasses import replace
+
+    rows = long_sessions(spark, sf).withColumn("token_count", F.lit(100).cast("long"))
+    settings, history = replace(SMALL, leaf_chunk_tokens=200), []
+    given = compaction.sweep(rows.where("seq <= 21"), settings)
+    g = compaction.until_under(rows, settings, 2000, given, history=history)
+    kept = g.summaries.join(given.summaries.select("summary_id"), "summary_id", "left_semi").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("kept"))
+    rounds = reduce(DataFrame.unionByName, history)
+    return rounds.join(kept, "conversation_id").select("conversation_id", "round", "before", "after", "kept")
+
+
+def nodes_made(rows, g):
+    """(conversation_id, depth, first_seq, last_seq, n_children, content) of all nodes."""
+    spans = g.leaf_edges.join(rows.select(F.col("id").alias("message_id"), "seq"), "message_id").groupBy("summary_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    kids = g.parent_edges.groupBy(F.col("parent_id").alias("summary_id")).agg(F.count(F.lit(1)).alias("n"))
+    out = g.summaries.join(spans, "summary_id", "left").join(kids, "summary_id", "left")
+    return out.select("conversation_id", "depth", "first_seq", "last_seq", F.coalesce("n", F.lit(0)).alias("n_children"), "content")
 
 
 @query("SELECT least(120000, 50000) AS capped, 120000 AS free")

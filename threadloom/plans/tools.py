@@ -247,12 +247,8 @@ class Host:
     def before_compression(self, session_key: str) -> bool:
         """Compacts until the session fits; true, as the host's own compression isn't needed then."""
         who = self.session(session_key)
-        rows, _ = self._of(who)
-        g = self.memory.graph
-        mine = g.summaries.where(F.col("conversation_id") == who).select("summary_id")
-        made = compaction.until_under(rows, self.memory.settings, self.memory.settings.effective_max_tokens)
-        others = Dag(g.summaries.where(F.col("conversation_id") != who), g.leaf_edges.join(mine, "summary_id", "left_anti"), g.parent_edges.join(mine.withColumnRenamed("summary_id", "parent_id"), "parent_id", "left_anti"))
-        self._keep(Dag(others.summaries.unionByName(made.summaries), others.leaf_edges.unionByName(made.leaf_edges), others.parent_edges.unionByName(made.parent_edges)))
+        rows, graph = self._of(who)
+        self._put(who, compaction.until_under(rows, self.memory.settings, self.memory.settings.effective_max_tokens, graph))
         return True
 
 

@@ -17,8 +17,17 @@ def place(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: While a table is written, Arrow batches hold at most this many rows, as texts may be long.
+BATCH_ROWS = 500
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written and read again, so that what comes after doesn't compute it anew."""
-    path = place(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = place(spark, label), spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
