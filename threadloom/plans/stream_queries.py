@@ -6,11 +6,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.config import SMALL
-from threadloom.operators import compaction
 from threadloom.sources import growing, transcripts
 from threadloom.sources.scratch import place
 from threadloom.sources.snapshots import Snapshots
 from threadloom.sources.tables import MESSAGES_SQL, SESSIONS_SQL, long_sessions, messages
+from threadloom.streaming import pressure
 from threadloom.streaming.ingest import run_available, upsert_batches
 
 QUERIES: dict = {}
@@ -87,3 +87,37 @@ def snapshot_versions(spark, sf):
     sums = [F.count(F.lit(1)).alias("messages"), F.sum("token_count").alias("tokens"), F.max("seq").alias("last_seq")]
     one, two = [store.read("messages", v).groupBy(F.lit(v).alias("version"), "conversation_id").agg(*sums) for v in (1, 2)]
     return one.unionByName(two)
+
+
+@query(f"""WITH {SESSIONS_SQL}, m AS (SELECT *, max(seq) OVER (PARTITION BY conversation_id) AS n, (seq - 1) // 2 AS k FROM sessions),
+l AS (SELECT conversation_id, k, min(seq) AS first_seq, max(seq) AS last_seq, substr(string_agg('[' || role || '] ' || CASE WHEN length(content) > 800 THEN substr(content, 1, 800) || chr(10) || '[cut, 100 tokens]' ELSE content END, chr(10) ORDER BY seq), 1, 8) AS content
+  FROM m WHERE 2 * k + 8 <= n GROUP BY 1, 2),
+d AS (SELECT conversation_id, k // 2 AS j, min(first_seq) AS first_seq, max(last_seq) AS last_seq, substr(string_agg(content, chr(10) ORDER BY k), 1, 8) AS content FROM l GROUP BY 1, 2 HAVING count(*) = 2)
+SELECT conversation_id, 0 AS depth, first_seq::BIGINT AS first_seq, last_seq::BIGINT AS last_seq, 200::BIGINT AS source_token_count, content FROM l
+UNION ALL SELECT conversation_id, 1, first_seq::BIGINT, last_seq::BIGINT, 4, content FROM d""")
+def pressure_stream(spark, sf):
+    """Sessions that arrive in three batches, compacted by a keyed state as they come.
+
+    With 100 tokens a message, each second message from the eighth on brings a conversation to the soft threshold, and
+    so one leaf of its two oldest messages; each second leaf brings a node over both.
+    """
+    from dataclasses import replace
+
+    at, settings = place(spark, "pressure"), replace(SMALL, leaf_chunk_tokens=200, leaf_target_tokens=2, condensed_target_tokens=2)
+    rows = long_sessions(spark, sf).withColumn("token_count", F.lit(100).cast("long"))
+    before = {k: spark.conf.get(k, None) for k in pressure.STATE_CONF}
+    try:
+        for k, v in pressure.STATE_CONF.items():
+            spark.conf.set(k, v)
+        for part in ("seq <= 11", "seq between 12 and 30", "seq > 30"):
+            rows.where(part).write.mode("append").parquet(f"{at}/messages")
+            nodes = pressure.compacted(spark.readStream.schema(rows.schema).parquet(f"{at}/messages"), settings, 1000)
+            run_available(nodes, upsert_batches(f"{at}/nodes"), f"{at}/checkpoint")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    nodes = spark.read.schema(pressure.NODES).parquet(f"{at}/nodes")
+    leaf_edges, parent_edges = pressure.edges(nodes)
+    spans = leaf_edges.join(rows.select(F.col("id").alias("message_id"), "seq"), "message_id").groupBy("summary_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    above = parent_edges.join(spans, parent_edges.child_id == spans.summary_id).groupBy(F.col("parent_id").alias("summary_id")).agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+    return nodes.join(spans.unionByName(above), "summary_id").select("conversation_id", "depth", "first_seq", "last_seq", "source_token_count", "content")

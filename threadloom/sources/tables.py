@@ -37,9 +37,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same messages in ten long conversations, so that some get compacted."""
+    """The same messages in long conversations, each of ten short ones, so that some get compacted."""
     m = messages(spark, sf_dir)
-    key = F.pmod("conversation_id", F.lit(10))
+    key = F.floor(F.col("conversation_id") / 10)
     return m.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("id")).cast("long")).withColumn("conversation_id", key)
 
 
@@ -49,5 +49,5 @@ MESSAGES_SQL = """messages AS (
          TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60) AS created_at
   FROM conversations)"""
 SESSIONS_SQL = MESSAGES_SQL + """, sessions AS (
-  SELECT id, conversation_id % 10 AS conversation_id, row_number() OVER (PARTITION BY conversation_id % 10 ORDER BY id) AS seq,
+  SELECT id, conversation_id // 10 AS conversation_id, row_number() OVER (PARTITION BY conversation_id // 10 ORDER BY id) AS seq,
          role, content, token_count, created_at FROM messages)"""
