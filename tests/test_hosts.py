@@ -165,3 +165,47 @@ def test_host(spark):
     assert ended["active"] is False and host.session("a") != ended["conversation_id"]
     with pytest.raises(ValueError):
         tools.adapter("other", host.memory)
+
+
+def test_a_host_recalls_what_other_sessions_know(spark):
+    letters = lambda texts: [[float(t.count(c)) for c in "abcdefgh"] for t in texts]
+    host = tools.Host(Memory(spark.createDataFrame([], SCHEMAS["messages"]), SMALL), embed=letters)
+    for n in range(8):
+        host.ingest("old", [{"role": "user", "content": f"bead {n} " + "bead cabbage " * 20}])
+    assert host.prefetch("new", "bead") is None  # nothing is summed up yet
+    host.compact("old")
+    host.ingest("new", [{"role": "user", "content": "hello"}])
+    text = host.prefetch("new", "bead cabbage")
+    assert "bead cabbage" in text and "hello" in text
+    assert "bead cabbage" not in host.prefetch("new", "gggg hhh")  # below the threshold
+    assert "bead" not in (host.prefetch("old", "bead cabbage") or "").split("[summary depth")[0]  # not from itself
+    host.backfill()
+    found = [(r.type, r.metadata.get("source")) for r in host.grep("bead cabbage zebra").orderBy("place").collect()]
+    assert ("message", "vector") in found and ("summary", "vector") in found
+    assert host.grep("zebra", scope="summaries").where("type = 'message'").count() == 0
+
+
+def test_hybrid_search_with_filters(spark):
+    m = spark.createDataFrame([(1, 7, 1, "user", "alpha beta"), (2, 7, 2, "user", "gamma"), (3, 8, 1, "user", "alpha"), (4, 7, 3, "user", "beta")], "id long, conversation_id long, seq long, role string, content string").withColumn("created_at", F.timestamp_seconds("id"))
+    s = spark.createDataFrame([("s1", 7, "leaf", 0, "alpha sum"), ("s2", 8, "leaf", 0, "other")], "summary_id string, conversation_id long, kind string, depth int, content string").withColumn("created_at", F.timestamp_seconds(F.lit(3)))
+    v = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [0.9, 0.1]), (3, 8, [1.0, 0.1]), (4, 7, [0.0, 1.0]), (99, 7, [1.0, 0.0])], "id long, conversation_id long, embedding array<float>")
+    w = spark.createDataFrame([("s1", 7, [1.0, 0.0]), ("s2", 8, [1.0, 0.2]), ("gone", 7, [1.0, 0.0])], "id string, conversation_id long, embedding array<float>")
+    from threadloom.operators import recall
+
+    ids = lambda **o: [(r.id, r.metadata.get("source")) for r in recall.hybrid_grep(m, s, "alpha", [1.0, 0.0], v, w, **o).orderBy("place").collect()]
+    # the ranks of 1 and 3 are swapped between the lists, and those of s1 and 2 are equal: ties go to the text's order
+    assert ids() == [("3", None), ("1", None), ("s1", None), ("2", "vector"), ("s2", "vector")]
+    assert ids(conversation_id=7) == [("1", None), ("s1", None), ("2", "vector")]
+    assert ids(conversation_id=7, limit=1) == [("1", None)]
+    assert ids(scope="messages", since=F.timestamp_seconds(F.lit(2))) == [("3", None), ("2", "vector")]
+    assert ids(scope="summaries") == [("s1", None), ("s2", "vector")] and ids(min_score=2.0) == [("3", None), ("1", None), ("s1", None)]
+
+
+def test_protected_results_are_shown(spark):
+    rows = [(1, 1, 1, "user", "ask", 1, None, None), (2, 1, 2, "tool", "the early result", 1, "c9", "find"), (3, 1, 3, "user", "more", 1, None, None), (4, 1, 4, "assistant", "calling", 1, "c9", "find"), (5, 1, 5, "assistant", "again", 1, "c8", "find"), (6, 1, 6, "tool", "orphan", 1, "c0", None), (7, 1, 7, "user", "end", 1, None, None)]
+    m = spark.createDataFrame(rows, "id long, conversation_id long, seq long, role string, content string, token_count long, tool_call_id string, tool_name string").withColumn("created_at", F.timestamp_seconds("seq"))
+    from dataclasses import replace
+
+    text = Memory(m, replace(SMALL, fresh_tail=4)).context().first().context
+    assert text.split("\n\n")[-5:] == ["[assistant]\ncalling", "[tool]\nthe early result", "[assistant]\nagain", "[tool]\n[no result was recorded]", "[user]\nend"]
+    assert "orphan" not in text

@@ -81,10 +81,23 @@ def bootstrap(summaries: DataFrame, messages: DataFrame, budget: int = 6000) ->
     return taken, folds.skip_fill(m, "conversation_id", [F.desc("seq")], "budget", used="spent")
 
 
+def spoken(messages: DataFrame, tail_size: int) -> DataFrame:
+    """What a context shows word for word: the tail, and results before it whose calls are in it, each right after its call.
+
+    A call without a result has a stand-in, and results without a call are left out (see ``folds.repair_transcript``).
+    """
+    tail = folds.tail(messages, tail_size)
+    if not {"tool_call_id", "tool_name"} <= set(messages.columns):
+        return tail
+    return folds.repair_transcript(tail.unionByName(protected(messages, tail)))
+
+
 def rendered(summaries: DataFrame, messages: DataFrame) -> DataFrame:
-    """(conversation_id, context): summaries in their places, then messages, one block each."""
+    """(conversation_id, context): summaries in their places, then messages (by ``place``, or without one by ``seq``), one block each."""
     s = summaries.select("conversation_id", F.lit(0).alias("part"), F.col("place").cast("long").alias("at"), F.format_string("[summary depth %d]\n%s", F.col("depth"), F.col("content")).alias("block"))
-    m = messages.select("conversation_id", F.lit(1).alias("part"), F.col("seq").alias("at"), F.format_string("[%s]\n%s", "role", "content").alias("block"))
+    at = F.struct(F.col("seq").alias("at"), F.lit(0).alias("sub")) if "place" not in messages.columns else F.struct(F.col("place.at").alias("at"), F.col("place.sub").alias("sub"))
+    s = s.withColumn("at", F.struct("at", F.lit(0).alias("sub")))
+    m = messages.select("conversation_id", F.lit(1).alias("part"), at.alias("at"), F.format_string("[%s]\n%s", "role", "content").alias("block"))
     return s.unionByName(m).groupBy("conversation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "block"))), lambda x: x.block), "\n\n").alias("context"))
 
 

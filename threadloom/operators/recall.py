@@ -200,6 +200,41 @@ def append_summaries(found: DataFrame, hits: DataFrame, summaries: DataFrame, li
     return both.orderBy("part", "place").limit(limit)
 
 
+def hybrid_grep(messages: DataFrame, summaries: DataFrame, query: str, vector: list[float], message_vectors: DataFrame, summary_vectors: DataFrame | None = None, scope: str = "all", conversation_id=None, limit: int = 20, top_k: int = 20, min_score: float = 0.35, since=None, before=None, k: int = 60, indexes: dict[str, str] | None = None) -> DataFrame:
+    """Result rows of a search by words and by vectors, with their ``place``.
+
+    Text hits (see ``grep``) and the nearest messages are fused by their ranks; then come the nearest summaries that
+    are not there yet, up to ``limit``. All filters hold for all hits. Hits that only a vector found have ``vector``
+    as the source in their metadata. Vectors (id, conversation_id, embedding) whose row is gone are left out.
+    """
+    only = None if conversation_id is None else [conversation_id]
+    place = lambda *order: (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")  # noqa: E731  over the tops of searches, which limits bound
+    text = grep(messages, summaries, query, scope, conversation_id, limit, since=since, before=before, indexes=indexes)
+    text = text.withColumn("rank", place("src", F.desc(F.round("score", 9)), "id"))
+
+    def nearest(vectors: DataFrame, rows: DataFrame, key: str, kind: str) -> DataFrame:
+        top = vector_top(vectors.withColumn("id", F.col("id").cast("string")), vector, top_k, "id", conversation_ids=only, min_score=min_score).select("id", F.col("score").alias("near"))
+        own = in_range(rows if conversation_id is None else rows.where(F.col("conversation_id") == conversation_id), since, before)
+        found = own.join(F.broadcast(top.withColumnRenamed("id", "__id")), F.col(key).cast("string") == F.col("__id")).drop("__id")  # at most top_k rows
+        shown = hits(found.withColumn("score", F.col("near")), kind, 0 if kind == "message" else 1)
+        return shown.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("source"), F.lit("vector"))))
+
+    order = [F.desc(F.round("score", 9)), "id"]
+    columns = [c for c in text.columns if c != "rank"]
+    ranked = text
+    if scope in ("all", "messages"):
+        near = nearest(message_vectors, messages, "id", "message").withColumn("rank", place(*order))
+        fused = hybrid(text.select("id", "rank"), near.select("id", "rank"), limit, k).withColumn("fused", F.col("score")).drop("score")
+        both = text.select(*columns).unionByName(near.join(text.select("id"), "id", "left_anti").select(*columns))
+        ranked = both.join(fused, "id").withColumn("rank", place(F.desc("fused"), "first"))
+    ranked = ranked.select(*columns, F.lit(0).alias("part"), "rank")
+    if summary_vectors is not None and scope in ("all", "summaries"):
+        near = nearest(summary_vectors, summaries, "summary_id", "summary").withColumn("rank", place(*order))
+        more = near.join(ranked.select("id"), "id", "left_anti")
+        ranked = ranked.unionByName(more.select(*columns, F.lit(1).alias("part"), "rank"))
+    return ranked.withColumn("place", place("part", "rank")).where(F.col("place") < limit).select(*columns, "place")
+
+
 def any_keyword(rows: DataFrame, words: list[str], limit: int) -> DataFrame:
     """Relaxed search: rows by how many keywords they hold, where each keyword brings its ``2 * limit`` best only."""
     t = rows.withColumn("__t", terms(F.col("content")))

@@ -61,10 +61,8 @@ class Memory:
         return dag.expand(summary_id, g.summaries, g.parent_edges, g.leaf_edges, self.messages, is_sub_agent)
 
     def context(self, prompt: str | None = None) -> DataFrame:
-        from threadloom.operators.folds import tail
-
         chosen = assemble.assemble(self.messages, self._graph(), self.settings, prompt)
-        return assemble.rendered(chosen, tail(self.messages, self.settings.fresh_tail))
+        return assemble.rendered(chosen, assemble.spoken(self.messages, self.settings.fresh_tail))
 
     def stats(self) -> DataFrame:
         return aggregates.by_depth(self._graph().summaries)

@@ -294,6 +294,34 @@ def grep_all_scopes(spark, sf):
     return all_scopes(*graph(spark, sf))
 
 
+LETTERS = "abcdefghilmnorst"
+LETTERS_SQL = "[" + ", ".join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+LETTERS_OF = [float(QUERY.count(c)) for c in LETTERS]
+ONE = "AND conversation_id = 3"
+
+
+@query(DAG_SQL + ", " + bm25_sql("sessions", "id", "content", ["the", "tion"], ONE, "m") + ", " + bm25_sql("summaries", "summary_id", "content", ["the", "tion"], ONE, "s") + f""",
+allrows AS (SELECT id::VARCHAR AS id, 0 AS src, content, conversation_id FROM sessions UNION ALL SELECT summary_id, 1, content, conversation_id FROM summaries),
+text AS (SELECT id, row_number() OVER (ORDER BY src, s DESC, id) - 1 AS rank FROM (SELECT * FROM (SELECT id::VARCHAR AS id, round(score, 9) AS s, 0 AS src FROM rankedm ORDER BY s DESC, id LIMIT 40) UNION ALL SELECT * FROM (SELECT summary_id AS id, round(score, 9) AS s, 1 AS src FROM rankeds ORDER BY s DESC, id LIMIT 40)) QUALIFY rank < 40),
+vec AS (SELECT *, list_cosine_similarity({LETTERS_SQL}, {LETTERS_OF}::DOUBLE[]) AS c FROM allrows WHERE conversation_id = 3),
+near AS (SELECT id, src, row_number() OVER (PARTITION BY src ORDER BY round(c, 9) DESC, id) - 1 AS rank FROM vec WHERE c >= 0.35 QUALIFY rank < 12),
+u AS (SELECT id, rank, 0 AS l FROM text UNION ALL SELECT id, rank, 1 FROM near WHERE src = 0),
+both_ranks AS (SELECT id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score, min(l * 1000 + rank) AS first FROM u GROUP BY id),
+fused AS (SELECT id, row_number() OVER (ORDER BY score DESC, first) - 1 AS rank FROM both_ranks QUALIFY rank < 40),
+z AS (SELECT id, 0 AS part, rank FROM fused UNION ALL SELECT id, 1, rank FROM near WHERE src = 1 AND id NOT IN (SELECT id FROM fused))
+SELECT * FROM (SELECT row_number() OVER (ORDER BY part, rank) - 1 AS place, CASE src WHEN 0 THEN 'message' ELSE 'summary' END AS type, id, {SNIP.format('content')} AS content_snippet,
+  CASE WHEN id IN (SELECT id FROM text) THEN '' ELSE 'vector' END AS source FROM z JOIN allrows USING (id)) WHERE place < 40""")
+def hybrid_grep(spark, sf):
+    """Words and vectors together in one conversation, with rows; the vectors are the letter counts of the texts."""
+    rows, g = graph(spark, sf)
+    count = lambda texts: [[float(t.count(c)) for c in "abcdefghilmnorst"] for t in texts]
+    message_vectors = ingest.backfill(rows, rows.limit(0).select("id"), count)
+    nodes = g.summaries.select(F.col("summary_id").alias("id"), "conversation_id", "content")
+    summary_vectors = ingest.backfill(nodes, nodes.limit(0).select("id"), count)
+    found = recall.hybrid_grep(rows, g.summaries, QUERY, LETTERS_OF, message_vectors, summary_vectors, conversation_id=3, limit=40, top_k=12)
+    return found.select("place", "type", "id", "content_snippet", F.coalesce(F.col("metadata")["source"], F.lit("")).alias("source"))
+
+
 def grep_indexed(spark, sf):
     """The same search over full-text indexes of messages and summaries."""
     rows, g = graph(spark, sf)
@@ -442,10 +470,15 @@ def pressure(spark, sf):
     return ingest.pressure(long_sessions(spark, sf), 8000)
 
 
-@query("WITH " + MESSAGES_SQL + " SELECT id, conversation_id, 16 AS dim FROM messages WHERE id % 3 <> 0 AND regexp_matches(content, '[^' || '" + WHITE + "' || ']')")
+@query("WITH " + MESSAGES_SQL + f""", v AS (SELECT *, {LETTERS_SQL} AS v FROM messages WHERE id % 3 <> 0 AND regexp_matches(content, '[^' || '""" + WHITE + f"""' || ']'))
+SELECT id, conversation_id, list_sum(v) AS total, round(list_cosine_similarity(v, {LETTERS_OF}::DOUBLE[]), 5) AS score FROM v""")
 def embedding_backfill(spark, sf):
+    """Messages without a vector get one (a third has one); the vectors are the letter counts of the texts."""
     m = messages(spark, sf)
-    return ingest.backfill(m, m.where("id % 3 = 0").select("id"), lambda texts: ingest.hash_embedding(texts, 16)).select("id", "conversation_id", F.size("embedding").alias("dim"))
+    count = lambda texts: [[float(t.count(c)) for c in "abcdefghilmnorst"] for t in texts]
+    made = ingest.backfill(m, m.where("id % 3 = 0").select("id"), count)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return made.select("id", "conversation_id", total.alias("total"), F.round(cosine(F.col("embedding"), literal(LETTERS_OF)), 5).alias("score"))
 
 
 @query("SELECT avg(quality::DOUBLE) AS overall, (SELECT avg(a) FROM (SELECT avg(quality::DOUBLE) AS a FROM labels GROUP BY toxic)) AS task_average FROM labels")

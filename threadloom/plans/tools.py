@@ -57,6 +57,7 @@ class Host:
         self.spark, self.memory, self.answer, self.embed = spark, memory, answer, embed
         self.conversations = spark.createDataFrame([], SCHEMAS["conversations"]) if conversations is None else conversations
         self.vectors = spark.createDataFrame([], SCHEMAS["embeddings"])
+        self.summary_vectors = spark.createDataFrame([], SCHEMAS["embeddings"])
         if memory.graph is None:
             none = compaction.leaves(memory.messages.limit(0), memory.settings)
             self._keep(Dag(*none, spark.createDataFrame([], SCHEMAS["summary_parents"])))
@@ -89,8 +90,19 @@ class Host:
     # tools
 
     def grep(self, query: str, scope: str = "all", conversation_id: int | None = None, limit: int = 20) -> DataFrame:
-        """Searches messages and summaries for all words of a query."""
-        return recall.grep(self.memory.messages, self.memory.graph.summaries, query, scope, conversation_id, limit)
+        """Searches messages and summaries for all words of a query, and with an embedder by nearness too."""
+        m, nodes = self.memory.messages, self.memory.graph.summaries
+        if self.embed is None:
+            return recall.grep(m, nodes, query, scope, conversation_id, limit)
+        return recall.hybrid_grep(m, nodes, query, self.embed([query])[0], self.vectors, self._summary_vectors(), scope, conversation_id, limit)
+
+    def _summary_vectors(self) -> DataFrame:
+        """Vectors of all summaries: those that have none are embedded first; failures stay to be embedded."""
+        rows = self.memory.graph.summaries.select(F.col("summary_id").alias("id"), "conversation_id", "content")
+        made, _ = settled(saved(backfill(rows, self.summary_vectors, self.embed), "summary-vectors"))
+        if not made.isEmpty():
+            self.summary_vectors = self.summary_vectors.unionByName(made, allowMissingColumns=True)
+        return self.summary_vectors
 
     def describe(self, summary_id: str) -> DataFrame:
         """Tells what a summary covers, without its sources."""
@@ -237,7 +249,7 @@ class Host:
         if self.embed is None or not query:
             return None
         s = self.memory.settings
-        near = recall.vector_top(self.vectors, self.embed([query])[0], 10, "id", exclude=conversation_id)
+        near = recall.vector_top(self._summary_vectors(), self.embed([query])[0], 10, "id", exclude=conversation_id)
         taken = assemble.cross_session(near.select("id", "score"), self.memory.graph.summaries, s.cross_session_min_score, s.cross_session_tokens)
         return "\n\n".join(r.content for r in taken.orderBy("place").select("content").collect()) or None  # ten at most
 
