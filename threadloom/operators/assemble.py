@@ -15,6 +15,11 @@ from threadloom.operators.compaction import Dag
 K1, B = 1.2, 0.75
 
 
+def effective_limit(most: Column, cap: Column) -> Column:
+    """The tokens that a context may have: the model's, or a lower hard cap where there is one (null: none)."""
+    return F.least(most, F.coalesce(cap, most))
+
+
 def prompt_terms(prompt: str) -> list[str]:
     return [t for t in (re.sub(r"\W", "", w.lower()) for w in prompt.split()) if t]
 

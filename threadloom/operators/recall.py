@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from threadloom.functions.text import is_cjk, query_terms, snippet, terms
 from threadloom.functions.vectors import cosine_to
 from threadloom.operators.store import in_range
+from threadloom.sources.scratch import saved
 
 K1, B = 1.2, 0.75
 #: Characters that the full-text syntax doesn't know: queries with them are searched as substrings.
@@ -210,7 +211,7 @@ def hybrid_grep(messages: DataFrame, summaries: DataFrame, query: str, vector: l
     only = None if conversation_id is None else [conversation_id]
     place = lambda *order: (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")  # noqa: E731  over the tops of searches, which limits bound
     text = grep(messages, summaries, query, scope, conversation_id, limit, since=since, before=before, indexes=indexes)
-    text = text.withColumn("rank", place("src", F.desc(F.round("score", 9)), "id"))
+    text = saved(text.withColumn("rank", place("src", F.desc(F.round("score", 9)), "id")), "hits")  # the best of a search, read several times
 
     def nearest(vectors: DataFrame, rows: DataFrame, key: str, kind: str) -> DataFrame:
         top = vector_top(vectors.withColumn("id", F.col("id").cast("string")), vector, top_k, "id", conversation_ids=only, min_score=min_score).select("id", F.col("score").alias("near"))
@@ -223,7 +224,7 @@ def hybrid_grep(messages: DataFrame, summaries: DataFrame, query: str, vector: l
     columns = [c for c in text.columns if c != "rank"]
     ranked = text
     if scope in ("all", "messages"):
-        near = nearest(message_vectors, messages, "id", "message").withColumn("rank", place(*order))
+        near = saved(nearest(message_vectors, messages, "id", "message").withColumn("rank", place(*order)), "near")
         fused = hybrid(text.select("id", "rank"), near.select("id", "rank"), limit, k).withColumn("fused", F.col("score")).drop("score")
         both = text.select(*columns).unionByName(near.join(text.select("id"), "id", "left_anti").select(*columns))
         ranked = both.join(fused, "id").withColumn("rank", place(F.desc("fused"), "first"))

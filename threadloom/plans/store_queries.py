@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.config import SMALL, Settings
+from threadloom.config import SMALL
 from threadloom.functions import english
 from threadloom.functions import text as X
 from threadloom.operators import aggregates, assemble, cells, compaction, dag, folds, index, recall, store
@@ -386,9 +386,15 @@ def nodes_made(rows, g):
     return out.select("conversation_id", "depth", "first_seq", "last_seq", F.coalesce("n", F.lit(0)).alias("n_children"), "content")
 
 
-@query("SELECT least(120000, 50000) AS capped, 120000 AS free")
+@query(M + """, t AS (SELECT conversation_id, sum(token_count)::BIGINT AS tokens, CASE WHEN conversation_id % 3 = 0 THEN NULL ELSE 20 * conversation_id END AS cap FROM messages GROUP BY 1)
+SELECT conversation_id, least(1000, coalesce(cap, 1000))::BIGINT AS most, greatest(0, least(1000, coalesce(cap, 1000)) - tokens)::BIGINT AS left_over FROM t""")
 def effective_budget(spark, sf):
-    return spark.range(1).select(F.lit(Settings(hard_cap_tokens=50_000).effective_max_tokens).alias("capped"), F.lit(Settings().effective_max_tokens).alias("free"))
+    """What each conversation leaves of its context, which is 1,000 tokens or a cap of its own."""
+    t = messages(spark, sf).groupBy("conversation_id").agg(F.sum("token_count").alias("tokens"))
+    cap = F.when(F.col("conversation_id") % 3 != 0, 20 * F.col("conversation_id"))
+    most = assemble.effective_limit(F.lit(1000).cast("long"), cap)
+    return t.select("conversation_id", most.alias("most"), F.greatest(F.lit(0).cast("long"), most - F.col("tokens")).alias("left_over"))
+
 
 
 @query("SELECT conv_id % 12 AS k, CASE WHEN conv_id % 12 >= 2 OR conv_id % 3 >= 2 THEN true ELSE false END AS noted FROM conversations GROUP BY ALL")
