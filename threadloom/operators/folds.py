@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -47,33 +49,77 @@ def cut_chunks(tokens: Iterable[int], limit: int, min_fanout: int) -> list[int]:
     return out
 
 
-def leaf_sweep(messages: DataFrame, compacted: DataFrame | None, keep_tail: int, limit: int, min_fanout: int) -> DataFrame:
-    """(conversation_id, id, seq, chunk): all chunks that repeated selection yields, for all conversations at once."""
+#: Conversations of more rows than this are cut into chunks by many tasks (see ``operators.chunking``).
+ONE_TASK_ROWS = 200_000
+
+
+def leaf_sweep(messages: DataFrame, compacted: DataFrame | None, keep_tail: int, limit: int, min_fanout: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """(conversation_id, id, seq, chunk): all chunks that repeated selection yields, for all conversations at once.
+
+    A conversation of up to ``one_task_rows`` rows is folded by one task, longer ones in blocks, with the same result.
+    """
     rows = before_tail(messages.select("conversation_id", "id", "seq", "token_count"), keep_tail)
     if compacted is not None:
         rows = rows.join(compacted.select(F.col("message_id").alias("id")), "id", "left_anti")
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        chunk = cut_chunks(table.column("token_count").to_pylist(), limit, min_fanout)
+        table = table.sort_by([("seq", "ascending"), ("id", "ascending")])
+        chunk = cut_chunks(table.column("token_count").fill_null(0).to_pylist(), limit, min_fanout)
         return table.select(["conversation_id", "id", "seq"]).append_column("chunk", pa.array(chunk, pa.int64()))
 
-    return rows.groupBy("conversation_id").applyInArrow(fold, "conversation_id long, id long, seq long, chunk long").where("chunk >= 0")
+    folded = lambda part: part.groupBy("conversation_id").applyInArrow(fold, "conversation_id long, id long, seq long, chunk long").where("chunk >= 0")
+    long_ = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_task_rows).select("conversation_id")
+    if long_.isEmpty():
+        return folded(rows)
+    from threadloom.operators.chunking import chunks
+
+    return folded(rows.join(long_, "conversation_id", "left_anti")).unionByName(chunks(rows.join(long_, "conversation_id", "left_semi"), limit, min_fanout))
+
+
+def fitting(t: np.ndarray, used: float, budget: float) -> tuple[np.ndarray, float]:
+    """Which of some sizes, in order, still fit a budget of which ``used`` is spent, and what is spent then.
+
+    Takes the longest beginning that fits, leaves out the next, and goes on with those that still can fit: what is
+    left only shrinks.
+    """
+    taken, open_ = [], np.flatnonzero(used + t <= budget)
+    while len(open_):
+        spent = used + np.cumsum(t[open_])
+        k = int(np.searchsorted(spent, budget, "right"))
+        taken.append(open_[:k])
+        used = float(spent[k - 1]) if k else used
+        rest = open_[k + 1 :]
+        open_ = rest[used + t[rest] <= budget]
+    return (np.concatenate(taken) if taken else np.zeros(0, np.int64)), used
 
 
 def skip_fill(rows: DataFrame, group: str, order: list, budget: str, used: str | None = None) -> DataFrame:
-    """Rows in order that fit what is left of the budget; one that doesn't fit is skipped, and later ones may fit.
+    """Rows in order that fit what is left of the budget, with their ``place``; one that doesn't fit is skipped, and later ones may fit.
 
-    Bounded arrays (the summaries of a conversation) are folded by ``aggregate``, inside the JVM.
+    A group's rows (its number and size, no texts) pass through one task batch by batch, and never lie in memory
+    together; those over the budget by themselves stay out of it. Null sizes count as 0.
     """
     ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     start = F.lit(0.0) if used is None else F.col(used).cast("double")
-    pairs = F.array_sort(F.collect_list(F.struct("__n", F.col("token_count").cast("double").alias("t"))))
-    firsts = [F.first(budget).alias("__b")] + ([F.first(used).alias(used)] if used else [])
-    g = ranked.groupBy(group).agg(pairs.alias("__p"), *firsts)
-    zero = F.struct(start.alias("used"), F.array().cast("array<int>").alias("keep"))
-    step = lambda s, x: F.when(s.used + x.t > F.col("__b"), s).otherwise(F.struct((s.used + x.t).alias("used"), F.array_append(s.keep, x["__n"]).alias("keep")))
-    kept = g.select(group, F.aggregate("__p", zero, step).alias("__s")).select(group, F.explode("__s.keep").alias("__n"))
+    sizes = ranked.select(group, "__n", F.greatest(F.lit(0.0), F.coalesce(F.col("token_count").cast("double"), F.lit(0.0))).alias("t"), F.col(budget).cast("double").alias("b"), start.alias("u"))
+
+    def fill(batches):
+        who, spent = None, 0.0
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            t, b, u = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            kept = []
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    if who != (keys[i],):
+                        who, spent = (keys[i],), float(u[i])
+                    at, spent = fitting(t[i:j], spent, float(b[i]))
+                    kept.append(at + i)
+            yield batch.take(pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64))).select([group, "__n"])
+
+    able = sizes.where(F.col("u") + F.col("t") <= F.col("b")).repartition(group).sortWithinPartitions(group, "__n")
+    kept = able.mapInArrow(fill, T.StructType([sizes.schema[group], sizes.schema["__n"]]))
     return ranked.join(kept, [group, "__n"]).withColumnRenamed("__n", "place")
 
 

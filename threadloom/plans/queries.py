@@ -176,6 +176,12 @@ def leaf_sweep(spark, sf):
     return folds.leaf_sweep(long_sessions(spark, sf), None, SMALL.fresh_tail, SMALL.leaf_chunk_tokens, SMALL.leaf_min_fanout)
 
 
+@query(CHUNKS_SQL + " SELECT conversation_id, id, seq, chunk FROM chunks")
+def leaf_sweep_blocks(spark, sf):
+    """The same chunks, where each conversation is cut in blocks by many tasks."""
+    return folds.leaf_sweep(long_sessions(spark, sf), None, SMALL.fresh_tail, SMALL.leaf_chunk_tokens, SMALL.leaf_min_fanout, one_task_rows=0)
+
+
 @query(CHUNKS_SQL + " SELECT conversation_id, id, seq FROM chunks WHERE chunk = 0")
 def leaf_chunks(spark, sf):
     return leaf_sweep(spark, sf).where("chunk = 0").drop("chunk")
