@@ -50,7 +50,7 @@ def cut_chunks(tokens: Iterable[int], limit: int, min_fanout: int) -> list[int]:
 
 
 #: Conversations of more rows than this are cut into chunks by many tasks (see ``operators.chunking``).
-ONE_TASK_ROWS = 200_000
+ONE_TASK_ROWS = 2_000_000
 
 
 def leaf_sweep(messages: DataFrame, compacted: DataFrame | None, keep_tail: int, limit: int, min_fanout: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

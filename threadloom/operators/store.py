@@ -101,12 +101,12 @@ def delete_parts(parts: DataFrame, messages: DataFrame) -> tuple[DataFrame, Data
     return parts.join(messages, "message_id", "left_anti"), parts.join(messages, "message_id", "left_semi").groupBy("message_id").agg(F.count(F.lit(1)).alias("deleted"))
 
 
-def replace_with_summary(items: DataFrame, summary_id: str, message_ids: list[int]) -> DataFrame:
-    """Context items where the given messages make room for one summary, at the place of the first."""
-    hit = F.col("message_id").isin(*message_ids)
-    place = items.where(hit).groupBy("conversation_id").agg(F.min("ordinal").alias("ordinal"))
+def replace_with_summary(items: DataFrame, summary_id: str, message_ids: DataFrame) -> DataFrame:
+    """Context items where the given messages (message_id) make room for one summary, at the place of the first."""
+    hit = items.join(message_ids.select("message_id").distinct(), "message_id", "left_semi")
+    place = hit.groupBy("conversation_id").agg(F.min("ordinal").alias("ordinal"))
     added = place.select("conversation_id", "ordinal", F.lit("summary").alias("item_type"), F.lit(None).cast("long").alias("message_id"), F.lit(summary_id).alias("summary_id"))
-    return items.where(~F.coalesce(hit, F.lit(False))).unionByName(added)
+    return items.join(message_ids.select("message_id").distinct(), "message_id", "left_anti").unionByName(added)
 
 
 def create_condensed(children: DataFrame, *group: str, content: Callable[[Column, Column], Column]) -> DataFrame:

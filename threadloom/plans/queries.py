@@ -406,10 +406,11 @@ def orphan_leaves(spark, sf):
     return integrity.orphans(g).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-@query("SELECT doc_id, length(text) // 4 AS quarter, greatest(1, length(text) // 4) AS at_least_one, len(regexp_extract_all(text, '[^\\s\\x{0B}]+')) AS words FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, length(t) // 4 AS quarter, greatest(1, length(t) // 4) AS at_least_one, len(regexp_extract_all(t, '[^\\s\\x{0B}]+')) AS words FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def token_estimates(spark, sf):
-    t = F.col("text")
-    return docs(spark, sf).where("text is not null").select("doc_id", X.tokens_div4(t).alias("quarter"), X.tokens_at_least_one(t).alias("at_least_one"), X.tokens_words(t).alias("words"))
+    """Three estimates of the tokens of a text; a null text counts as empty."""
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, sf).select("doc_id", X.tokens_div4(t).alias("quarter"), X.tokens_at_least_one(t).alias("at_least_one"), X.tokens_words(t).alias("words"))
 
 
 WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -446,9 +447,10 @@ def session_glob(spark, sf):
     return rows.where(X.matches_globs(F.col("key"), ["src1*:**"])).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, length(text) AS query_len, substr(sha256(text), 1, 12) AS query_hash FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, length(text) AS query_len, substr(sha256(text), 1, 12) AS query_hash FROM documents")
 def query_fingerprint(spark, sf):
-    return docs(spark, sf).where("text is not null").select("doc_id", F.length("text").cast("long").alias("query_len"), X.fingerprint(F.col("text")).alias("query_hash"))
+    """Null for a null text."""
+    return docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("query_len"), X.fingerprint(F.col("text")).alias("query_hash"))
 
 
 @query("WITH " + SESSIONS_SQL + """, s AS (SELECT *, count(*) OVER (PARTITION BY conversation_id) AS n FROM sessions),

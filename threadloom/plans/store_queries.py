@@ -99,8 +99,8 @@ def context_items(spark, sf):
     items = store.add_items(empty, rows.select("conversation_id", F.col("id").alias("message_id"), "seq"), "message", "seq")
     late = rows.select("conversation_id").distinct().withColumn("summary_id", F.lit("sum_late"))
     items = store.add_items(items, late, "summary", "summary_id")
-    ids = [r.id for r in rows.where("conversation_id = 2 and id % 3 = 0").select("id").collect()]
-    out = store.replace_with_summary(items, "sum_new", ids) if ids else items
+    ids = rows.where("conversation_id = 2 and id % 3 = 0").select(F.col("id").alias("message_id"))
+    out = store.replace_with_summary(items, "sum_new", ids)
     return out.select("conversation_id", "ordinal", "item_type", "message_id", "summary_id")
 
 
@@ -118,11 +118,13 @@ def message_parts(spark, sf):
     return store.parts_of(parts(spark, sf), part_type="tool")
 
 
-@query(PARTS_SQL + " SELECT message_id, count(*) AS deleted, (SELECT count(*) FROM parts WHERE message_id % 4 <> 0) AS kept FROM parts WHERE message_id % 4 = 0 GROUP BY 1")
+@query(PARTS_SQL + " SELECT message_id, count(*) FILTER (WHERE message_id % 4 <> 0) AS kept, count(*) FILTER (WHERE message_id % 4 = 0) AS deleted FROM parts GROUP BY 1")
 def message_parts_delete(spark, sf):
-    p = parts(spark, sf)
+    """Parts kept and deleted by message; each message has one kind only."""
+    p, zero = parts(spark, sf), F.lit(0).cast("long")
     kept, deleted = store.delete_parts(p, p.where("message_id % 4 = 0").select("message_id").distinct())
-    return deleted.join(kept.agg(F.count(F.lit(1)).alias("kept")))
+    kept = kept.groupBy("message_id").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.join(deleted, "message_id", "full").select("message_id", F.coalesce("kept", zero).alias("kept"), F.coalesce("deleted", zero).alias("deleted"))
 
 
 @query(M + " SELECT 'file_' || substr(sha256(id || ':' || content), 1, 16) AS file_id, conversation_id, length(content) AS byte_size, sha256(content) AS digest FROM messages WHERE token_count >= 60")
@@ -221,10 +223,10 @@ def truncate_summary(spark, sf):
     return messages(spark, sf).select("id", X.truncated(F.col("content"), 80).alias("short"))
 
 
-@query(M + " SELECT id, CASE WHEN id % 2 = 0 THEN trim(content) ELSE content END AS inner_text FROM messages WHERE content <> ''")
+@query(M + " SELECT id, CASE WHEN id % 2 = 0 AND content = '' THEN 'Do this. <content>  </content> End.' WHEN id % 2 = 0 THEN trim(content) ELSE content END AS inner_text FROM messages")
 def tagged_content(spark, sf):
     c = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Do this. <content> "), "content", F.lit(" </content> End."))).otherwise(F.col("content"))
-    return messages(spark, sf).where("content <> ''").select("id", X.tagged(c, "content").alias("inner_text"))
+    return messages(spark, sf).select("id", X.tagged(c, "content").alias("inner_text"))
 
 
 E1, E2 = "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN substr(content, 1, 300) ELSE content || '!' || content END", "CASE WHEN id % 4 = 2 THEN substr(content, 1, 40) ELSE content || content END"
@@ -253,9 +255,22 @@ def json_text(spark, sf):
     return messages(spark, sf).select("id", X.json_text_column(raw).alias("extracted"))
 
 
-@query(M + " SELECT id, lower(content) LIKE '%' || lower(substr(content, 3, 12)) || '%' AS whole FROM messages WHERE length(content) > 20")
+@query(M + """, n AS (SELECT id, content, coalesce(lead(content) OVER (PARTITION BY conversation_id ORDER BY seq), content) AS later FROM messages),
+p AS (SELECT id, lower(later) AS later, lower(content) AS content, regexp_split_to_array(lower(substr(content, 1, 60)), '\\s+') AS w FROM n)
+SELECT id, contains(later, substr(content, 1, 60)) OR len(list_filter(w, lambda x: contains(later, x))) >= len(w) * 0.7 AS found FROM p""")
 def verbatim_recovery(spark, sf):
-    return messages(spark, sf).where("length(content) > 20").select("id", X.recovered(F.substring("content", 3, 12), F.col("content")).alias("whole"))
+    """Whether the beginning of a message is found in the next one, word for word or by seven tenths of its words."""
+    w = Window.partitionBy("conversation_id").orderBy("seq")
+    m = messages(spark, sf).withColumn("later", F.coalesce(F.lead("content").over(w), "content"))
+    return m.select("id", X.recovered(F.substring("content", 1, 60), F.col("later")).alias("found"))
+
+
+@query(M + r" SELECT id, 0.0::DOUBLE AS score FROM messages WHERE regexp_matches(content, '\b[Tt]h(an|en|at)\b.*?(\.|,)') ORDER BY id::VARCHAR LIMIT 30")
+def grep_by_pattern(spark, sf):
+    """The search tool's pattern mode, with a named group."""
+    m = messages(spark, sf)
+    found = recall.grep(m, spark.createDataFrame([], "summary_id string, conversation_id long, kind string, depth int, content string, created_at timestamp"), r"\b[Tt]h(?P<end>an|en|at)\b.*?(\.|,)", mode="regex", limit=30)
+    return found.select(F.col("id").cast("long").alias("id"), "score")
 
 
 @query(S + ", f AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, substr(content, 1, 20) ORDER BY seq) AS n FROM sessions) SELECT id FROM f WHERE n = 1")
