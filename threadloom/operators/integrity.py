@@ -1,4 +1,4 @@
-"""Eight checks of a store, each a row (name, passed, details), and what to do about failures."""
+"""Eight checks of a store, and three of its context items, each a row (name, passed, details), and what to do about failures."""
 
 from __future__ import annotations
 
@@ -42,10 +42,16 @@ def checks(messages: DataFrame, graph: Dag, items: DataFrame | None = None) -> D
     ]
     if items is not None:
         out.append(result("ordinals_contiguous", gaps(items, "conversation_id", "ordinal")))
+        lost = items.where("message_id is not null").join(messages.select(F.col("id").alias("message_id")), "message_id", "left_anti").select(F.lit(1))
+        gone = items.where("summary_id is not null").join(ids, "summary_id", "left_anti").select(F.lit(1))
+        out.append(result("items_exist", lost.unionAll(gone)))
+        both = F.col("message_id").isNotNull() == F.col("summary_id").isNotNull()
+        wrong = F.col("item_type") != F.when(F.col("message_id").isNotNull(), "message").otherwise("summary")
+        out.append(result("items_are_one_kind", items.where(both | wrong)))
     return reduce(DataFrame.unionByName, out)
 
 
-REPAIRS = {"sequence_contiguous": "renumber", "leaf_sources_exist": "drop edges", "parents_exist": "drop edges", "leaves_have_sources": "drop leaf", "condensed_have_children": "drop node", "no_duplicate_references": "deduplicate edges", "one_leaf_per_message": "keep the earliest leaf", "tokens_agree": "recount", "ordinals_contiguous": "renumber"}
+REPAIRS = {"sequence_contiguous": "renumber", "leaf_sources_exist": "drop edges", "parents_exist": "drop edges", "leaves_have_sources": "drop leaf", "condensed_have_children": "drop node", "no_duplicate_references": "deduplicate edges", "one_leaf_per_message": "keep the earliest leaf", "tokens_agree": "recount", "ordinals_contiguous": "renumber", "items_exist": "drop items", "items_are_one_kind": "drop items"}
 
 
 def repair_plan(found: DataFrame) -> DataFrame:

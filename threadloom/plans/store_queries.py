@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from threadloom.config import SMALL
 from threadloom.functions import english
 from threadloom.functions import text as X
-from threadloom.operators import aggregates, assemble, cells, compaction, dag, folds, index, recall, store
+from threadloom.operators import aggregates, assemble, cells, compaction, dag, folds, index, integrity, recall, store
 from threadloom.sources.scratch import place
 from threadloom.sources.tables import MESSAGES_SQL, SESSIONS_SQL, long_sessions, messages
 
@@ -273,6 +273,33 @@ def grep_by_pattern(spark, sf):
     return found.select(F.col("id").cast("long").alias("id"), "score")
 
 
+@query(M + " SELECT * FROM (SELECT 'message' AS type, id::VARCHAR AS id FROM messages WHERE contains(content, 'the') ORDER BY 2 LIMIT 25) UNION ALL SELECT * FROM (SELECT 'summary', 's' || id FROM messages WHERE contains(content, 'the') AND id % 2 = 0 ORDER BY 2 LIMIT 25) ORDER BY 1, 2 LIMIT 40")
+def grep_cjk(spark, sf):
+    """A query in Japanese over messages, and over every other one as a summary: two letters are enough, as substrings are searched."""
+    m = messages(spark, sf).withColumn("content", F.replace("content", F.lit("the"), F.lit("日本語")))
+    nodes = m.where("id % 2 = 0").select(F.concat(F.lit("s"), "id").alias("summary_id"), "conversation_id", F.lit("leaf").alias("kind"), F.lit(0).alias("depth"), "content", "created_at")
+    parts = [recall.grep(m, nodes, "本語", scope=scope, limit=25) for scope in ("messages", "summaries")]
+    return parts[0].unionByName(parts[1]).orderBy("type", "id").limit(40).select("type", "id")
+
+
+@query(S + """, kept AS (SELECT * FROM sessions WHERE id % 5 <> 2), g AS (SELECT lead(seq) OVER (PARTITION BY conversation_id ORDER BY seq) - seq AS d FROM kept),
+n AS (SELECT 'ordinals_contiguous' AS name, (SELECT count(*) FROM g WHERE d > 1) AS n, 'renumber' AS action
+  UNION ALL SELECT 'items_exist', (SELECT count(*) FROM kept WHERE id % 7 = 3) + (SELECT count(DISTINCT conversation_id) FROM kept), 'drop items'
+  UNION ALL SELECT 'items_are_one_kind', (SELECT count(DISTINCT conversation_id) FROM kept), 'drop items')
+SELECT name, n = 0 AS passed, n || ' bad' AS details, CASE WHEN n > 0 THEN action END AS action FROM n""")
+def integrity_items(spark, sf):
+    """Context items with gaps, of messages and a summary that are gone, and one without any content in each conversation."""
+    rows = long_sessions(spark, sf)
+    nodes, edges = compaction.leaves(rows, SMALL)
+    g = compaction.Dag(nodes, edges, compaction.empty_edges(rows))
+    items = rows.where("id % 5 <> 2").select("conversation_id", F.col("seq").alias("ordinal"), F.lit("message").alias("item_type"), F.col("id").alias("message_id"), F.lit(None).cast("string").alias("summary_id"))
+    last = items.groupBy("conversation_id").agg(F.max("ordinal").alias("last"))
+    more = lambda n, sid: last.select("conversation_id", (F.col("last") + n).alias("ordinal"), F.lit("summary").alias("item_type"), F.lit(None).cast("long").alias("message_id"), F.lit(sid).cast("string").alias("summary_id"))
+    items = items.unionByName(more(1, "sum_gone")).unionByName(more(2, None))
+    found = integrity.checks(rows.where("id % 7 <> 3"), g, items).where(F.col("name").isin("ordinals_contiguous", "items_exist", "items_are_one_kind"))
+    return found.join(integrity.repair_plan(found).select("name", "action"), "name", "left")
+
+
 @query(S + ", f AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, substr(content, 1, 20) ORDER BY seq) AS n FROM sessions) SELECT id FROM f WHERE n = 1")
 def first_by_prefix(spark, sf):
     return recall.first_of(long_sessions(spark, sf), ["conversation_id", F.substring("content", 1, 20)], ["seq"]).select("id")
