@@ -100,47 +100,53 @@ def hits(rows: DataFrame, kind: str, order: int) -> DataFrame:
     return rows.select(F.lit(kind).alias("type"), F.col(key).cast("string").alias("id"), snippet(F.col("content")).alias("content_snippet"), "conversation_id", meta.alias("metadata"), "created_at", score.alias("score"), F.lit(order).alias("src"))
 
 
-def search(rows: DataFrame, query: str, kind: str, conversation_id=None, since=None, before=None, mode: str = "full_text", index_path: str | None = None) -> DataFrame:
+def search(rows: DataFrame, query: str, kind: str, conversation_id=None, since=None, before=None, mode: str = "full_text", index_path: str | None = None, grams_path: str | None = None) -> DataFrame:
     """Messages or summaries that match, not yet limited: the plan is chosen from the query text alone.
 
-    With ``index_path``, full text is searched in an index of all ``rows`` (see ``operators.index``) instead of the texts.
+    With ``index_path``, full text is searched in an index of all ``rows`` (see ``operators.index``) instead of the texts;
+    with ``grams_path``, substrings and patterns are looked for in the rows that an index of trigrams (``operators.grams``) names.
     """
+    from threadloom.operators import grams, index
+
+    key = "id" if kind == "message" else "summary_id"
 
     def within(x: DataFrame) -> DataFrame:
         return in_range(x if conversation_id is None else x.where(F.col("conversation_id") == conversation_id), since, before)
 
+    def substring(x: DataFrame, text: str) -> DataFrame:
+        return like(x, ["content"], text) if grams_path is None else grams.like(x, key, "content", text, grams_path)
+
     order = 0 if kind == "message" else 1
     if mode == "regex":
-        return hits(regex(within(rows), "content", query), kind, order)
+        found = regex(within(rows), "content", query) if grams_path is None else grams.regex(within(rows), key, "content", query, grams_path)
+        return hits(found, kind, order)
     clean = sanitise(query)
     if is_cjk(query):
         parts = [w for w in clean.split() if len(w) >= 3] if kind == "summary" else []
         found = within(rows)
         for w in parts or [query]:
-            found = like(found, ["content"], w)
+            found = substring(found, w)
         return hits(found, kind, order)
     if not clean:
-        return hits(like(within(rows), ["content"], query) if kind == "message" else rows.limit(0), kind, order)
+        return hits(substring(within(rows), query) if kind == "message" else rows.limit(0), kind, order)
     if NO_SYNTAX.search(query):
-        return hits(like(within(rows), ["content"], query), kind, order)
+        return hits(substring(within(rows), query), kind, order)
     if index_path is None:
         return hits(within(bm25(rows, "content", query_terms(clean))), kind, order)
-    from threadloom.operators import index
-
-    key = "id" if kind == "message" else "summary_id"
     found = index.search(rows.sparkSession, index_path, query_terms(clean)).withColumnRenamed("id", key)
     return hits(within(rows.join(found, key)), kind, order)
 
 
-def grep(messages: DataFrame, summaries: DataFrame, query: str, scope: str = "all", conversation_id=None, limit: int = 20, mode: str = "full_text", since=None, before=None, offset: int = 0, indexes: dict[str, str] | None = None) -> DataFrame:
+def grep(messages: DataFrame, summaries: DataFrame, query: str, scope: str = "all", conversation_id=None, limit: int = 20, mode: str = "full_text", since=None, before=None, offset: int = 0, indexes: dict[str, str] | None = None, grams: dict[str, str] | None = None) -> DataFrame:
     """Message hits, then summary hits, each the best ``limit``; then offset and limit over both.
 
-    ``indexes`` names the places of full-text indexes by kind (message, summary); without one, the texts are read.
+    ``indexes`` names the places of full-text indexes by kind (message, summary), ``grams`` those of trigram indexes;
+    without one, the texts are read.
     """
     parts = []
     for kind, table in (("message", messages), ("summary", summaries)):
         if scope in ("all", {"message": "messages", "summary": "summaries"}[kind]):
-            found = search(table, query, kind, conversation_id, since, before, mode, (indexes or {}).get(kind))
+            found = search(table, query, kind, conversation_id, since, before, mode, (indexes or {}).get(kind), (grams or {}).get(kind))
             parts.append(found.orderBy(F.desc(F.round("score", 9)), "id").limit(limit))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = out.orderBy("src", F.desc(F.round("score", 9)), "id")

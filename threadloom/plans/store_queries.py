@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from threadloom.config import SMALL
 from threadloom.functions import english
 from threadloom.functions import text as X
-from threadloom.operators import aggregates, assemble, cells, compaction, dag, folds, index, integrity, recall, store
+from threadloom.operators import aggregates, assemble, cells, compaction, dag, folds, grams, index, integrity, recall, store
 from threadloom.sources.scratch import place
+from threadloom.sources.snapshots import Snapshots
 from threadloom.sources.tables import MESSAGES_SQL, SESSIONS_SQL, long_sessions, messages
 
 QUERIES: dict = {}
@@ -350,6 +351,30 @@ def index_replay(spark, sf):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+#: Substrings and a pattern that few documents hold, and a letter that most do, which no trigram helps to find.
+PARTS, PATTERN = ["@MAIL%.e_ample", "+1 (74", "thThane", "ÉONAN", "e"], r"(?:\) 555-[0-9]{4}|@mail[0-9]+\.|ingshly [a-z])"
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS part, doc_id FROM documents WHERE text ILIKE '%{q}%'" for q in PARTS) + f" UNION ALL SELECT 'pattern' AS part, doc_id FROM documents WHERE regexp_matches(text, '{PATTERN}')")
+def trigram_search(spark, sf):
+    """Substrings and a pattern over all documents by the trigram index, which comes in two batches."""
+    at, d = place(spark, "grams"), docs(spark, sf)
+    grams.build(d.where("doc_id % 2 = 0"), "doc_id", "text", at)
+    grams.append(d.where("doc_id % 2 <> 0 or doc_id is null"), "doc_id", "text", at, 1)
+    found = [grams.like(d, "doc_id", "text", q, at).select(F.lit(q).alias("part"), "doc_id") for q in PARTS]
+    found.append(grams.regex(d, "doc_id", "text", PATTERN, at).select(F.lit("pattern").alias("part"), "doc_id"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct([substr(lower(text), i::BIGINT, 3) FOR i IN range(1, greatest(1, length(text) - 1))])) AS gram FROM documents)
+SELECT gram, count(*) AS n FROM t GROUP BY gram""")
+def trigram_counts(spark, sf):
+    """The number of documents of each trigram of all documents, as the index keeps them to choose what to read."""
+    at = place(spark, "grams")
+    grams.build(docs(spark, sf), "doc_id", "text", at)
+    return Snapshots(spark, at).read("grams").select("gram", "n")
+
+
 @query(S + """, n AS (SELECT *, max(seq) OVER (PARTITION BY conversation_id) AS last FROM sessions), p AS (SELECT conversation_id, count(*) FILTER (WHERE seq <= last // 3) AS a, count(*) FILTER (WHERE seq <= 2 * last // 3) AS b, count(*) AS c FROM n GROUP BY 1),
 l AS (SELECT conversation_id, greatest(0, a - 2) // 2 AS x, greatest(0, b - 2) // 2 AS y, greatest(0, c - 2) // 2 AS z FROM p),
 k AS (SELECT conversation_id, z AS leaves, x, y - x AS y1, z - y AS z1 FROM l),
