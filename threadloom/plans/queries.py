@@ -522,6 +522,7 @@ def _more() -> None:
     QUERIES["index_search"], ORACLES["index_search"] = store_queries.index_search, store_queries.index_sql()
     QUERIES["index_replay"], ORACLES["index_replay"] = store_queries.index_replay, store_queries.replay_sql()
     QUERIES["vector_cells_topk"], ORACLES["vector_cells_topk"] = store_queries.vector_cells_topk, ORACLES["vector_topk"]
+    QUERIES["vector_cells_append"], ORACLES["vector_cells_append"] = store_queries.vector_cells_append, ORACLES["vector_topk"]
 
 
 _more()

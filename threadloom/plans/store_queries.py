@@ -488,6 +488,22 @@ def vector_cells_topk(spark, sf):
     return cells.search(spark, at, VECTOR, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+def vector_cells_append(spark, sf):
+    """The same search over an index that is built of a fourth of the vectors and gets the others in three batches, each sent twice.
+
+    Cells of more than a twentieth of all vectors are split.
+    """
+    from threadloom.plans.queries import VECTOR, vectors
+
+    at, v = place(spark, "cells"), vectors(spark, sf)
+    most = max(1, v.count() // 20)
+    cells.build(v.where("vec_id % 4 = 0"), "vec_id", at, cells=8)
+    for batch in range(1, 4):
+        for _ in range(2):
+            cells.append(v.where(F.col("vec_id") % 4 == batch), at, batch, most_rows=most)
+    return cells.search(spark, at, VECTOR, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
 def grep_english(spark, sf):
     """Messages that hold the stems of all words of an English question; tests hold it against a plain form."""
     return english.search(messages(spark, sf), "content", ENGLISH).select("id", F.round("score", 9).alias("score"))
