@@ -55,10 +55,13 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS, joined: bool = False) -> DataFrame:
         """``df`` written and reread. ``rows`` is how many it has at most, where known: a table that is small
-        for its partitions gets few files, and a large one as many as it has partitions."""
-        if rows is not None:
+        for its partitions gets few files, and a large one as many as it has partitions. That narrows the last
+        stage too; what is ``joined`` from larger tables keeps its tasks, and its rows are dealt anew afterwards."""
+        if joined:
+            df = df.hint("rebalance")
+        elif rows is not None:
             df = df.coalesce(max(1, -(-rows // file_rows)))
         with settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
             df.write.option("compression", "zstd").parquet(self.at(name))

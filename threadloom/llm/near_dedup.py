@@ -389,14 +389,14 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     hubs = salted.groupBy("key").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = scratch.table(keys.join(hubs, "key").select("key", "rep", F.col("x").bitwiseXOR(F.xxhash64("band")).alias("hub")), "buckets", BANDS * n)
     stars = buckets.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    stars = scratch.table(plausible(stars, nodes, percent), "stars", buckets.count())
+    stars = scratch.table(plausible(stars, nodes, percent), "stars", joined=True)
     ends = scratch.table(stars.select(F.col("a").alias("id__")).union(stars.select("b")).distinct(), "ends", n)
     sets = scratch.table(sets_for(base, ends, width), "sets", ends.count(), WIDE_ROWS // 4)
 
     # first each document's most similar hub; then what that leaves in different components
     best = stars.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    comps = components(scratch.table(confirm(best, sets, percent), "links-0", n), scratch, "cc0")
-    found = scratch.table(confirm(apart(stars.select("a", "b"), comps), sets, percent), "links-1", stars.count())
+    comps = components(scratch.table(confirm(best, sets, percent), "links-0", joined=True), scratch, "cc0")
+    found = scratch.table(confirm(apart(stars.select("a", "b"), comps), sets, percent), "links-1", joined=True)
     if not found.isEmpty():
         comps = grown(comps, found, scratch, "cc1")
     rest = residual(buckets.select("key", "rep"), comps, sets, lambda ids: sets_for(base, ids, width), scratch, percent)
