@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,3 +547,36 @@ def test_pipeline(spark):
     kept = {i for i, (_, c) in classes(list(left.items()), 5, 80).items() if i == c}
     found = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
     assert found <= kept and len(found) > len(kept) / 2
+
+
+def test_pipeline_exactly(spark):
+    """Each document comes as often as plain forms of the stages say, and each copy's ids lie in the pieces once."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {r.doc_id for r in langid.identify(docs, langid.train(docs)).where("not rejected").select("doc_id").collect()}
+    rows = [r for r in duckdb.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet'").fetchall() if r[0] in known]
+    last = {}
+    for i, t, _ in rows:
+        last[t] = max(last.get(t, -1), i)
+    left = {i: t for t, i in last.items()}
+    kept = {i for i, (_, c) in classes(list(left.items()), 5, 80).items() if i == c}
+    stay = pa.table({"doc_id": [i for i, _, _ in rows if i in kept], "text": [t for i, t, _ in rows if i in kept], "source": [x for i, _, x in rows if i in kept]})
+    con = duckdb.connect()
+    con.register("stay", stay)
+    times = {i: taken // size for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({mixing.oracle('stay')})").fetchall() if size}
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected, found = {}, {}
+    for i, n in times.items():
+        ids = [*tokenizer.encode(left[i], add_special_tokens=False).ids, 0]
+        if n:
+            expected[i] = (len(ids), {at: n for at in range(len(ids))})
+    for r in corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "doc_tokens").collect():
+        _, seen = found.setdefault(r.doc_id, (r.doc_tokens, {}))
+        for at in range(r.start, r.start + r.length):
+            seen[at] = seen.get(at, 0) + 1
+    assert known and len(kept) < len(left) < len(rows) and max(times.values()) == 2 and min(times.values()) == 0
+    assert found == expected
