@@ -74,6 +74,30 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: tuple = (None, None)
+
+
+def given_back() -> None:
+    """Freed memory goes back to the system: worker processes stay for later stages, beside those of other cores."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def kept(key: str | None = None, make: Callable = lambda: None):
+    """A large thing that a worker process keeps from task to task: one at a time, so that a stage doesn't carry what an earlier one made."""
+    global _kept
+    if _kept[0] != key:
+        _kept = (None, None)
+        given_back()
+        _kept = (key, make())
+    return _kept[1]
+
+
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` characters, and of BLOCK_TEXTS rows at most; a longer text makes a range of its own."""
     start = size = 0
@@ -94,14 +118,15 @@ def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], list], fields:
     All columns of ``docs`` pass through; one that has the name of a new field is replaced.
     """
     names = [f.name for f in fields]
-    kept = docs.drop(*[n for n in names if n != text_col])
-    out = [c for c in kept.columns if c not in names]
-    at = kept.columns.index(text_col)
-    schema = T.StructType([*[kept.schema[c] for c in out], *fields])
+    passed = docs.drop(*[n for n in names if n != text_col])
+    out = [c for c in passed.columns if c not in names]
+    at = passed.columns.index(text_col)
+    schema = T.StructType([*[passed.schema[c] for c in out], *fields])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        kept()
         arrow = to_arrow_schema(schema)
         for batch in batches:
             texts = batch.column(at).to_pylist()
@@ -111,8 +136,9 @@ def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], list], fields:
                 columns = [part.column(part.schema.get_field_index(c)) for c in out]
                 columns += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, arrow.field(n).type) for n, x in zip(names, made)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*out, *names])
+        given_back()
 
-    return kept.mapInArrow(run, schema)
+    return passed.mapInArrow(run, schema)
 
 
 def filter_text(docs: DataFrame, text_col: str, fn: Callable[[list], list]) -> DataFrame:
@@ -120,10 +146,12 @@ def filter_text(docs: DataFrame, text_col: str, fn: Callable[[list], list]) -> D
     at = docs.columns.index(text_col)
 
     def run(batches):
+        kept()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for i, j in blocks(texts):
                 yield batch.slice(i, j - i).filter(pa.array(fn(texts[i:j]), pa.bool_()))
+        given_back()
 
     return docs.mapInArrow(run, docs.schema)
 

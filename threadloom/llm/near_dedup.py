@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import Scratch, map_text
+from threadloom.llm.common import Scratch, given_back, kept, map_text
 from threadloom.llm.vectext import Block, U, mix, ngrams
 
 #: A pair of similarity 0.8 shares no band with a probability of 2e-5, one of 0.85 with 1e-7.
@@ -42,6 +42,8 @@ BLOCK = 500_000
 #: Frequencies of shingles are kept by so many hash slots: a byte each is broadcast, whatever the input.
 #: Shingles that share a slot count as more frequent than they are; this costs time only.
 SLOTS = 1 << 22
+#: Slots whose frequencies one task turns into bytes.
+STRIP = 1 << 16
 #: Sketches of 8 bits a bin agree about as often as the sets are similar. A star's edge is left out if they
 #: agree less than the threshold by so many standard deviations (its ends then meet in the second round).
 #: Small sets fill fewer bins by themselves, and so their sketches count as that much shorter.
@@ -148,6 +150,7 @@ def map_columns(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
             step = max(1, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)))
             for i in range(0, batch.num_rows, step):
                 yield pa.RecordBatch.from_arrays(fn(batch.slice(i, step)), names=schema.names)
+        given_back()
 
     return df.mapInArrow(run, schema)
 
@@ -229,6 +232,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     """How frequent the shingles of each hash slot are in all the sets: a byte, six steps for each doubling."""
 
     def count(batches):
+        kept()
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for s in batch.column(0).to_pylist():
@@ -237,10 +241,18 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["slot", "n"])
+        given_back()
 
-    found = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    def level(table: pa.Table) -> pa.Table:
+        own = np.zeros(STRIP, np.uint8)
+        own[table.column("slot").to_numpy() % STRIP] = np.minimum(6 * np.log2(table.column("n").to_numpy()), 255).astype(np.uint8)
+        return pa.table([table.column("strip")[:1], pa.array([own.tobytes()])], names=["strip", "levels"])
+
+    found = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    strips = found.select(F.floor(F.col("slot") / STRIP).alias("strip"), "slot", "n").groupBy("strip").applyInArrow(level, "strip long, levels binary")
     out = np.zeros(SLOTS, np.uint8)
-    out[found.column("slot").to_numpy()] = np.minimum(6 * np.log2(found.column("n").to_numpy()), 255).astype(np.uint8)
+    for strip, levels in strips.collect():  # the driver gets bytes, not counts: SLOTS in all
+        out[strip * STRIP : (strip + 1) * STRIP] = np.frombuffer(levels, np.uint8)
     return out
 
 
