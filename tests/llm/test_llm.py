@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import exact_dedup, langid, linear, mixing, near_dedup, packing, pii, quality_pu, quality_rules, toxicity, urlfilter
+from threadloom.llm import common, exact_dedup, langid, linear, mixing, near_dedup, packing, pii, quality_pu, quality_rules, toxicity, urlfilter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_shingles string, score string, spans string"
@@ -580,3 +580,37 @@ def test_pipeline_exactly(spark):
             seen[at] = seen.get(at, 0) + 1
     assert known and len(kept) < len(left) < len(rows) and max(times.values()) == 2 and min(times.values()) == 0
     assert found == expected
+
+
+def test_frequencies_are_collected_as_bytes(spark, monkeypatch):
+    """The driver gets a byte a slot, in strips, and no table of counts."""
+    rng, plain = np.random.default_rng(3), {}
+    sets = [np.unique(rng.integers(0, 2000, 300)).astype(np.uint64) for _ in range(40)]
+    for s in sets:
+        for slot in near_dedup.slots(s):
+            plain[slot] = plain.get(slot, 0) + 1
+    monkeypatch.delattr("pyspark.sql.DataFrame.toArrow", raising=False)
+    monkeypatch.delattr("pyspark.sql.classic.dataframe.DataFrame.toArrow", raising=False)
+    found = near_dedup.frequencies(spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "set binary"))
+    wanted = np.zeros(near_dedup.SLOTS, np.uint8)
+    for slot, n in plain.items():
+        wanted[slot] = min(int(6 * np.log2(n)), 255)
+    assert (found == wanted).all() and len(np.unique(found)) > 5
+
+
+def test_a_worker_keeps_one_large_thing(bpe):
+    encode = packing.encoder(bpe)
+    assert packing.encoder(bpe).__self__ is encode.__self__
+    common.kept()
+    assert packing.encoder(bpe).__self__ is not encode.__self__
+
+
+def test_words_are_encoded_once_a_block(bpe):
+    """Texts whose words repeat, begin with white space or follow several spaces, in blocks that meet a small cache."""
+    from tokenizers import Tokenizer
+
+    own, whole = packing.ByteBpe(bpe), Tokenizer.from_file(bpe)
+    own.CACHE = 5
+    texts = ["", " ", "a", "a b a b", "  a  b", "x \n y", "a  b 　c  d", "日本 語 日本", "don't stop, don't", "b\tc b\td", "é́ é ééé", "a" * 50 + " " + "a" * 50]
+    for block in (texts, texts[::-1], texts[3:5], [], texts):
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(block)] == [whole.encode(t, add_special_tokens=False).ids for t in block]

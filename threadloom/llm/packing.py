@@ -13,12 +13,14 @@ import itertools
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import Scratch
+from threadloom.llm.common import Scratch, blocks, given_back, kept
 
 #: Windows open at a time in a partition; leftover windows that one merging task gets (many more than it leaves open).
 OPEN, MERGE_WINDOWS = 64, 2048
@@ -98,8 +100,6 @@ class ByteBpe:
         import os
         import re
 
-        import numpy as np
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -120,8 +120,6 @@ class ByteBpe:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        import numpy as np
-
         is_plain = self.is_plain
         plain = [w for w in new if is_plain(w)]
         joined = [" " + " ".join(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]
@@ -133,32 +131,59 @@ class ByteBpe:
             others = [w for w in new if w not in self.known]
             self.known.update(zip(others, self.ids([" " + w for w in others])))
 
+    def odd(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Which words are empty or begin with white space; a look at first bytes leaves few to ask."""
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        out = ends[1:] == ends[:-1]
+        full = np.flatnonzero(~out)
+        lead = np.frombuffer(data or b"", np.uint8)[ends[full]]
+        for i in full[(lead < 33) | (np.isin(lead, (0xC2, 0xE1, 0xE2, 0xE3)))].tolist():  # others begin no white space
+            out[i] = words[i].as_py()[0].isspace()
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") for t in texts]
-        first = [w.pop(0) for w in words]
+        """Texts are split, and the ids of their words gathered, by Arrow; Python sees each different word of a block once."""
+        def numbered(words: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+            """Where each text's words begin, the different words, and all words as numbers of these."""
+            starts, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+            return starts - starts[0], coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
         if len(self.known) > self.CACHE:
             self.older, self.known = self.known, {}
-        new = set().union(*words).difference(self.known)
-        if odd := {w for w in new if not w or w[0].isspace()}:  # the pattern doesn't cut there
-            for i, (head, w) in enumerate(zip(first, words)):
-                if not odd.isdisjoint(w):
-                    first[i], *words[i] = self.cut.split(" ".join([head, *w]))
-            new = set().union(*words).difference(self.known)
-        again = list(filter(self.older.__contains__, new))
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
-        self.learn(list(new.difference(again)))
-        known = self.known
-        return [head + b"".join(map(known.__getitem__, w)) for head, w in zip(self.ids(first), words)]
-
-
-_encoders: dict[str, ByteBpe] = {}
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts, different, at = numbered(words)
+        odd = self.odd(different)[at]  # the pattern doesn't cut there
+        odd[starts[:-1]] = False
+        if odd.any():
+            own = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+            place = np.arange(len(texts))
+            place[own] = len(texts) + np.arange(len(own))
+            cut = pa.array([self.cut.split(texts[i]) for i in own], words.type)
+            starts, different, at = numbered(pa.concat_arrays([words, cut]).take(pa.array(place)))
+        different = different.to_numpy(zero_copy_only=False).tolist()
+        first, later = starts[:-1], np.ones(len(at), bool)
+        later[first] = False
+        heads = self.ids([different[i] for i in at[first]])
+        needed = np.zeros(len(different), bool)
+        needed[at[later]] = True
+        at[first] = len(different) + np.arange(len(texts))
+        ids = list(map(self.known.get, different))
+        new = {different[i]: i for i, found in enumerate(ids) if found is None and needed[i]}
+        again = {w: self.older[w] for w in filter(self.older.__contains__, new)}
+        self.known.update(again)
+        self.learn([w for w in new if w not in again])
+        for w, i in new.items():
+            ids[i] = self.known[w]
+        gathered = pa.array(ids + heads, pa.large_binary()).take(pa.array(at))
+        _, offsets, data = gathered.buffers()
+        ends = np.frombuffer(offsets, np.int64)[starts].tolist()
+        return [data.slice(i, j - i).to_pybytes() if i < j else b"" for i, j in itertools.pairwise(ends)]
 
 
 def encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
     """One encoder for each worker process and file: its vocabulary and known words serve all tasks."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = ByteBpe(tokenizer)
-    return _encoders[tokenizer].encode
+    return kept(f"bpe {tokenizer}", lambda: ByteBpe(tokenizer)).encode
 
 
 def first_id(turn: int, partition: int) -> int:
@@ -202,8 +227,6 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size
     def run(batches):
         from pyspark import TaskContext
 
-        from threadloom.llm.common import blocks
-
         encode, out = encoder(tokenizer), Out(schema, first_id(0, TaskContext.get().partitionId()))
         packer = Packer(size, open_windows, lambda pieces: out.window(pieces, True))
         end = b"\0\0\0\0"  # the id after each document
@@ -217,6 +240,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size
         for pieces in packer.rest():
             out.window(pieces, False)
         yield from out.batches(1)
+        given_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
