@@ -145,12 +145,42 @@ def rank(found: Column, query: list[str]) -> Column:
     return F.lit(1.0) - rest
 
 
+@F.pandas_udf(StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w in STOP_WORDS else stem(w))
+
+
+def forms(rows: DataFrame, text_col: str, wanted: list[str]) -> dict[str, str]:
+    """The words of the texts that have one of the stems: word -> stem, a few for each stem.
+
+    Each different word is stemmed once, and the texts don't come to Python. A stem begins as its word does, so other
+    words stay out before they are dealt out.
+    """
+    first = sorted({w[0] for w in wanted})
+    able = F.filter(terms(F.col(text_col)), lambda w: F.substring(w, 1, 1).isin(first))
+    words = rows.select(F.explode(able).alias("word")).distinct().withColumn("stem", _stems("word"))
+    return dict(words.where(F.col("stem").isin(wanted)).collect())
+
+
 def search(rows: DataFrame, text_col: str, query: str) -> DataFrame:
-    """Rows that hold the stems of all words of ``query``, with ``score``; none for a query of stop words only."""
+    """Rows that hold the stems of all words of ``query``, with ``score``; none for a query of stop words only.
+
+    Reads the rows twice: for the forms of the query's stems, and for the texts that have them.
+    """
     wanted = query_lexemes(query)
-    if not wanted:
+    known = forms(rows, text_col, wanted) if wanted else {}
+    if not wanted or set(known.values()) != set(wanted):
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    found = rows.withColumn("__l", lexemes(terms(F.col(text_col))))
+    of = {q: sorted(w for w, s in known.items() if s == q) for q in wanted}
+
+    def lexeme(w: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for q in wanted:
+            found = F.when(w.isin(of[q]), F.lit(q)).otherwise(found)
+        return found
+
+    found = rows.withColumn("__t", terms(F.col(text_col)))
     for q in wanted:
-        found = found.where(F.array_contains("__l", q))
+        found = found.where(F.arrays_overlap("__t", F.array(*map(F.lit, of[q]))))
+    found = found.withColumn("__l", F.transform("__t", lexeme)).drop("__t")
     return found.withColumn("score", rank(F.col("__l"), wanted)).drop("__l")
