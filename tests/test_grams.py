@@ -6,6 +6,7 @@ import re
 import pytest
 
 from threadloom.operators import grams, recall
+from threadloom.sources.snapshots import Snapshots
 
 
 @pytest.mark.parametrize("pattern, needs", [
@@ -108,3 +109,17 @@ def test_search_by_trigrams(spark, tmp_path, query, mode):
     grams.build(summaries, "summary_id", "content", f"{at}s")
     plain = recall.grep(messages, summaries, query, mode=mode).collect()
     assert recall.grep(messages, summaries, query, mode=mode, grams={"message": at, "summary": f"{at}s"}).collect() == plain
+
+
+def test_a_block_of_texts_makes_one_row_a_trigram(spark, tmp_path):
+    """What is dealt out and sorted doesn't grow with documents times trigrams."""
+    texts = [None, "ab", *(t for t in MANY if t), *["the same words again"] * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string").coalesce(1)
+    at, plain = f"file://{tmp_path}/g", {}
+    grams.build(rows, "id", "content", at)
+    for i, t in rows.select("id", grams.folded(rows.content)).collect():
+        for k in range(len(t or "") - 2):
+            plain.setdefault(t[k : k + 3], set()).add(i)
+    lists = Snapshots(spark, at).read("postings").collect()
+    assert len(lists) == len(plain) and {r.gram: set(r.ids) for r in lists} == plain
+    assert {r.gram: r.n for r in Snapshots(spark, at).read("grams").collect()} == {g: len(ids) for g, ids in plain.items()}

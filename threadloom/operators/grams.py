@@ -5,20 +5,24 @@ needs, takes the documents that have them, and then asks the real predicate (``r
 those only: the index never decides, so results are those of a scan. It may therefore name documents that have
 changed or gone, and needs no tombstones; all rows that are searched must have been given to it, with their present texts.
 
-Tables (``sources.snapshots``): postings (gram, id, batch), sorted by gram; grams (gram, n, batch), the number of documents of
-each gram; segments (batch, n). Of a long string only the rarest trigrams are read. Where the query needs none, or
+Tables (``sources.snapshots``): postings (gram, ids, batch), sorted by gram, of which each row lists the documents of one
+block of texts; grams (gram, n, batch), the number of documents of each gram; segments (batch, n). Of a long string only the rarest trigrams are read. Where the query needs none, or
 where those it needs are nearly everywhere, there is nothing to save, and the rows are scanned.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 from functools import reduce
 from re import _parser as parsed_patterns
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.operators import recall
 from threadloom.sources.snapshots import Change, Snapshots
@@ -26,6 +30,8 @@ from threadloom.sources.snapshots import Change, Snapshots
 WRITER = "grams"
 #: Of the trigrams of one string, so many (the rarest) are looked up.
 PER_STRING = 6
+#: Texts of about so many characters make one row a trigram; a merge makes lists of about so many documents.
+BLOCK_CHARS, LISTED = 2_000_000, 20_000
 #: If more than this share of the documents can match, the rows are scanned.
 MOST_OF_ALL = 0.5
 #: Letters that match a letter other than their lower case when case is ignored (long s, Kelvin sign, dotless i).
@@ -37,11 +43,44 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "ς", "σ")
 
 
-def trigrams(text: Column) -> Column:
-    """The different trigrams of a folded text; none of a null or of less than three characters."""
-    chars = lambda t: F.transform(t, lambda c, i: F.concat(c, F.get(t, i + 1), F.get(t, i + 2)))  # noqa: E731  null at the end
-    one = F.transform(F.array(F.split(folded(text), "")), lambda t: F.array_distinct(F.filter(chars(t), lambda g: g.isNotNull())))
-    return F.element_at(one, 1)
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(gram, ids): the different trigrams of folded texts, each with its documents, a row for each block of texts.
+
+    None of a null or of less than three characters. A row a gram and block, instead of one a gram and document, is what is dealt out and sorted.
+    """
+    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK_CHARS)) + 1).tolist(), len(texts)]
+            for i, j in itertools.pairwise(cuts):
+                if i < j:
+                    grams, lists = gram_lists(texts[i:j], batch.column(0).slice(i, j - i))
+                    yield pa.RecordBatch.from_arrays([grams, lists], names=schema.names)
+
+    rows = docs.select(F.col(id_col).alias("id"), folded(F.col(text_col)).alias("text")).where("length(text) >= 3")
+    return rows.mapInArrow(run, schema)
+
+
+def gram_lists(texts: list[str], ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The trigrams of texts of three characters or more, and the ids of the texts of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), size - 2)
+    at = np.arange(len(owner)) + 2 * owner  # each text has two places at which no trigram begins
+    keys = points[at] << np.uint64(42) | points[at + 1] << np.uint64(21) | points[at + 2]
+    order = np.argsort(keys, kind="stable")  # texts stay in order
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    once = new.copy()
+    once[1:] |= owner[1:] != owner[:-1]
+    keys, starts = keys[new], np.append(np.flatnonzero(new[once]), once.sum())
+    low = np.uint64((1 << 21) - 1)
+    chars = np.stack([keys >> np.uint64(42), keys >> np.uint64(21) & low, keys & low], 1).astype(np.uint32).tobytes().decode("utf-32-le")
+    return pa.array([chars[k : k + 3] for k in range(0, len(chars), 3)]), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids.take(pa.array(owner[once])))
 
 
 def build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
@@ -62,24 +101,31 @@ def append(docs: DataFrame, id_col: str, text_col: str, path: str, batch: int) -
 
 def _segment(change: Change, docs: DataFrame, id_col: str, text_col: str, batch: int, put) -> None:
     mark = F.lit(batch).cast("bigint").alias("batch")
-    rows = docs.select(F.explode(trigrams(F.col(text_col))).alias("gram"), F.col(id_col).alias("id"), mark)
+    rows = postings(docs, id_col, text_col).select("*", mark)
     # one gram's postings lie together, and a gram that all documents have is split into several files
     put("postings", rows.hint("rebalance", F.col("gram")).sortWithinPartitions("gram"))
-    counted = change.last("postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = _counted(change)
     put("grams", counted.select("gram", "n", mark).sortWithinPartitions("gram"))
     put("segments", docs.agg(F.count(F.lit(1)).alias("n")).select(mark, "n"))
     change.mark(WRITER, batch)
 
 
+def _counted(change: Change) -> DataFrame:
+    return change.last("postings").groupBy("gram").agg(F.sum(F.size("ids")).cast("long").alias("n"))
+
+
 def merge(living: DataFrame, id_col: str, path: str) -> None:
     """One segment without the documents that are not among ``living`` any more, and without repeated postings."""
     with Snapshots(living.sparkSession, path).begin() as change:
         batch = F.lit(change.base["applied"][WRITER]).cast("bigint").alias("batch")
         there = living.select(F.col(id_col).alias("__id"))
-        rows = change.read("postings").join(there, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-        rows = rows.select("gram", "id").distinct().select("*", batch)
+        rows = change.read("postings").select("gram", F.explode("ids").alias("id")).join(there, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+        parts = F.lit(-(-living.count() // LISTED) or 1)  # a gram that all documents have makes several lists
+        rows = rows.select("gram", "id").distinct().groupBy("gram", F.pmod(F.xxhash64("id"), parts).alias("part"))
+        rows = rows.agg(F.collect_list("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nulls"))
+        rows = rows.select("gram", F.when(F.col("nulls") > 0, F.array_append("ids", F.lit(None))).otherwise(F.col("ids")).alias("ids"), batch)
         change.replace("postings", rows.hint("rebalance", F.col("gram")).sortWithinPartitions("gram"))
-        change.replace("grams", change.last("postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).select("gram", "n", batch).sortWithinPartitions("gram"))
+        change.replace("grams", _counted(change).select("gram", "n", batch).sortWithinPartitions("gram"))
         change.replace("segments", living.agg(F.count(F.lit(1)).alias("n")).select(batch, "n"))
 
 
@@ -192,7 +238,7 @@ def _folded(spark: SparkSession, text: str) -> str:
 def candidates(spark: SparkSession, path: str, found: Lookup, version: int | None = None) -> DataFrame:
     """(id) of the documents that have the grams of a lookup, once each."""
     wanted = sorted({g for cut in found.grams for string in cut for g in string})
-    own = Snapshots(spark, path).read("postings", version).where(F.col("gram").isin(wanted))
+    own = Snapshots(spark, path).read("postings", version).where(F.col("gram").isin(wanted)).select("gram", F.explode("ids").alias("id"))
     has = own.groupBy("id").agg(F.collect_set("gram").alias("__g"))  # at most the grams of the query
     one = lambda string: F.size(F.array_intersect("__g", F.array(*map(F.lit, string)))) == len(string)
     every = [reduce(Column.__or__, [one(string) for string in cut]) for cut in found.grams]
