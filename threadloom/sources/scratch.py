@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,20 @@ def place(spark: SparkSession, label: str) -> str:
 BATCH_ROWS = 500
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written and read again, so that what comes after doesn't compute it anew."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = place(spark, label), spark.conf.get(key)
+@contextmanager
+def short_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
     spark.conf.set(key, str(BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written and read again, so that what comes after doesn't compute it anew."""
+    path = place(df.sparkSession, label)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
